@@ -24,6 +24,11 @@ def exact_sum(df: DataFrame, name: str, where: Column | None = None) -> Column:
     return F.coalesce(F.sum(value).cast("double"), F.lit(0.0))
 
 
+def exact_avg(df: DataFrame, name: str, kind: str = MONEY) -> Column:
+    """Mean as double from the exact sum, so it too is the same in every run."""
+    return F.sum(F.col(name).cast(kind)).cast("double") / F.count(name)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is null or zero."""
     return F.when(b != 0, a / b)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from salesgrid.functions.dates import month_start, months_inclusive
-from salesgrid.functions.sums import as_exact, exact_sum, present, ratio, same_keys
+from salesgrid.functions.sums import as_exact, exact_avg, exact_sum, present, ratio, same_keys
 from salesgrid.operators.filters import apply_filters, with_filter_labels
 from salesgrid.operators.spread import exact_quantiles, top_rows, with_rank
 from salesgrid.operators.windows import MonthWindow
@@ -80,7 +80,7 @@ def monthly(df: DataFrame, dims, share_mean: bool = False) -> DataFrame:
     """Value and units per month and dims; optionally the mean share."""
     aggs = [exact_sum(df, m).alias(m) for m in ("value_sales", "unit_sales")]
     if share_mean:
-        aggs.append(F.avg("share").alias("share"))
+        aggs.append(exact_avg(df, "share", "decimal(28,6)").alias("share"))
     return df.groupBy(month_start("date").alias("month"), *dims).agg(*aggs)
 
 
@@ -158,8 +158,8 @@ def seasonality(df: DataFrame, calendar_month: bool = False) -> DataFrame:
     """Mean value and units by category, market and month (or month of the year)."""
     when = F.month("month").alias("month_num") if calendar_month else F.col("month")
     return df.groupBy("category", "market", when).agg(
-        F.avg("value_sales").alias("avg_value_sales"),
-        F.avg("unit_sales").alias("avg_unit_sales"),
+        exact_avg(df, "value_sales").alias("avg_value_sales"),
+        exact_avg(df, "unit_sales").alias("avg_unit_sales"),
     )
 
 
@@ -168,7 +168,7 @@ def calendar_month_mean(df: DataFrame, col: str, month: str = "month") -> DataFr
     names = F.array(*[F.lit(m) for m in MONTHS])
     return (
         df.groupBy(F.month(month).alias("month_num"))
-        .agg(F.avg(col).alias("mean"))
+        .agg(exact_avg(df, col).alias("mean"))
         .withColumn("month_name", F.element_at(names, F.col("month_num")))
         .orderBy("month_num")
     )

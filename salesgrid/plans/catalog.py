@@ -1,4 +1,5 @@
 """All named queries, gathered from the catalog modules."""
 
-from salesgrid.plans import catalog_ingest  # noqa: F401
+from salesgrid.plans import catalog_ingest, catalog_sales  # noqa: F401
+from salesgrid.plans.catalog_sales import flagship  # noqa: F401
 from salesgrid.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -60,6 +60,10 @@ def total_sql(column: str) -> str:
     return f"CAST(sum(CAST({column} AS DECIMAL(28,4))) AS DOUBLE)"
 
 
+def mean_sql(column: str, scale: int = 4) -> str:
+    return f"CAST(sum(CAST({column} AS DECIMAL(28,{scale}))) AS DOUBLE) / count({column})"
+
+
 RAW = """raw AS (
   SELECT
     CASE l_orderkey % 11
