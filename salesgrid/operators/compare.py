@@ -349,7 +349,7 @@ def yoy_facts(items: DataFrame, dim: str = "brand") -> DataFrame:
         .otherwise(F.array((F.col("rank") + 1)))
         .alias("for_rank"),
         F.col("yoy_pct").alias("other_yoy"),
-    ).select(F.explode("for_rank").cast("bigint").alias("rank"), "other_yoy")
+    ).select(F.explode(F.col("for_rank").cast("array<bigint>")).alias("rank"), "other_yoy")
     # Rank 1 must not meet itself: it only serves rank 2.
     out = same_keys(ranked, other, ["rank"], "left")
     return out.select(
