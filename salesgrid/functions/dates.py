@@ -10,26 +10,23 @@ from pyspark.sql import functions as F
 SERIAL_ZERO_SECONDS = -2_209_161_600
 SERIAL_RANGE = (-81_000, 132_000)
 
-MONTH_WORDS = (
-    "jan(?:uary)?", "feb(?:ruary)?", "mar(?:ch)?", "apr(?:il)?", "may", "june?", "july?",
-    "aug(?:ust)?", "sept?(?:ember)?", "oct(?:ober)?", "nov(?:ember)?", "dec(?:ember)?",
-)
-
-# Each rule rewrites one shape of date text to year-month-day; a text that matches
-# none passes through and is refused at the end. Day first comes before month first.
-REWRITES = (
-    (r"^((?:19|20)\d{2})(\d{2})(\d{2})$", "$1-$2-$3"),
-    (r"^(\d{4})/(\d{1,2})/", "$1-$2-"),
-    (r"^(\d{1,2})[-/.](0?[1-9]|1[0-2])[-/.](\d{4})", "$3-$2-$1"),
-    (r"^(0?[1-9]|1[0-2])[-/.](\d{1,2})[-/.](\d{4})", "$3-$1-$2"),
-    (r"(?i)^(\d{1,2})[ -]([a-z]{3,9})[ -](\d{4})", "$3-$2-$1"),
-    (r"(?i)^([a-z]{3,9}) (\d{1,2}), ?(\d{4})", "$3-$1-$2"),
-    (r"(?i)^([a-z]{3,9})[ -](\d{4})$", "$2-$1-1"),
-)
-READABLE = (
-    r"^(?:167[89]|16[89]\d|1[789]\d\d|2[01]\d\d|22[0-5]\d|226[01])-\d{1,2}(?:-\d{1,2}"
-    r"(?:[ T]\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?)?)?$"
+# Each shape of date text and its parts as year, month, day. A text is read by the first
+# shape it has; day first comes before month first.
+ISO = r"^\d{4}[-/]\d{1,2}(?:[-/]\d{1,2}(?:[ T]\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?)?)?$"
+CLOCK = r"((?: \d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?)?)$"
+MONTH_WORD = (
+    "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?"
+    "|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 )
+STEMS = "janfebmaraprmayjunjulaugsepoctnovdec"
+COMPACT = r"^((?:19|20)\d{2})(\d{2})(\d{2})$"
+DAY_FIRST = r"^(\d{1,2})[-/.](0?[1-9]|1[0-2])[-/.](\d{4})" + CLOCK
+MONTH_FIRST = r"^(0?[1-9]|1[0-2])[-/.](\d{1,2})[-/.](\d{4})" + CLOCK
+DAY_NAMED = r"(?i)^(\d{1,2})[ -]" + MONTH_WORD + r"[ -](\d{4})" + CLOCK
+NAMED_DAY = r"(?i)^" + MONTH_WORD + r" (\d{1,2}), ?(\d{4})" + CLOCK
+NAMED_MONTH = r"(?i)^" + MONTH_WORD + r"[ -](\d{4})$"
+SERIAL = r"^-?\d+(?:\.\d*)?$"
+FIRST_YEAR, LAST_YEAR = 1678, 2261
 
 
 def _col(c) -> Column:
@@ -41,18 +38,43 @@ def month_start(c) -> Column:
     return F.trunc(_col(c).cast("date"), "MM")
 
 
+def _month_number(text: Column, shape: str, group: int) -> Column:
+    stem = F.lower(F.substring(F.regexp_extract(text, shape, group), 1, 3))
+    return ((F.instr(F.lit(STEMS), stem) + 2) / 3).cast("int").cast("string")
+
+
+def _iso_text(text: Column) -> Column:
+    """The text as year-month-day by its shape; null for an unknown shape."""
+
+    def named(shape: str, word: int, year: int, day: int | None) -> Column:
+        month = _month_number(text, shape, word)
+        last = F.regexp_extract(text, shape, day) if day else F.lit("1")
+        parts = [F.regexp_extract(text, shape, year), month, last]
+        clock = F.regexp_extract(text, shape, 4) if day else F.lit("")
+        return F.concat(F.concat_ws("-", *parts), clock)
+
+    return (
+        F.when(text.rlike(ISO), F.translate(text, "/", "-"))
+        .when(text.rlike(DAY_FIRST), F.regexp_replace(text, DAY_FIRST, "$3-$2-$1$4"))
+        .when(text.rlike(MONTH_FIRST), F.regexp_replace(text, MONTH_FIRST, "$3-$1-$2$4"))
+        .when(text.rlike(DAY_NAMED), named(DAY_NAMED, 2, 3, 1))
+        .when(text.rlike(NAMED_DAY), named(NAMED_DAY, 1, 3, 2))
+        .when(text.rlike(NAMED_MONTH), named(NAMED_MONTH, 1, 2, None))
+        .when(text.rlike(COMPACT), F.regexp_replace(text, COMPACT, "$1-$2-$3"))
+    )
+
+
+def _in_range(iso: Column) -> Column:
+    year = F.substring(iso, 1, 4).cast("int")
+    return F.when(year.between(FIRST_YEAR, LAST_YEAR), iso).try_cast("timestamp")
+
+
 def parse_date_text(c) -> Column:
-    """Date text to timestamp: ISO, day first, named months, month first; else null.
+    """Date text to timestamp: ISO, day first, month first, named months; else null.
 
-    The text is rewritten to ISO by regular expressions and cast once, so no format is
-    tried by failing at it.
+    A text's shape decides how it is read, so no format is tried by failing at it.
     """
-    text = F.trim(_col(c))
-    for shape, iso in REWRITES:
-        text = F.regexp_replace(text, shape, iso)
-    for number, word in enumerate(MONTH_WORDS, start=1):
-        text = F.regexp_replace(text, f"(?i)-{word}-", f"-{number}-")
-    return F.regexp_extract(text, READABLE, 0).try_cast("timestamp")
+    return _in_range(_iso_text(F.trim(_col(c))))
 
 
 def parse_mixed_date(c) -> Column:
@@ -61,7 +83,7 @@ def parse_mixed_date(c) -> Column:
     Serials count days since 1899-12-30; values that no rule reads become null.
     """
     text = F.trim(_col(c).cast("string"))
-    serial = text.try_cast("double")
+    serial = F.when(text.rlike(SERIAL), text.try_cast("double"))
     seconds = F.round(serial * 86400) + SERIAL_ZERO_SECONDS
     from_serial = F.when(serial.between(*SERIAL_RANGE), F.timestamp_seconds(seconds))
     return F.coalesce(from_serial, parse_date_text(text))

@@ -60,13 +60,22 @@ def _non_empty(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def has(text: Column, words: str, *stems: str) -> Column:
+    """Does the pattern occur? Plain searches for its stems spare most texts the pattern."""
+    found = text.contains(stems[0])
+    for stem in stems[1:]:
+        found = found | text.contains(stem)
+    return found & text.rlike(words)
+
+
 def month_of(text: Column, which: int) -> Column:
     """`YYYY-MM` of the n-th month-year mention, null if there is none."""
     names = F.regexp_extract_all(text, F.lit(MONTH_YEAR), 1)
     years = F.regexp_extract_all(text, F.lit(MONTH_YEAR), 2)
     stems = F.array(*[F.lit(m) for m in MONTH_STEMS])
     number = F.array_position(stems, F.substring(F.get(names, which - 1), 1, 3))
-    return F.concat(F.get(years, which - 1), F.lit("-"), F.lpad(number.cast("string"), 2, "0"))
+    month = F.concat(F.get(years, which - 1), F.lit("-"), F.lpad(number.cast("string"), 2, "0"))
+    return F.when(text.rlike(r"\d{4}"), month)
 
 
 def filter_value(text: Column, dim: str) -> Column:
@@ -78,7 +87,9 @@ def filter_value(text: Column, dim: str) -> Column:
     bare = F.regexp_extract(text, dim + r"\s*[:=]\s*([a-z][a-z\s\-&]+)", 1)
     bare = F.regexp_replace(bare, VALUE_END, "")
     found = [_non_empty(F.trim(c)) for c in (*quoted, bare)]
-    return F.coalesce(*found)
+    # Most questions have no filter: a plain search for the key spares them the patterns.
+    keyed = text.contains(dim) & (text.contains(":") | text.contains("="))
+    return F.when(keyed, F.coalesce(*found))
 
 
 def extract_intents(questions: DataFrame, text_col: str = "text") -> DataFrame:
@@ -88,20 +99,24 @@ def extract_intents(questions: DataFrame, text_col: str = "text") -> DataFrame:
     Year-to-date wins over moving annual total; both win over written-out months.
     """
     t = F.lower(F.col(text_col))
-    by_brand = t.rlike(BY_BRAND)
+    by_brand = has(t, BY_BRAND, "brand")
     filters = {d: filter_value(t, d) for d in FILTER_DIMS}
     task = (
-        F.when(t.rlike(CHART_WORDS), "chart")
-        .when(t.rlike(TABLE_WORDS), "topn")
-        .when(t.rlike(TEXT_WORDS), "text")
+        F.when(has(t, CHART_WORDS, "trend", "time", "chart"), "chart")
+        .when(has(t, TABLE_WORDS, "top", "bottom", "table", "rank"), "topn")
+        .when(has(t, TEXT_WORDS, "explain", "insight", "summary"), "text")
         .otherwise("topn")
     )
-    unit, yoy, mom = t.rlike(UNIT_WORDS), t.rlike(YOY_WORDS), t.rlike(MOM_WORDS)
+    unit, yoy = has(t, UNIT_WORDS, "unit"), has(t, YOY_WORDS, "yoy")
+    mom = has(t, MOM_WORDS, "mom", "m/m", "month")
     yoy_rank = yoy & t.rlike(EXTREME_WORDS)
     base = F.when(unit, "unit_sales").otherwise("value_sales")
     growth = F.when(yoy, F.when(unit, "unit_yoy").otherwise("value_yoy"))
-    number = _non_empty(F.regexp_extract(t, TOP_NUMBER, 1)).try_cast("int")
-    mode = F.when(t.rlike(YTD_WORDS), "YTD").when(t.rlike(MAT_WORDS), "MAT")
+    number = F.when(t.contains("top"), _non_empty(F.regexp_extract(t, TOP_NUMBER, 1)))
+    number = number.try_cast("int")
+    mode = F.when(has(t, YTD_WORDS, "ytd", "year"), "YTD").when(
+        has(t, MAT_WORDS, "mat", "moving", "last"), "MAT"
+    )
     start, end = month_of(t, 1), month_of(t, 2)
     written = mode.isNull() & end.isNotNull()
     sort_by = (
@@ -126,7 +141,7 @@ def extract_intents(questions: DataFrame, text_col: str = "text") -> DataFrame:
             **{f"filter_{d}": c for d, c in filters.items()},
         }
     )
-    wants_brand = t.rlike(r"\bby\s+brand\b") | t.rlike(TOP_BRANDS) | yoy_rank | by_brand
+    wants_brand = by_brand | yoy_rank | has(t, TOP_BRANDS, "top")
     fixed_brand = F.col("filter_brand").isNotNull() & ~F.col("by_brand")
     dims = F.array_compact(
         F.array(
@@ -142,7 +157,7 @@ def extract_intents(questions: DataFrame, text_col: str = "text") -> DataFrame:
 def mat_years(c) -> Column:
     """Years named as `mat24`, `mat 2024` or `mat-2024`, each once, in order."""
     found = F.regexp_extract_all(F.lower(_col(c)), F.lit(MAT_YEAR), 1)
-    years = F.transform(found, lambda y: y.cast("int"))
+    years = found.cast("array<int>")
     return F.array_distinct(F.transform(years, lambda y: F.when(y < 100, y + 2000).otherwise(y)))
 
 
@@ -150,7 +165,7 @@ def extract_mat_years(questions: DataFrame, text_col: str = "text") -> DataFrame
     """Add `mat_years` and whether the question compares moving annual totals."""
     t = F.lower(F.col(text_col))
     out = questions.withColumn("mat_years", mat_years(text_col))
-    compares = t.rlike(MAT_WORDS) & (t.rlike(COMPARE_WORDS) | (F.size("mat_years") >= 2))
+    compares = has(t, MAT_WORDS, "mat", "moving", "last") & (t.rlike(COMPARE_WORDS) | (F.size("mat_years") >= 2))
     return out.withColumn("is_mat_compare", compares)
 
 
@@ -191,16 +206,12 @@ def match_brands(
     scanned = base.filter(F.size("__items") == 0).select(
         key, "__text", F.explode(lengths).alias("__len")
     )
-    scanned = scanned.filter(F.length("__text") >= F.col("__len")).select(
-        key,
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(1), F.length("__text") - F.col("__len") + 1),
-                    lambda i: F.substring(F.col("__text"), i, F.col("__len")),
-                )
-            )
-        ).alias("__name"),
+    last = F.length("__text") - F.col("__len") + 1
+    scanned = scanned.filter(last >= 1).select(
+        key, "__text", "__len", F.explode(F.sequence(F.lit(1), last)).alias("__at")
+    )
+    scanned = scanned.select(
+        key, F.substring(F.col("__text"), F.col("__at"), F.col("__len")).alias("__name")
     )
     hits = listed.unionByName(scanned).join(named, "__name")
     found = hits.groupBy(key).agg(F.array_sort(F.collect_set("brand")).alias("brands"))

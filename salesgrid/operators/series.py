@@ -83,21 +83,20 @@ def _ahead(model: DataFrame, h: int) -> DataFrame:
 
 
 def seasonal_naive(series: DataFrame, keys, value: str, h: int = 3) -> DataFrame:
-    """Same month last year; the last point where that is missing or the series is short."""
+    """Same month last year; the last known point where that is missing or the series is short."""
     keys = list(keys)
     known = F.col(value).isNotNull()
     model = _per_series(
         series,
         keys,
         F.max("month").alias("last"),
-        F.max_by(value, "month").alias("__end"),
         F.max_by(value, F.when(known, F.col("month"))).alias("__known"),
         F.count(value).alias("__n"),
     )
     steps = _ahead(model, h).withColumn("__src", F.add_months("month", -12))
     past = series.select(*keys, F.col("month").alias("__src"), F.col(value).alias("__past"))
     out = same_keys(steps, past, [*keys, "__src"], "left")
-    enough = F.coalesce(F.col("__past"), F.col("__end"))
+    enough = F.coalesce(F.col("__past"), F.col("__known"))
     return out.select(
         *keys, "month", F.when(F.col("__n") >= 12, enough).otherwise(F.col("__known")).alias("yhat")
     )

@@ -526,15 +526,15 @@ def c23(spark, folder):
     c AS (SELECT f.category, CAST(least(floor((value_sales - lo) / ((hi - lo) / 20)), 19) AS INTEGER)
       AS bin, count(*) AS k FROM fact f JOIN s USING (category) GROUP BY 1, 2),
     g AS (SELECT s.*, CAST(i AS INTEGER) AS bin FROM s, range(20) r(i))
-    SELECT category, bin, round(lo + bin * (hi - lo) / 20, 3) AS "left",
-    round(lo + (bin + 1) * (hi - lo) / 20, 3) AS "right", coalesce(k, 0) AS count,
+    SELECT category, bin, round(lo + bin * (hi - lo) / 20, 7) AS "left",
+    round(lo + (bin + 1) * (hi - lo) / 20, 7) AS "right", coalesce(k, 0) AS count,
     round(1e6 * coalesce(k, 0) / (n * (hi - lo) / 20), 6) AS density_ppm
     FROM g LEFT JOIN c USING (category, bin)""",
 )
 def c24(spark, folder):
     out = agg.histogram(fact(spark, folder), ["category"], "value_sales", 20)
     return out.select(
-        "category", "bin", F.round("left", 3).alias("left"), F.round("right", 3).alias("right"),
+        "category", "bin", F.round("left", 7).alias("left"), F.round("right", 7).alias("right"),
         "count", F.round(1e6 * F.col("density"), 6).alias("density_ppm"),
     )
 

@@ -357,14 +357,14 @@ def s10(spark, folder):
     "S11_normal_curve",
     f"""WITH {LINES}, {CBM}, s AS (SELECT brand, avg(x) AS mu, stddev_samp(x) AS sigma, min(x) AS lo,
       max(x) AS hi FROM d GROUP BY 1)
-    SELECT brand, CAST(i AS INTEGER) AS i, round(lo + (hi - lo) * i / 199, 3) AS x,
+    SELECT brand, CAST(i AS INTEGER) AS i, round(lo + (hi - lo) * i / 199, 6) AS x,
     round(1e6 * exp(-pow((lo + (hi - lo) * i / 199 - mu) / sigma, 2) / 2) / (sigma * sqrt(2 * pi())), 6)
       AS density_ppm FROM s, range(200) r(i)""",
 )
 def s11(spark, folder):
     out = stats.normal_curve(monthly_rows(spark, folder), ["brand"], "value_sales")
     return out.select(
-        "brand", "i", F.round("x", 3).alias("x"),
+        "brand", "i", F.round("x", 6).alias("x"),
         F.round(1e6 * F.col("density"), 6).alias("density_ppm"),
     )
 
@@ -375,14 +375,14 @@ def s11(spark, folder):
       min(x) AS lo, max(x) AS hi FROM d GROUP BY 1),
     g AS (SELECT brand, n, h, CAST(i AS INTEGER) AS i, (lo - 3 * h) + ((hi + 3 * h) - (lo - 3 * h)) * i / 199 AS gx
       FROM s, range(200) r(i))
-    SELECT g.brand, i, round(gx, 3) AS x,
+    SELECT g.brand, i, round(gx, 6) AS x,
     round(1e6 * sum(exp(-pow((gx - d.x) / h, 2) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 6)
       AS density_ppm FROM g JOIN d ON d.brand = g.brand GROUP BY g.brand, i, gx""",
 )
 def s12(spark, folder):
     out = stats.kde(monthly_rows(spark, folder), ["brand"], "value_sales")
     return out.select(
-        "brand", "i", F.round("x", 3).alias("x"),
+        "brand", "i", F.round("x", 6).alias("x"),
         F.round(1e6 * F.col("density"), 6).alias("density_ppm"),
     )
 
