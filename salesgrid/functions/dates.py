@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Seconds from the spreadsheet's day zero (1899-12-30) to 1970, and the
-# serials of about the first and last day a nanosecond timestamp can hold.
-SERIAL_ZERO_SECONDS = -2_209_161_600
+# The spreadsheet's day zero, and the serials of about the first and last
+# day a nanosecond timestamp can hold.
+SERIAL_ZERO = "1899-12-30"
 SERIAL_RANGE = (-81_000, 132_000)
 
 # Each shape of date text and its parts as year, month, day. A text is read by the first
@@ -84,8 +84,11 @@ def parse_mixed_date(c) -> Column:
     """
     text = F.trim(_col(c).cast("string"))
     serial = F.when(text.rlike(SERIAL), text.try_cast("double"))
-    seconds = F.round(serial * 86400) + SERIAL_ZERO_SECONDS
-    from_serial = F.when(serial.between(*SERIAL_RANGE), F.timestamp_seconds(seconds))
+    day = F.date_add(F.lit(SERIAL_ZERO).cast("date"), F.floor(serial).cast("int"))
+    clock = F.round((serial - F.floor(serial)) * 86400).cast("int")
+    from_serial = F.when(
+        serial.between(*SERIAL_RANGE), F.timestamp_add("SECOND", clock, day.cast("timestamp"))
+    )
     return F.coalesce(from_serial, parse_date_text(text))
 
 

@@ -199,7 +199,7 @@ def compact_summary(df: DataFrame, dim: str, measure: str = "value_sales", n: in
     names = [F.col(dim).alias("name"), F.round(measure, 4).alias("value")]
     blocks = [
         sums.select(F.lit("category").alias("block"), *names),
-        grouped_sum(df, [], measure).select(
+        grouped_sum(sums, [], measure).select(
             F.lit("total").alias("block"),
             F.lit(None).cast("string").alias("name"),
             F.round(measure, 4).alias("value"),

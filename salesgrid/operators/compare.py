@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from salesgrid.functions.dates import month_start
-from salesgrid.functions.sums import as_exact, exact_sum, growth, present, ratio, same_keys
+from salesgrid.functions.sums import as_exact, exact_sum, growth, present, same_keys
 from salesgrid.operators.agg import first_per_key
 from salesgrid.operators.filters import apply_filters, safe_numeric_fill
 from salesgrid.operators.spread import top_rows, with_rank
@@ -382,6 +382,3 @@ def filled(df: DataFrame) -> DataFrame:
     """The presentation form: undefined growth shown as 0."""
     return safe_numeric_fill(df)
 
-
-def pct_of(a: Column, b: Column) -> Column:
-    return 100 * ratio(a, b)

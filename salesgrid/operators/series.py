@@ -12,7 +12,6 @@ from pyspark.sql.window import Window
 
 from salesgrid.functions.dates import month_label, month_start
 from salesgrid.functions.sums import as_exact, same_keys
-from salesgrid.operators.spread import top_rows
 
 HORIZON = (1, 36)
 Z95, Z80 = 1.959963984540054, 1.2815515655446004
@@ -291,6 +290,3 @@ def with_actuals(forecast: DataFrame, actual: DataFrame, keys, value: str) -> Da
     keys = [*keys, "month"]
     return same_keys(forecast, actual.select(*keys, F.col(value).alias("actual")), keys, "left")
 
-
-def last_points(series: DataFrame, n: int) -> DataFrame:
-    return top_rows(series, [F.desc("month")], n)

@@ -7,7 +7,6 @@ from dataclasses import dataclass, field, replace
 from datetime import date
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from salesgrid.operators import agg, compare
 from salesgrid.operators.filters import apply_filters, safe_numeric_fill
@@ -126,6 +125,3 @@ def parse_question(spark, text: str) -> Intent:
 def ask(df: DataFrame, text: str, as_of: str, months: DataFrame | None = None) -> DataFrame:
     return answer(df, parse_question(df.sparkSession, text), as_of, months)
 
-
-def with_last_month(df: DataFrame) -> DataFrame:
-    return df.withColumn("last_month", F.lit(last_month(df)))

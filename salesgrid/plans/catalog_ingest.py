@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from salesgrid.operators import agg
-from salesgrid.plans.registry import FACT, LINES, PARSED, RAW, query
+from salesgrid.plans.registry import FACT, PARSED, RAW, query
 from salesgrid.sources import fact as src
-from salesgrid.sources import files, ingest
+from salesgrid.sources import ingest
 
 
 def raw_sheet(spark, folder):
@@ -61,8 +61,6 @@ def raw_sheet(spark, folder):
     )
 
 
-MAPPED = 'date, market, channel, category, brand, value_sales, unit_sales, share'
-
 
 @query(
     "A1_load_with_mapper",
@@ -293,5 +291,3 @@ def a20(spark, folder):
         "date", *src.DIMS, "value_sales", "unit_sales", F.round("value_yoy", 6).alias("value_yoy")
     )
 
-
-_ = (files, LINES, MAPPED)

@@ -1,4 +1,8 @@
-"""Result payloads per category, computed from the data and written as JSON at the end."""
+"""Result payloads per category, computed from the data and written as JSON at the end.
+
+A payload lists the brands of its slice, so a row is as long as that dimension, whatever
+the number of sales rows: these are aggregated before anything is listed.
+"""
 
 from __future__ import annotations
 

@@ -1,9 +1,7 @@
-"""Session helper: settings are only given where the cluster has not set them."""
+"""Session helper. A session that is already active is used as it is."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -18,6 +16,9 @@ DEFAULTS = {
 
 def build_session(master: str | None = None, app: str = "salesgrid", **conf) -> SparkSession:
     """A session with this package's settings; `conf` keys use `_` for `.`."""
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -27,13 +28,3 @@ def build_session(master: str | None = None, app: str = "salesgrid", **conf) ->
         builder = builder.config(key.replace("_", "."), str(value))
     return builder.getOrCreate()
 
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set (tests)."""
-    sc = spark.sparkContext
-    known = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if known is None:
-        known = tempfile.mkdtemp(prefix="salesgrid-checkpoint-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(known)
-    return known
