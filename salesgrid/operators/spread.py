@@ -26,6 +26,9 @@ def _cut(df: DataFrame, keys: list[str], order: str, name: str, ranges: int) ->
         span = df.groupBy(*keys).agg(
             F.min(order).cast("double").alias("__lo"), F.max(order).cast("double").alias("__hi")
         )
+        if keys == ["__r1"]:
+            # Without keys of its own the table has one row per range: RANGES + 1 at most.
+            span = F.broadcast(span)
         df = same_keys(df, span, keys)
         lo, hi = F.col("__lo"), F.col("__hi")
     else:
@@ -78,6 +81,9 @@ def with_running(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     out = df.withColumns({f"__in{a}": F.sum(a).over(inside) for a in names.values()})
+    if not keys:
+        # One row per range of a range: (RANGES + 1) squared at most.
+        starts = F.broadcast(starts)
     out = same_keys(out, starts, ranked)
     zero = F.lit(0)
     return out.select(
