@@ -86,9 +86,9 @@ def parse_mixed_date(c) -> Column:
     serial = F.when(text.rlike(SERIAL), text.try_cast("double"))
     day = F.date_add(F.lit(SERIAL_ZERO).cast("date"), F.floor(serial).cast("int"))
     clock = F.round((serial - F.floor(serial)) * 86400).cast("int")
-    from_serial = F.when(
-        serial.between(*SERIAL_RANGE), F.timestamp_add("SECOND", clock, day.cast("timestamp"))
-    )
+    # Added without a time zone, so a day is 86400 seconds everywhere.
+    cell = F.timestamp_add("SECOND", clock, day.cast("timestamp_ntz")).cast("timestamp")
+    from_serial = F.when(serial.between(*SERIAL_RANGE), cell)
     return F.coalesce(from_serial, parse_date_text(text))
 
 
