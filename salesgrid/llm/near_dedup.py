@@ -4,8 +4,10 @@ A document is the set of its distinct runs of five words (lower-case A-Z, words
 space). One permutation fills `BANDS * ROWS` bins with the smallest hash of each; an empty bin
 borrows from a filled one found by its own probe sequence (optimal densification). `ROWS` bins
 make a band, equal bands share a bucket. In a bucket all members are paired with its smallest
-id only (a star); the links are confirmed on full sets. Members of one bucket that are still
-in different components afterwards are paired exactly, so no component depends on the star.
+id only (a star); the links are confirmed on full sets. Documents of a bucket whose members are
+still in different components are then compared exactly, by prefix filtering: similar sets
+share one of their rarest quarter of shingles. So no component depends on the star, and what
+many documents share, a passage or the body of a much copied text, pairs nobody.
 At a similarity of 0.75 a pair shares no bucket with probability (1 - 0.75**5)**40 = 2e-5.
 """
 
@@ -24,7 +26,6 @@ from salesgrid.llm.common import components, settle
 
 SHINGLE = 5
 BANDS, ROWS = 40, 5
-BINS = BANDS * ROWS
 PERCENT = 75
 
 
@@ -48,39 +49,40 @@ def shingles(data: np.ndarray, offsets: np.ndarray):
     return got_doc, got_hash, whole
 
 
-def _probes() -> np.ndarray:
+def probe_order(bins: int) -> np.ndarray:
     """For every bin an order of all bins in which it looks for a filled one."""
-    key = tb.mix(np.arange(BINS * BINS, dtype=np.uint64) + np.uint64(77)).reshape(BINS, BINS)
-    return np.argsort(key, axis=1)
+    key = tb.mix(np.arange(bins * bins, dtype=np.uint64) + np.uint64(77)).reshape(bins, bins)
+    return np.argsort(key, axis=1).astype(np.int32)
 
 
-def band_keys(doc: np.ndarray, hashes: np.ndarray, count: int) -> np.ndarray:
-    """The bucket of every band of every text, count x BANDS. Texts without shingles hold junk."""
-    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+def band_keys(
+    doc: np.ndarray, hashes: np.ndarray, count: int, bands: int, rows: int, probes: np.ndarray
+) -> np.ndarray:
+    """The bucket of every band of every text, count x bands. Texts without shingles hold junk."""
+    top, size = np.uint64(0xFFFFFFFFFFFFFFFF), bands * rows
     value = tb.mix(hashes ^ np.uint64(0x5851F42D4C957F2D))
-    cell = doc * BINS + (value % np.uint64(BINS)).astype(np.int64)
+    cell = doc * size + (value % np.uint64(size)).astype(np.int64)
     order = np.lexsort((value, cell))
     cell, value = cell[order], value[order]
     first = np.ones(len(cell), dtype=bool)
     first[1:] = cell[1:] != cell[:-1]
-    bins = np.full(count * BINS, top, dtype=np.uint64)
+    bins = np.full(count * size, top, dtype=np.uint64)
     bins[cell[first]] = value[first]
-    bins = bins.reshape(count, BINS)
+    bins = bins.reshape(count, size)
     filled = bins != top
-    probes = _probes()
     row, at = np.nonzero(~filled & filled.any(axis=1)[:, None])
     out = bins.copy()
-    for step in range(BINS):
+    for step in range(size):
         if not len(row):
             break
         source = probes[at, step]
         hit = filled[row, source]
         out[row[hit], at[hit]] = bins[row[hit], source[hit]]
         row, at = row[~hit], at[~hit]
-    total = np.zeros((count, BANDS), dtype=np.uint64)
-    for k in range(ROWS):
-        total = total * tb.BASE + out[:, k::ROWS]
-    return tb.mix(total + np.arange(BANDS, dtype=np.uint64) * tb.BASE)
+    total = np.zeros((count, bands), dtype=np.uint64)
+    for k in range(rows):
+        total = total * tb.BASE + out[:, k::rows]
+    return tb.mix(total + np.arange(bands, dtype=np.uint64) * tb.BASE)
 
 
 _DIGEST = T.StructType(
@@ -97,12 +99,13 @@ _SETS = T.StructType(
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    probes = probe_order(BANDS * ROWS)
     for batch in batches:
         for row, data, offsets in tb.chunks(batch.column(1)):
             count = len(offsets) - 1
             doc, hashes, whole = shingles(data, offsets)
             number = np.diff(tb.starts_of(doc, count))
-            keys = band_keys(doc, hashes, count)
+            keys = band_keys(doc, hashes, count, BANDS, ROWS, probes)
             has = number > 0
             ends = np.concatenate([[0], np.cumsum(has * BANDS)])
             yield pa.RecordBatch.from_arrays(
@@ -193,11 +196,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
         .where("low < high").select("bucket")
     )
-    rest = settle(placed.join(apart, "bucket"))
-    one, two = rest.alias("p"), rest.alias("q")
+    apart = placed.join(apart, "bucket").select("rep", "n_shingles", "root").distinct()
+    rest = settle(apart.join(sets, apart.rep == sets.id).select("rep", "n_shingles", "root", F.explode("grams").alias("gram")))
+    rare = rest.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    # a set's shingles from the rarest on, at most as many as a similar set may lack, and one
+    spare = F.expr(f"n_shingles - ceil({PERCENT} * n_shingles / 100)").cast("int")
+    prefixes = settle(
+        rest.join(rare, "gram", "left").groupBy("rep", "n_shingles", "root")
+        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "gram"))).alias("order"))
+        .select("rep", "n_shingles", "root", F.posexplode(F.slice("order", F.lit(1), spare + 1)).alias("at", "key"))
+        .where("key.n > 1").select("rep", "n_shingles", "root", "at", F.col("key.gram").alias("gram"))
+    )
+    one, two = prefixes.alias("p"), prefixes.alias("q")
+    # what can still be shared from the first common shingle on
+    reach = F.expr(
+        f"(100 + {PERCENT}) * least(p.n_shingles - p.at, q.n_shingles - q.at)"
+        f" >= {PERCENT} * (p.n_shingles + q.n_shingles)"
+    )
     cross = (
-        one.join(two, "bucket").where("p.rep < q.rep and p.root <> q.root")
-        .where(_sizes_fit("p.n_shingles", "q.n_shingles"))
+        one.join(two, "gram").where("p.rep < q.rep and p.root <> q.root")
+        .where(_sizes_fit("p.n_shingles", "q.n_shingles")).where(reach)
         .select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct()
         .join(pairs, ["a", "b"], "left_anti")
     )
