@@ -343,9 +343,10 @@ def fit(
     known = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     below = {v: min(1 << BITS, int((1 << BITS) * most / max(1, known.get(v, 0)))) for v, most in ((1, POSITIVE), (0, NEGATIVE))}
     sample = marks.where(F.col("h") <= F.when(F.col("y") == 1, below[1]).otherwise(below[0]))
+    # the sample has about POSITIVE + NEGATIVE ids, so it is sent to the documents, not they to it
     rows = (
         docs.where(learn & (F.octet_length(text_col) <= LONGEST))
-        .join(sample, F.col(id_col) == F.col("mark_id"))
+        .join(F.broadcast(sample), F.col(id_col) == F.col("mark_id"))
         .select(F.col("h").alias("h"), F.col("y").cast("int").alias("y"), F.col(text_col).alias("text")).toPandas()
         .sort_values(["h", "text"])
     )
