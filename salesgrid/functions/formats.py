@@ -13,12 +13,12 @@ def _col(c) -> Column:
 
 
 def fixed(x: Column, places: int) -> Column:
-    return F.format_string(f"%.{places}f", x.cast("double"))
+    return F.when(x.isNotNull(), F.format_string(f"%.{places}f", x.cast("double")))
 
 
 def grouped(x: Column) -> Column:
     """Whole number with thousands separators."""
-    return F.format_string("%,.0f", x.cast("double"))
+    return F.when(x.isNotNull(), F.format_string("%,.0f", x.cast("double")))
 
 
 def k_m(c) -> Column:

@@ -174,8 +174,10 @@ def calendar_month_mean(df: DataFrame, col: str, month: str = "month") -> DataFr
     )
 
 
-def pivot_month_brand(df: DataFrame, brands: list[str], measure: str = "value_sales") -> DataFrame:
-    """Months as rows, the given brands as columns."""
+def pivot_month_brand(
+    df: DataFrame, brands: list[str] | None = None, measure: str = "value_sales"
+) -> DataFrame:
+    """Months as rows, the given brands as columns; without a list all brands of the data."""
     cells = df.groupBy(month_start("date").alias("month")).pivot("brand", brands)
     return cells.agg(F.sum(as_exact(df, measure)).cast("double"))
 

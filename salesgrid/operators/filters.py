@@ -68,7 +68,7 @@ def with_month_labels(df: DataFrame, col: str = "date") -> DataFrame:
     return df.withColumns({"month_label": month_label(col), "month_iso": month_iso(col)})
 
 
-def tail_points(df: DataFrame, n: int = 200, col: str = "date", tie: tuple = ()) -> DataFrame:
+def tail_points(df: DataFrame, n: int, col: str = "date", tie: tuple = ()) -> DataFrame:
     """The last n rows in time order (a top-n, not a full sort)."""
     return df.orderBy(F.desc_nulls_last(col), *[F.asc(t) for t in tie]).limit(n)
 

@@ -423,7 +423,7 @@ def c16(spark, folder):
     + " FROM lines GROUP BY 1",
 )
 def c17(spark, folder):
-    return agg.pivot_month_brand(sales_lines(spark, folder, ("brand",)), BRANDS)
+    return agg.pivot_month_brand(sales_lines(spark, folder, ("brand",)))
 
 
 TWO = """SELECT {dims}, CAST(sum(v) FILTER ({cur}) AS DOUBLE) AS c, CAST(sum(v) FILTER ({prev})

@@ -433,14 +433,14 @@ def j8(spark, folder):
     format('{{:.1f}}%', g * 100) AS pct, {signed_sql('g')} AS signed,
     '₹' || regexp_replace(format('{{:.2f}}', x / 1e5), '\\.00$', '') || ' Cr' AS crore,
     'Jan–' || strftime(date, '%b %Y') || ' (YTD)' AS period
-    FROM g WHERE month(date) > 1""",
+    FROM g""",
 )
 def j9(spark, folder):
     lines = sales_lines(spark, folder, ("brand",))
     rows = compare.mom(lines, ["brand"], "value_sales")
     x, g = F.col("value_sales"), F.col("value_mom")
     text = F.concat(F.date_format("date", "yyyy"), F.lit("-01 to "), F.date_format("date", "yyyy-MM"), F.lit(" ytd"))
-    return rows.filter(F.month("date") > 1).select(
+    return rows.select(
         "brand", "date", fmt.k_m(x).alias("km"), fmt.rupees(x * 10).alias("rs"),
         fmt.pct(g).alias("pct"), fmt.signed_pct(g).alias("signed"), fmt.crore(x / 1e5).alias("crore"),
         fmt.period_text(text).alias("period"),
@@ -535,7 +535,7 @@ def said_rows(spark, folder):
     """One sentence per order with its amount and growth; some sentences misstate one."""
     orders = read_table(spark, folder, "orders")
     cr = F.round(F.col("o_totalprice") / 1e4, 2)
-    yoy = (F.col("o_custkey") % 41) / 100.0
+    yoy = (F.col("o_custkey") % 41 - 20) / 100.0
     f2, f1 = lambda c: F.format_string("%.2f", c), lambda c: F.format_string("%.1f", c)
     kind = F.col("o_orderkey") % 3
     a, a2, p, p2 = f2(cr), f2(cr + 1), f1(yoy * 100), f1(yoy * 100 + 3)
@@ -549,7 +549,7 @@ def said_rows(spark, folder):
     )
 
 
-SAID_SQL = f"""s0 AS (SELECT o_orderkey, round(o_totalprice / 1e4, 2) AS cr, (o_custkey % 41) / 100.0 AS yoy FROM orders),
+SAID_SQL = f"""s0 AS (SELECT o_orderkey, round(o_totalprice / 1e4, 2) AS cr, (o_custkey % 41 - 20) / 100.0 AS yoy FROM orders),
   s1 AS (SELECT o_orderkey, cr, yoy, format('{{:.2f}}', cr) AS a, format('{{:.2f}}', cr + 1) AS a2,
     format('{{:.1f}}', CAST(yoy AS DOUBLE) * 100) AS p, format('{{:.1f}}', CAST(yoy AS DOUBLE) * 100 + 3) AS p2 FROM s0),
   s AS (SELECT o_orderkey, cr, CAST(yoy AS DOUBLE) AS yoy, {SAID} AS text FROM s1)"""
@@ -559,9 +559,9 @@ SAID_SQL = f"""s0 AS (SELECT o_orderkey, round(o_totalprice / 1e4, 2) AS cr, (o_
     "J13_numbers_supported",
     f"""WITH {SAID_SQL}, n AS (SELECT o_orderkey, cr, yoy, text,
       list_transform(regexp_extract_all(text, '₹\\s*([0-9]+(?:\\.[0-9]+)?)', 1), lambda x: x::DOUBLE) AS m,
-      list_transform(regexp_extract_all(text, '([0-9]+(?:\\.[0-9]+)?)%', 1), lambda x: x::DOUBLE) AS q FROM s)
+      list_transform(regexp_extract_all(text, '(-?[0-9]+(?:\\.[0-9]+)?)%', 1), lambda x: x::DOUBLE) AS q FROM s)
     SELECT o_orderkey, text, len(list_filter(m, lambda x: abs(x - cr) > 0.02 + 1e-9)) = 0 AND
-      len(list_filter(q, lambda x: abs(x - yoy * 100) > 0.2 + 1e-9)) = 0 AS supported FROM n""",
+      len(list_filter(q, lambda x: abs(x - CASE WHEN x < 0 THEN yoy ELSE abs(yoy) END * 100) > 0.2 + 1e-9)) = 0 AS supported FROM n""",
 )
 def j13(spark, folder):
     return dataset.numbers_supported(said_rows(spark, folder)).select("o_orderkey", "text", "supported")

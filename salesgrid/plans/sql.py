@@ -6,12 +6,16 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-MAX_ROWS = 5000
 # Words that a read-only statement may not contain.
 FORBIDDEN = re.compile(
     r"\b(insert|update|delete|drop|alter|create\s+(?:or\s+replace\s+)?(?:table|schema)|vacuum|copy"
     r"|attach|detach|pragma)\b|\breplace\b(?!\s*\()"
 )
+# Relations that are files, and functions that reach into the JVM.
+OUTSIDE = re.compile(
+    r"\b(?:parquet|csv|json|orc|text|avro|xml|binaryfile|delta|jdbc)\s*\.\s*[\w/`]"
+    r"|`?\b(?:reflect|java_method|try_reflect)\b`?\s*\("
+)
 LITERAL = re.compile(r"'(?:[^']|'')*'")
 
 
@@ -19,13 +23,15 @@ def safe_sql(sql: str) -> tuple[bool, str]:
     """(allowed, statement without its trailing semicolon)."""
     statement = sql.strip().rstrip(";").strip()
     words = " ".join(LITERAL.sub("''", statement.lower()).split())
-    allowed = words.startswith(("select ", "with ")) and not FORBIDDEN.search(words)
+    reads = words.lstrip("( ").startswith(("select ", "with "))
+    allowed = reads and not FORBIDDEN.search(words) and not OUTSIDE.search(words)
     return allowed, statement
 
 
-def run_sql(spark: SparkSession, sql: str, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Run a SELECT over the session's views; at most `max_rows` rows come back."""
+def run_sql(spark: SparkSession, sql: str, max_rows: int | None = None) -> DataFrame:
+    """Run a SELECT over the session's views; all its rows, or at most `max_rows`."""
     allowed, statement = safe_sql(sql)
     if not allowed:
         raise ValueError("Only SELECT statements are allowed.")
-    return spark.sql(statement).limit(max_rows)
+    rows = spark.sql(statement)
+    return rows if max_rows is None else rows.limit(max_rows)

@@ -140,17 +140,19 @@ def read_raw(df: DataFrame, mapper: dict[str, str] | None = None) -> DataFrame:
     return clean_dims(coerce_numeric(to_month(parse_dates(df))))
 
 
-def ingest(df: DataFrame, mapper: dict[str, str] | None = None) -> DataFrame:
-    """Raw rows to the derived fact; raises on a failed check."""
+def ingest(
+    df: DataFrame, mapper: dict[str, str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Raw rows to (derived fact, rows without a readable date); raises on a failed check."""
     rows = read_raw(df, mapper)
     missing = validate_schema(rows)
     if missing:
         raise ValueError("; ".join(missing))
-    good, _ = split_invalid_dates(rows)
+    good, rejected = split_invalid_dates(rows)
     errors = [r["error"] for r in validate_basic(good).collect()]
     if errors:
         raise ValueError("; ".join(errors))
-    return derive_fields(good)
+    return derive_fields(good), rejected
 
 
 def missing_percent(df: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def test_ingest_and_quarantine(spark, tmp_path):
     assert good.count() == 1 and row["market"] == "India" and row["share"] is None
     bad = spark.read.option("header", True).csv(str(tmp_path / "bad")).collect()
     assert len(bad) == 1 and bad[0]["value_sales"] is None
-    assert ingest.ingest(raw(spark, rows)).count() == 1
+    assert ingest.ingest(raw(spark, rows))[0].count() == 1
     negative = [("01-01-2024", "India", "MT", "Biscuits", "Alpha", "-1", "3", "1")]
     with pytest.raises(ValueError, match="Negative value_sales"):
         ingest.ingest(raw(spark, negative))

@@ -103,3 +103,26 @@ def test_fallback_sentence(spark):
     df = spark.createDataFrame([(1, "A", 1234.0, "unit_sales"), (2, None, None, "unit_sales")], "k int, label string, value double, measure string")
     got = [r["sentence"] for r in verbalise.say_fallback(df, ["k"]).orderBy("k").collect()]
     assert got == ["Top: A with unit sales 1,234.", verbalise.FALLBACK]
+
+
+def test_sql_reads_views_only_and_keeps_all_rows(spark):
+    spark.range(20_000).createOrReplaceTempView("many")
+    assert run_sql(spark, "select * from many").count() == 20_000
+    assert safe_sql("(select 1) union all select 2")[0]
+    for bad in ("select * from parquet.`/tmp/x`", "select reflect('java.lang.Math', 'abs', 1)",
+                "select `java_method`('a', 'b')", "select * from csv . `x`"):
+        assert not safe_sql(bad)[0]
+
+
+def test_declines_are_supported_and_kept(spark):
+    rows = spark.createDataFrame(
+        [("down 5.0%", 1.0, -0.05), ("-5.0%", 1.0, -0.05), ("-5.0%", 1.0, 0.05), ("up 7.0%", 1.0, 0.05)],
+        "text string, ytd_sales_cr double, yoy double",
+    )
+    assert [r["supported"] for r in dataset.numbers_supported(rows).collect()] == [True, True, False, False]
+
+
+def test_rewording_replaces_whole_words(spark):
+    rows = spark.createDataFrame([("Share within the top 10 grew within weeks",)], "s string")
+    said = {r["paraphrase"] for r in dataset.paraphrase(rows, "s", "s", 8).collect()}
+    assert all("within" in t.split() and "totalingin" not in t and "atin" not in t for t in said)
