@@ -21,7 +21,9 @@ K = 5
 SCALE = 256
 CANDIDATES, QUERIES = 16_384, 1_024  # rows of a block, about
 FIRST_DEPTH = 32
-LIMIT = float(1 << 27)  # of a scaled component; sums of products then fit a long
+WHOLE = float(1 << 52)  # doubles from here on are whole numbers
+LONG = (1 << 63) - 1
+DIGITS = 650  # of the inner product of any two vectors of doubles, scaled
 
 
 class Lists:
@@ -60,6 +62,22 @@ class Lists:
             begin, depth = depth, depth * 2
 
 
+def whole_numbers(vectors: np.ndarray) -> np.ndarray:
+    """SCALE * vectors, whole by `scaled`: 64-bit if sums of their products surely fit, else Python integers."""
+    size = np.abs(vectors).max(initial=0.0) * SCALE
+    if size * size * max(1, vectors.shape[1]) < 2.0**62:
+        return (vectors * SCALE).astype(np.int64)
+    exact = [int(x) * SCALE if abs(x) > WHOLE else int(x * SCALE) for x in vectors.ravel().tolist()]
+    return np.array(exact, dtype=object).reshape(vectors.shape)
+
+
+def as_long(score: int) -> tuple[int, str]:
+    """The score as a long, and, if it is too large for one, a text that sorts like it."""
+    if abs(score) <= LONG:
+        return score, ""
+    return (LONG, f"{score:0{DIGITS}d}") if score > 0 else (-LONG - 1, f"{score + 10**DIGITS:0{DIGITS}d}")
+
+
 def _search(k: int):
     def search(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -68,24 +86,33 @@ def _search(k: int):
                 mine = queries[queries.vector.map(len) == size]
                 if not len(mine):
                     continue
-                lists = Lists(of_size.vec_id.to_numpy(), np.stack(of_size.vector.to_list()))
-                for query_id, vector in zip(mine.vec_id, mine.vector, strict=True):
-                    found, scores, _ = lists.top(np.asarray(vector), query_id, k)
-                    out += [(query_id, int(lists.ids[r]), int(s)) for r, s in zip(found, scores, strict=True)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+                # queries and candidates together, so that both are of one kind
+                numbers = whole_numbers(np.stack([*of_size.vector, *mine.vector]))
+                lists = Lists(of_size.vec_id.to_numpy(), numbers[: len(of_size)])
+                for query_id, vector in zip(mine.vec_id, numbers[len(of_size) :], strict=True):
+                    found, scores, _ = lists.top(vector, query_id, k)
+                    out += [(query_id, int(lists.ids[r]), *as_long(int(s))) for r, s in zip(found, scores, strict=True)]
+        table = pd.DataFrame(out, columns=["query_id", "vec_id", "score", "beyond"])
+        return table.astype({"query_id": "int64", "vec_id": "int64", "score": "int64"})
 
     return search
 
 
 def scaled(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id and vector: floor(SCALE * component). Unusable vectors and null ids are left out."""
-    x = F.transform(F.col(vector_col), lambda v: F.floor(v.cast("double") * SCALE))
+    """vec_id and vector: components cut to multiples of 1 / SCALE, so that SCALE times each is the
+    whole number floor(SCALE * component), however large. Unusable vectors and null ids are left out.
+    """
+
+    def cut(v):
+        x = v.cast("double")
+        return F.when(F.abs(x) * SCALE < WHOLE, F.floor(x * SCALE).cast("double") / SCALE).otherwise(x)
+
     sound = F.forall(
         F.col(vector_col),
-        lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) * SCALE < LIMIT),
+        lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")),
     )
     return rows.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(sound).select(
-        F.col(id_col).cast("long").alias("vec_id"), x.alias("vector")
+        F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col), cut).alias("vector")
     )
 
 
@@ -95,8 +122,9 @@ def top_k(
     """query_id, rank, vec_id and score of every query's k best rows with another id.
 
     is_query is a condition on vec_id. Vectors that are null or hold null or non-finite
-    components, or components beyond LIMIT / SCALE, take no part, as query or candidate; vectors
-    of different lengths are not compared. Repeated ids with equal vectors count once.
+    components take no part, as query or candidate; vectors of different lengths are not
+    compared. Repeated ids with equal vectors count once. Products are exact at any size; a score
+    beyond a long is ranked by its true value and shown as the nearest long.
     """
     table = settle(scaled(rows, id_col, vector_col).distinct())
     n, asked = table.agg(F.count("*"), F.count_if(is_query)).first()
@@ -106,9 +134,9 @@ def top_k(
     candidates = table.select(block(sides[0]).alias("c"), each(sides[1]).alias("q"), "vec_id", "vector")
     queries = table.where(is_query).select(each(sides[0]).alias("c"), block(sides[1]).alias("q"), "vec_id", "vector")
     found = queries.groupBy("c", "q").cogroup(candidates.groupBy("c", "q")).applyInPandas(
-        _search(k), "query_id long, vec_id long, score long"
+        _search(k), "query_id long, vec_id long, score long, beyond string"
     )
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("beyond").desc(), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
