@@ -2,7 +2,9 @@
 
 import collections
 import itertools
+import math
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -102,7 +104,8 @@ def test_packing_round_trip(spark, odd):
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     docs = documents(spark).limit(120).select("doc_id", "text").unionByName(odd.select("doc_id", "text").where("doc_id > 3 and doc_id <> 7")
-        .withColumn("doc_id", F.col("doc_id") + 100_000))
+        .withColumn("doc_id", F.col("doc_id") + 100_000)).unionByName(spark.createDataFrame(
+            [(200_000, "a <|endoftext|> b<|endoftext|>")], "doc_id long, text string"))
     pieces = packing.pack(docs, with_ids=True).toPandas()
     for i, text in docs.collect():
         mine = pieces[pieces.doc_id == i].sort_values("start")
@@ -177,6 +180,19 @@ def test_top_k_against_all(spark):
     assert got == sorted(want)
 
 
+def test_top_k_of_huge_components_is_exact(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4) * 10.0 ** int(rng.integers(0, 12))]) for i in range(120)]
+    rows += [(500, [1e300, -1e300, 1.0, 0.5]), (501, [1e300, -1e300, 2.0, 0.5]), (550, [-1e300, 1.0, 0.0, 1e-3])]
+    exact = {i: [math.floor(256 * Fraction(x)) for x in v] for i, v in rows}
+    got = collections.defaultdict(list)
+    for r in sorted(topk.search_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()):
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for q in (i for i in exact if i % 50 == 0):
+        best = sorted((-sum(a * b for a, b in zip(exact[q], w, strict=True)), c) for c, w in exact.items() if c != q)[:5]
+        assert got[q] == [(c, max(-(1 << 63), min((1 << 63) - 1, -s))) for s, c in best]
+
+
 def test_threshold_stops_before_the_end_of_the_lists():
     x = np.arange(4000)[:, None] * np.array([[1, 2]])
     rows, scores, depth = topk.Lists(np.arange(4000), x).top(np.array([3, 1]), -1, 5)
