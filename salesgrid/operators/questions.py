@@ -32,11 +32,13 @@ MONTH_YEAR = (
     r"|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\W*(\d{4})\b"
 )
 MONTH_STEMS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-# A bare filter value ends before the next key or a time phrase.
+# A bare filter value ends before the next key, a time phrase or a month with its year.
 VALUE_END = (
-    r"(^|\s+)\b(category|market|channel|brand|from|between|in|for|by|over|last|ytd|mat|top|yoy|mom)"
-    r"\b.*$"
+    r"^(category|market|channel|brand)$|\s+\b(category|market|channel|brand)\b.*$"
+    r"|(^|\s+)\b(from|between|in|for|by|over|last|ytd|mat|top|yoy|mom"
+    r"|(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\W*\d{4})\b.*$"
 )
+BARE_VALUE = r"([a-z0-9#][a-z0-9#\s\-&]*)"
 BRAND_LIST = r"\bbrands?(?:\s*[:\-]\s*|\s+)([a-z0-9 #_/,&+\-]+)"
 LIST_SPLIT = r"\s*(?:,|&|\+|\band\b|\bvs\b|\bversus\b)\s*"
 MAT_YEAR = r"\bmat[\s\-]?((?:20)?\d{2})\b"
@@ -84,7 +86,7 @@ def filter_value(text: Column, dim: str) -> Column:
         F.regexp_extract(text, dim + r"\s*[:=]\s*" + shape, 1)
         for shape in ('"([^"]+)"', "'([^']+)'")
     ]
-    bare = F.regexp_extract(text, dim + r"\s*[:=]\s*([a-z][a-z\s\-&]+)", 1)
+    bare = F.regexp_extract(text, dim + r"\s*[:=]\s*" + BARE_VALUE, 1)
     bare = F.regexp_replace(bare, VALUE_END, "")
     found = [_non_empty(F.trim(c)) for c in (*quoted, bare)]
     # Most questions have no filter: a plain search for the key spares them the patterns.
@@ -178,10 +180,10 @@ def calc_mode(questions: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def explicit_brands(c) -> Column:
-    """Normalised items of the lists written after `brand` or `brands`."""
+    """Items, in lower case, of the lists written after `brand` or `brands`."""
     lists = F.regexp_extract_all(F.lower(_col(c)), F.lit(BRAND_LIST), 1)
     items = F.flatten(F.transform(lists, lambda s: F.split(s, LIST_SPLIT)))
-    return F.filter(F.transform(items, squash), lambda s: s != "")
+    return F.filter(items, lambda s: squash(s) != "")
 
 
 def match_brands(
@@ -189,31 +191,38 @@ def match_brands(
 ) -> DataFrame:
     """Add `brands`: the known brands that each question names, sorted.
 
-    A written list ("brands: Alpha, Beta") is looked up item by item. Without one, every
-    brand whose normalised name occurs in the normalised text counts: the text is cut
-    into its substrings of the lengths that brand names have, and those are joined to
-    the names, so no question meets every brand.
+    A written list ("brands: Alpha, Beta sales") is looked up item by item, by the words that an
+    item begins with. Without one, every
+    brand counts that is written in the text as whole words, however they are joined: the
+    text is cut into words, runs of at most as many words as the longest name has are joined to
+    the names, so no question meets every brand and `Brand#1` is not found in `Brand#12`.
+    Brands whose normalised names are equal are all named.
     """
-    named = brands.select("brand", squash("brand").alias("__name")).filter("__name <> ''")
-    named = named.groupBy("__name").agg(F.min("brand").alias("brand"))
-    lengths = named.agg(F.array_distinct(F.collect_set(F.length("__name"))).alias("l")).scalar()
+    words = F.regexp_extract_all(F.lower("brand"), F.lit("[a-z0-9]+"), 0)
+    named = brands.select("brand", squash("brand").alias("__name"), F.size(words).alias("__n"))
+    named = named.filter("__name <> ''").distinct()
+    longest = named.agg(F.max("__n").alias("n")).scalar()
     base = questions.select(
-        key, explicit_brands(text_col).alias("__items"), squash(text_col).alias("__text")
+        key, explicit_brands(text_col).alias("__items"),
+        F.regexp_extract_all(F.lower(text_col), F.lit("[a-z0-9]+"), 0).alias("__words"),
     )
-    listed = base.filter(F.size("__items") > 0).select(
-        key, F.explode(F.array_distinct("__items")).alias("__name")
+    widths = F.sequence(F.lit(1), F.coalesce(longest, F.lit(1)))
+    items = base.filter(F.size("__items") > 0).select(key, F.explode("__items").alias("__item"))
+    begun = items.select(
+        key, F.regexp_extract_all("__item", F.lit("[a-z0-9]+"), 0).alias("__words"), F.explode(widths).alias("__len")
     )
+    listed = begun.select(key, F.array_join(F.slice("__words", F.lit(1), F.col("__len")), "").alias("__name"))
     scanned = base.filter(F.size("__items") == 0).select(
-        key, "__text", F.explode(lengths).alias("__len")
+        key, "__words", F.explode(widths).alias("__len")
     )
-    last = F.length("__text") - F.col("__len") + 1
-    scanned = scanned.filter(last >= 1).select(
-        key, "__text", "__len", F.explode(F.sequence(F.lit(1), last)).alias("__at")
+    runs = F.transform(
+        F.sequence(F.lit(1), F.size("__words") - F.col("__len") + 1),
+        lambda at: F.array_join(F.slice("__words", at, F.col("__len")), ""),
     )
-    scanned = scanned.select(
-        key, F.substring(F.col("__text"), F.col("__at"), F.col("__len")).alias("__name")
+    scanned = scanned.filter(F.size("__words") >= F.col("__len")).select(
+        key, F.explode(F.array_distinct(runs)).alias("__name")
     )
-    hits = listed.unionByName(scanned).join(named, "__name")
+    hits = listed.unionByName(scanned).join(named.select("__name", "brand"), "__name")
     found = hits.groupBy(key).agg(F.array_sort(F.collect_set("brand")).alias("brands"))
     out = same_keys(questions, found, [key], "left")
     return out.withColumn("brands", F.coalesce("brands", F.array().cast("array<string>")))

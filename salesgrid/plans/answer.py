@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from salesgrid.operators import agg, compare
 from salesgrid.operators.filters import apply_filters, safe_numeric_fill
-from salesgrid.operators.questions import COMPARE_WORDS, MAT_WORDS, MAT_YEAR, extract_intents
+from salesgrid.operators.questions import COMPARE_WORDS, MAT_WORDS, MAT_YEAR, extract_intents, match_brands
 from salesgrid.operators.windows import last_month, resolve_window
 
 BRAND_SPLIT = re.compile(r"\s*(?:,|&|\+|\band\b)\s*", re.IGNORECASE)
@@ -122,6 +122,32 @@ def parse_question(spark, text: str) -> Intent:
     )
 
 
-def ask(df: DataFrame, text: str, as_of: str, months: DataFrame | None = None) -> DataFrame:
-    return answer(df, parse_question(df.sparkSession, text), as_of, months)
+def with_named_brands(intent: Intent, brands: DataFrame) -> Intent:
+    """Brands that the text names (of the column `brand`) become its filter, several also its grouping.
+
+    A written `brand:` filter stays as it is.
+    """
+    if "brand" in intent.filters:
+        return intent
+    one = brands.sparkSession.createDataFrame([(0, intent.text)], "question_id int, text string")
+    named = match_brands(one, brands).first()["brands"]  # bounded by the words of one question
+    if not named:
+        return intent
+    several = len(named) > 1
+    dims = intent.dims if not several or "brand" in intent.dims else (*intent.dims, "brand")
+    return replace(
+        intent, filters={**intent.filters, "brand": list(named) if several else named[0]}, dims=dims,
+        brand_group=intent.brand_group or several,
+    )
+
+
+def ask(
+    df: DataFrame, text: str, as_of: str, months: DataFrame | None = None, brands: DataFrame | None = None
+) -> DataFrame:
+    """The answer to one question. `brands` is a table of the known names (column `brand`), by
+    default those of the fact."""
+    intent = parse_question(df.sparkSession, text)
+    if "brand" in df.columns:
+        intent = with_named_brands(intent, df.select("brand").distinct() if brands is None else brands)
+    return answer(df, intent, as_of, months)
 

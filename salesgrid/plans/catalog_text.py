@@ -71,7 +71,7 @@ def _filter_sql(dim: str) -> str:
     return f"""coalesce(
       nullif(trim(regexp_extract(t, '{dim}\\s*[:=]\\s*"([^"]+)"', 1)), ''),
       nullif(trim(regexp_extract(t, '{dim}\\s*[:=]\\s*''([^'']+)''', 1)), ''),
-      nullif(trim(regexp_replace(regexp_extract(t, '{dim}\\s*[:=]\\s*([a-z][a-z\\s\\-&]+)', 1), '{cut}', '')), ''))"""
+      nullif(trim(regexp_replace(regexp_extract(t, '{dim}\\s*[:=]\\s*([a-z0-9#][a-z0-9#\\s\\-&]*)', 1), '{cut}', '')), ''))"""
 
 
 INTENT = f"""i AS (SELECT question_id, t,
@@ -138,12 +138,14 @@ LIST_RE = questions.BRAND_LIST.replace("'", "''")
     f"""WITH {Q}, k AS (SELECT DISTINCT question_id, text, t FROM q),
     e AS (SELECT *, list_filter(list_transform(flatten(list_transform(regexp_extract_all(t, '{LIST_RE}', 1),
       lambda s: regexp_split_to_array(s, '{questions.LIST_SPLIT}'))),
-      lambda s: regexp_replace(s, '[^a-z0-9]+', '', 'g')), lambda s: s <> '') AS items,
-      regexp_replace(t, '[^a-z0-9]+', '', 'g') AS squashed FROM k),
+      lambda s: regexp_extract_all(s, '[a-z0-9]+')), lambda s: len(s) > 0) AS items,
+      regexp_extract_all(t, '[a-z0-9]+') AS w FROM k),
     b AS (SELECT DISTINCT p_brand AS brand, regexp_replace(lower(p_brand), '[^a-z0-9]+', '', 'g') AS name FROM part),
-    d AS (SELECT DISTINCT text, items, squashed FROM e),
+    d AS (SELECT DISTINCT text, items, flatten(list_transform(items, lambda s: list_transform(range(1, 4),
+      lambda n: array_to_string(s[1:n], '')))) AS begun, flatten(list_transform(range(1, 4), lambda n: list_transform(
+      range(1, len(w) + 2 - n), lambda i: array_to_string(w[i:i + n - 1], '')))) AS runs FROM e),
     h AS (SELECT d.text, string_agg(brand, ',' ORDER BY brand) AS brands FROM d JOIN b ON
-      CASE WHEN len(items) > 0 THEN list_contains(items, name) ELSE contains(squashed, name) END GROUP BY 1)
+      CASE WHEN len(items) > 0 THEN list_contains(begun, name) ELSE list_contains(runs, name) END GROUP BY 1)
     SELECT question_id, text, coalesce(brands, '') AS brands FROM k LEFT JOIN h USING (text)""",
 )
 def j4(spark, folder):
@@ -224,10 +226,10 @@ def _ytd_items(spark, folder):
     f"""WITH {LINES}, {BOUNDS}, {YTD_ITEMS},
     s AS (SELECT *, list_transform(xs, lambda e: e.l || ' (' || {rupees_sql('e.v')} || ')') AS names,
       list_transform(xs[1:3], lambda e: e.l || ' ' || format('{{:.1f}}%', e.v / shown * 100)) AS sh FROM g)
-    SELECT category, 0 AS pos, 'The YTD view covers ' || {SPAN} || '.' AS sentence FROM s
-    UNION ALL SELECT category, 1, 'Top ' || n || ' by value sales: ' || {JOIN.format('names')} || '.' FROM s
-    UNION ALL SELECT category, 2, xs[1].l || ' leads ' || xs[2].l || ' by ' || {rupees_sql('gap')} || '.' FROM s
-    UNION ALL SELECT category, 3, 'Share within the top ' || n || ': ' || {JOIN.format('sh')} || '.' FROM s""",
+    SELECT category, 0 AS pos, 'YTD window: ' || {SPAN} || '.' AS sentence FROM s
+    UNION ALL SELECT category, 1, 'Largest value sales of ' || n || ' shown: ' || {JOIN.format('names')} || '.' FROM s
+    UNION ALL SELECT category, 2, 'First to second: ' || xs[1].l || ' sells ' || {rupees_sql('gap')} || ' more than ' || xs[2].l || '.' FROM s
+    UNION ALL SELECT category, 3, 'Parts of what these ' || n || ' sell: ' || {JOIN.format('sh')} || '.' FROM s""",
 )
 def j7_top(spark, folder):
     w, items = _ytd_items(spark, folder)
@@ -238,9 +240,9 @@ def j7_top(spark, folder):
     "J7b_say_total",
     f"""WITH {LINES}, {BOUNDS}, s AS (SELECT category, CAST(sum(u) AS DOUBLE) AS x, any_value(end_m) AS end_m,
       CAST(any_value(end_m) - INTERVAL 11 MONTH AS DATE) AS lo FROM lines, b WHERE {MAT} GROUP BY 1)
-    SELECT category, 0 AS pos, 'The MAT view covers ' || {SPAN} || '.' AS sentence FROM s
-    UNION ALL SELECT category, 1, 'Total for ' || category || ': ' || {km_sql('x')} || ' units.' FROM s
-    UNION ALL SELECT category, 2, 'That is about ' || {km_sql('(x / 12)')} || ' units per month.' FROM s""",
+    SELECT category, 0 AS pos, 'MAT window: ' || {SPAN} || '.' AS sentence FROM s
+    UNION ALL SELECT category, 1, category || ', whole window: ' || {km_sql('x')} || ' units.' FROM s
+    UNION ALL SELECT category, 2, 'The mean month has ' || {km_sql('(x / 12)')} || ' units.' FROM s""",
 )
 def j7_total(spark, folder):
     w = window(spark, folder, "MAT")
@@ -257,18 +259,18 @@ MAT3 = """p AS (SELECT 'MAT ' || y AS l, CAST(make_date(y, 9, 1) - INTERVAL 11 M
 
 
 def _step_sql(a: int, b: int) -> str:
-    return f"t[{a}].l || ' vs ' || t[{b}].l || ': ' || {signed_sql(f'(t[{a}].x / t[{b}].x - 1)')} || '.'"
+    return f"t[{a}].l || ' measured on ' || t[{b}].l || ': ' || {signed_sql(f'(t[{a}].x / t[{b}].x - 1)')} || '.'"
 
 
 @query(
     "J7c_say_mat",
     f"""WITH {LINES}, {MAT3}
     SELECT category, 0 AS pos, t[1].l || ' is highest with ' || {rupees_sql('t[1].x')} || ' in value sales.' AS sentence FROM g
-    UNION ALL SELECT category, 1, 'Windows: ' || array_to_string(list_transform(t,
+    UNION ALL SELECT category, 1, 'Months behind each total: ' || array_to_string(list_transform(t,
       lambda q: q.l || ': ' || q.s::VARCHAR || ' → ' || q.e::VARCHAR), '; ') || '.' FROM g
     UNION ALL SELECT category, 2, {_step_sql(1, 2)} FROM g
     UNION ALL SELECT category, 3, {_step_sql(2, 3)} FROM g
-    UNION ALL SELECT category, 4, 'Two-year CAGR: ' || format('{{:.2f}}%', (sqrt(t[1].x / t[3].x) - 1) * 100) || '.' FROM g""",
+    UNION ALL SELECT category, 4, 'Yearly rate over the two steps: ' || format('{{:.2f}}%', (sqrt(t[1].x / t[3].x) - 1) * 100) || '.' FROM g""",
 )
 def j7_mat(spark, folder):
     lines = sales_lines(spark, folder, ("category",))
@@ -382,8 +384,8 @@ def j7_concentration(spark, folder):
     "J7h_say_fallback",
     f"""WITH {LINES}, s AS (SELECT category, brand, {V} AS x FROM lines GROUP BY 1, 2
       QUALIFY row_number() OVER (PARTITION BY category ORDER BY {V} DESC, brand) = 1)
-    SELECT category, CASE WHEN category = 'LARGE' THEN 'Data steady; no standout changes detected.'
-    ELSE 'Top: ' || brand || ' with value sales ' || format('{{:,.0f}}', x) || '.' END AS sentence FROM s""",
+    SELECT category, CASE WHEN category = 'LARGE' THEN 'Nothing in these figures stands out.'
+    ELSE 'Largest value sales: ' || brand || ', ' || format('{{:,.0f}}', x) || '.' END AS sentence FROM s""",
 )
 def j7_fallback(spark, folder):
     rows = agg.grouped_sum(sales_lines(spark, folder, ("category", "brand")), ["category", "brand"],

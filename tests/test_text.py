@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from salesgrid.functions import dates
 from salesgrid.functions import formats as fmt
 from salesgrid.operators import dataset, questions, verbalise
 from salesgrid.plans import answer as ans
@@ -102,7 +103,7 @@ def test_settled_brands():
 def test_fallback_sentence(spark):
     df = spark.createDataFrame([(1, "A", 1234.0, "unit_sales"), (2, None, None, "unit_sales")], "k int, label string, value double, measure string")
     got = [r["sentence"] for r in verbalise.say_fallback(df, ["k"]).orderBy("k").collect()]
-    assert got == ["Top: A with unit sales 1,234.", verbalise.FALLBACK]
+    assert got == ["Largest unit sales: A, 1,234.", verbalise.FALLBACK]
 
 
 def test_sql_reads_views_only_and_keeps_all_rows(spark):
@@ -126,3 +127,39 @@ def test_rewording_replaces_whole_words(spark):
     rows = spark.createDataFrame([("Share within the top 10 grew within weeks",)], "s string")
     said = {r["paraphrase"] for r in dataset.paraphrase(rows, "s", "s", 8).collect()}
     assert all("within" in t.split() and "totalingin" not in t and "atin" not in t for t in said)
+
+
+def test_brands_are_found_as_whole_words_and_restrict_the_answer(spark):
+    names = ["A-B", "AB", "Brand#1", "Brand#12", "Zed Co"]
+    brands = spark.createDataFrame([(x,) for x in names], "brand string")
+    texts = ["compare brand#12 with a b", "brands: Zed Co sales and Brand#1", "zed co?", "", None]
+    asked = spark.createDataFrame(list(enumerate(texts)), "question_id int, text string")
+    got = {r["question_id"]: r["brands"] for r in questions.match_brands(asked, brands).collect()}
+    assert got == {0: ["A-B", "AB", "Brand#12"], 1: ["Brand#1", "Zed Co"], 2: ["Zed Co"], 3: [], 4: []}
+    fact = spark.createDataFrame([("2024-01-01", b, float(i + 1)) for i, b in enumerate(names)], "d string, brand string, value_sales double")
+    fact = fact.select(F.to_date("d").alias("date"), "brand", "value_sales")
+
+    def said(text):
+        return {r["brand"]: r["value_sales"] for r in ans.ask(fact, text, "2024-02-15").collect()}
+
+    assert said("compare brands Brand#1 and Brand#12 sales ytd") == {"Brand#1": 3.0, "Brand#12": 4.0}
+    assert said("total sales of Brand#12 ytd") == {"Brand#12": 4.0}
+    assert said("total sales ytd brand: Brand#1") == {"brand#1": 3.0}  # labelled as the question's filter is read
+
+
+def test_bare_filters_hold_digits_and_signs(spark):
+    rows = [("brand: Brand#7 mat",), ("category: 7up from jan 2024",), ("market: north jan 2024 to mar 2024",), ("category: brand: x",)]
+    got = questions.extract_intents(spark.createDataFrame(rows, "text string")).select(*[f"filter_{d}" for d in ("brand", "category", "market")])
+    assert [tuple(r) for r in got.collect()] == [("brand#7", None, None), (None, "7up", None), (None, None, "north"), ("x", None, None)]
+
+
+def test_rarer_date_shapes(spark):
+    want = {
+        "25-Nov-25": "2025-11-25 00:00:00", "Nov-25": "2025-11-01 00:00:00", "15/01/24": "2024-01-15 00:00:00",
+        "15/01/70": "1970-01-15 00:00:00", "Nov 25 2025": "2025-11-25 00:00:00", "2024-01-15T10:00:00Z": "2024-01-15 10:00:00",
+        "2024.01.15": "2024-01-15 00:00:00", "01/15/2024 12:00:00 AM": "2024-01-15 00:00:00", "15/01/2024 3:05 PM": "2024-01-15 15:05:00",
+        "2024": "2024-01-01 00:00:00", "45000": "2023-03-15 00:00:00", "junk": None,
+    }
+    rows = spark.createDataFrame([(x,) for x in want], "x string")
+    got = {r["x"]: r["t"] for r in rows.select("x", dates.parse_mixed_date("x").cast("string").alias("t")).collect()}
+    assert got == want
