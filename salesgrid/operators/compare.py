@@ -208,7 +208,8 @@ def mat_windows(
         stop = mat_period(year, anchor_month)["stop"]
         if last_month is not None:
             stop = F.least(stop, F.add_months(last_month, 1))
-        out.append((f"MAT {year}", MonthWindow(F.add_months(stop, -12), stop)))
+        window = MonthWindow(F.add_months(stop, -12), stop, last_month is None)
+        out.append((f"MAT {year}", window))
     return out
 
 
@@ -341,9 +342,14 @@ def yoy_facts(items: DataFrame, dim: str = "brand") -> DataFrame:
     other rank with the one above it.
     """
     ranked = with_rank(items, [], "yoy_pct", tie=(dim,))
-    mean = items.agg(F.avg("yoy_pct").alias("m")).scalar()
-    up = items.agg(F.count(F.when(F.col("yoy_pct") > 0, 1)).alias("n")).scalar()
-    down = items.agg(F.count(F.when(F.col("yoy_pct") < 0, 1)).alias("n")).scalar()
+    whole = items.agg(
+        F.struct(
+            F.avg("yoy_pct").alias("mean"),
+            F.count(F.when(F.col("yoy_pct") > 0, 1)).alias("up"),
+            F.count(F.when(F.col("yoy_pct") < 0, 1)).alias("down"),
+        ).alias("w")
+    ).scalar()
+    mean, up, down = (whole.getField(name) for name in ("mean", "up", "down"))
     other = ranked.select(
         F.when(F.col("rank") == 2, F.array(F.lit(1), F.lit(3)))
         .otherwise(F.array((F.col("rank") + 1)))

@@ -1,11 +1,12 @@
 """Ordered computations over groups that may be too large for one task.
 
 Running totals, ranks and exact quantiles need an order inside a group. A window
-over the whole group would bring it into one task, so the group is first cut into
-value ranges: equal-width ranges between the group's least and greatest value,
-and each of those cut again between its own least and greatest. The cut depends
-only on the values, so recomputed tasks agree. Each range is ordered on its own
-and starts from the totals of the ranges before it.
+over the whole group would bring it into one task, so a large group is first cut
+into ranges of about equally many rows. The bounds are taken from a sample of the
+group: of the rows of each hash bucket the one with the least hash, so the sample
+is bounded, depends on the rows alone, and recomputed tasks agree. Rows of equal
+value are told apart by their tie columns, so ties are cut like anything else.
+Each range is ordered on its own and starts from the totals of the ranges before it.
 """
 
 from __future__ import annotations
@@ -16,27 +17,49 @@ from pyspark.sql.window import Window
 
 from salesgrid.functions.sums import same_keys
 
-RANGES = 64
+SAMPLE = 4096  # rows of a group that its bounds are taken from, at most
+RANGES = 256  # ranges of a group, at most
+RANGE_ROWS = 20_000  # a group of no more rows stays whole
 
 
-def _cut(df: DataFrame, keys: list[str], order: str, name: str, ranges: int) -> DataFrame:
-    """Add `name`: the equal-width range of `order` within its group, null ranges last."""
-    x = F.col(order).cast("double")
-    if keys:
-        span = df.groupBy(*keys).agg(
-            F.min(order).cast("double").alias("__lo"), F.max(order).cast("double").alias("__hi")
-        )
-        if keys == ["__r1"]:
-            # Without keys of its own the table has one row per range: RANGES + 1 at most.
-            span = F.broadcast(span)
-        df = same_keys(df, span, keys)
-        lo, hi = F.col("__lo"), F.col("__hi")
+def _place(df: DataFrame, order: str, descending: bool, tie: tuple[str, ...]) -> Column:
+    """What rows are ordered by: the value, nulls last, then the ties (a hash of the row if none)."""
+    x = -F.col(order) if descending else F.col(order)
+    if tie:
+        rest = [c for t in tie for c in (F.col(t).isNull(), F.col(t))]
     else:
-        lo = df.agg(F.min(order).cast("double").alias("v")).scalar()
-        hi = df.agg(F.max(order).cast("double").alias("v")).scalar()
-    part = F.floor((x - lo) / (hi - lo) * ranges)
-    cut = F.when(x.isNull(), F.lit(ranges)).when(hi > lo, F.least(part, F.lit(ranges - 1)))
-    return df.withColumn(name, F.coalesce(cut, F.lit(0)).cast("int")).drop("__lo", "__hi")
+        rest = [F.xxhash64(*[c for c, kind in df.dtypes if not kind.startswith("map")])]
+    parts = [F.col(order).isNull(), x, *rest]
+    return F.struct(*[c.alias(f"p{i}") for i, c in enumerate(parts)])
+
+
+def cut(
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    descending: bool = False,
+    tie: tuple[str, ...] = (),
+    rows: int = RANGE_ROWS,
+) -> DataFrame:
+    """Add `__at`, the place of a row, and `__r`, the range of its group that holds it."""
+    df = df.withColumn("__at", _place(df, order, descending, tie))
+    spot = df.select(*keys, "__at", F.xxhash64("__at").alias("__h"))
+    least = (
+        spot.groupBy(*keys, F.pmod("__h", F.lit(SAMPLE)).alias("__b"))
+        .agg(F.min(F.struct("__h", "__at")).alias("__s"), F.count("*").alias("__c"))
+    )
+    sample = F.sort_array(F.collect_list("__s.__at"))
+    number = F.least(F.lit(RANGES), F.ceil(F.sum("__c") / rows)).cast("int")
+    few = least.groupBy(*keys).agg(sample.alias("__s"), number.alias("__k"))
+    at = F.transform(
+        F.sequence(F.lit(1), F.col("__k") - 1),
+        lambda i: F.element_at("__s", (F.floor(i * F.size("__s") / F.col("__k")) + 1).cast("int")),
+    )
+    bounds = F.when(F.col("__k") > 1, at).otherwise(F.slice("__s", 1, 0))
+    few = few.select(*keys, bounds.alias("__bounds"))
+    df = same_keys(df, few, keys) if keys else df.withColumn("__bounds", few.scalar())
+    passed = F.size(F.filter("__bounds", lambda b: b <= F.col("__at")))
+    return df.withColumn("__r", F.coalesce(passed, F.lit(0))).drop("__bounds")
 
 
 def with_running(
@@ -46,44 +69,37 @@ def with_running(
     totals: dict[str, Column],
     descending: bool = False,
     tie: tuple[str, ...] = (),
-    ranges: int = RANGES,
+    rows: int = RANGE_ROWS,
 ) -> DataFrame:
-    """Add running totals (this row included) of `totals` within `keys`, by `order`.
+    """Add running totals (this row included) of `totals` within `keys`, by the number `order`.
 
     Nulls of `order` come last. `tie` fixes the order of equal values. Keep the
     totals exact (integers, decimals) where results must not vary between runs.
+    Rows alike in `order` and `tie` share a range, so let `tie` tell rows apart.
     """
     keys = list(keys)
     cols = df.columns
     names = {name: f"__add_{name}" for name in totals}
     df = df.withColumns({names[n]: c for n, c in totals.items()})
-    df = _cut(df, keys, order, "__r1", ranges)
-    df = _cut(df, keys + ["__r1"], order, "__r2", ranges)
-    ranked = keys + ["__r1", "__r2"]
-
-    def turned(c: str) -> Column:
-        return F.when(F.col(c) < ranges, -F.col(c)).otherwise(F.col(c)) if descending else F.col(c)
-
+    df = cut(df, keys, order, descending, tie, rows)
+    ranked = keys + ["__r"]
+    # one row per range: at most RANGES of a group meet here
     before = (
-        Window.partitionBy(*keys)
-        .orderBy(turned("__r1"), turned("__r2"))
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     )
     starts = (
         df.groupBy(*ranked)
         .agg(*[F.sum(a).alias(a) for a in names.values()])
         .select(*ranked, *[F.sum(a).over(before).alias(f"__from{a}") for a in names.values()])
     )
-    first = F.desc_nulls_last(order) if descending else F.asc_nulls_last(order)
     inside = (
         Window.partitionBy(*ranked)
-        .orderBy(first, *[F.asc_nulls_last(t) for t in tie])
+        .orderBy("__at")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     out = df.withColumns({f"__in{a}": F.sum(a).over(inside) for a in names.values()})
     if not keys:
-        # One row per range of a range: (RANGES + 1) squared at most.
-        starts = F.broadcast(starts)
+        starts = F.broadcast(starts)  # RANGES rows at most
     out = same_keys(out, starts, ranked)
     zero = F.lit(0)
     return out.select(

@@ -1,15 +1,17 @@
 """Windows of whole months. Bounds are columns, so nothing runs until the query does.
 
 The data's own first and last month are read through a scalar subquery: one
-aggregate over the date column, whose value Spark hands to the scan as a
-pushed-down filter.
+aggregate over the date column. `sales_lines` hands a window's bounds to the scan
+(`MonthWindow.bounds`).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesgrid.functions.dates import month_start
@@ -17,10 +19,14 @@ from salesgrid.functions.dates import month_start
 
 @dataclass(frozen=True)
 class MonthWindow:
-    """Half-open: from the first day of the first month up to, not including, `stop`."""
+    """Half-open: from the first day of the first month up to, not including, `stop`.
+
+    `literal`: both bounds are made of literals alone.
+    """
 
     start: Column
     stop: Column
+    literal: bool = False
 
     def has(self, col: str | Column = "date") -> Column:
         c = F.col(col) if isinstance(col, str) else col
@@ -36,11 +42,44 @@ class MonthWindow:
         return F.add_months(self.stop, -1)
 
     def shifted(self, months: int) -> "MonthWindow":
-        return MonthWindow(F.add_months(self.start, months), F.add_months(self.stop, months))
+        start, stop = (F.add_months(c, months) for c in (self.start, self.stop))
+        return MonthWindow(start, stop, self.literal)
+
+    def bounds(self, spark: SparkSession, kind: str) -> tuple[Column, Column]:
+        """Start and stop of the type `kind`, in a form that reaches a scan of such a column.
+
+        A scan takes a literal, or a subquery whose value is compared as it is; a bound
+        worked out from a subquery is therefore made the value of one.
+        """
+        ends = self.start.cast(kind), self.stop.cast(kind)
+        if self.literal:
+            return ends
+        return tuple(spark.range(1).select(c.alias("v")).scalar() for c in ends)
 
     @classmethod
     def of(cls, start: str, stop: str) -> "MonthWindow":
-        return cls(F.lit(start).cast("date"), F.lit(stop).cast("date"))
+        return cls(F.lit(start).cast("date"), F.lit(stop).cast("date"), True)
+
+    @classmethod
+    def period(cls, period: dict[str, Column], literal: bool = False) -> "MonthWindow":
+        """The window of a `mat_period` or `ytd_period`."""
+        return cls(period["start"], period["stop"], literal)
+
+
+def hull(*windows: MonthWindow) -> MonthWindow:
+    """From the first start to the last stop of the windows."""
+
+    def ends(pick, side: str) -> Column:
+        return reduce(pick, [getattr(w, side) for w in windows])
+
+    return MonthWindow(
+        ends(F.least, "start"), ends(F.greatest, "stop"), all(w.literal for w in windows)
+    )
+
+
+def with_prev_year(window: MonthWindow) -> MonthWindow:
+    """The window and the same months a year earlier, as one span."""
+    return hull(window.shifted(-12), window)
 
 
 def first_month(df: DataFrame, col: str = "date") -> Column:

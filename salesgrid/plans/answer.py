@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from salesgrid.operators import agg, compare
 from salesgrid.operators.filters import apply_filters, safe_numeric_fill
 from salesgrid.operators.questions import COMPARE_WORDS, MAT_WORDS, MAT_YEAR, extract_intents, match_brands
-from salesgrid.operators.windows import last_month, resolve_window
+from salesgrid.operators.windows import MonthWindow, hull, last_month, resolve_window, with_prev_year
 
 BRAND_SPLIT = re.compile(r"\s*(?:,|&|\+|\band\b)\s*", re.IGNORECASE)
 
@@ -65,6 +65,26 @@ def free_dims(intent: Intent) -> list[str]:
     return dims if grouped else [d for d in dims if d != "brand"]
 
 
+def compared_years(intent: Intent, as_of: str) -> list[int]:
+    """The years whose MATs the text asks to compare, newest default first; none if it asks for no MATs."""
+    text = intent.text.lower()
+    years = _mat_years(text)
+    if re.search(MAT_WORDS, text) and (re.search(COMPARE_WORDS, text) or len(years) >= 2):
+        year = previous_month(as_of)[0]
+        return years or [year, year - 1]
+    return []
+
+
+def months_read(intent: Intent, as_of: str, months: DataFrame) -> MonthWindow:
+    """The span of months that `answer` reads for an intent: hand it to the scan of the fact."""
+    years = compared_years(intent, as_of)
+    if years:
+        spans = compare.mat_windows(years, previous_month(as_of)[1], last_month(months))
+        return hull(*[w for _, w in spans])
+    window = resolve_window(months, intent.mode, as_of, intent.start, intent.end)
+    return with_prev_year(window) if intent.is_yoy else window
+
+
 def answer(df: DataFrame, intent: Intent, as_of: str, months: DataFrame | None = None) -> DataFrame:
     """The intent's result over fact rows or sales lines.
 
@@ -73,14 +93,10 @@ def answer(df: DataFrame, intent: Intent, as_of: str, months: DataFrame | None =
     months = df if months is None else months
     intent = settle_brands(intent)
     base = apply_filters(df, intent.filters)
-    dims, text = free_dims(intent), intent.text.lower()
-    years = _mat_years(text)
-    compares = bool(re.search(COMPARE_WORDS, text)) or len(years) >= 2
-    if re.search(MAT_WORDS, text) and compares:
-        year, month = previous_month(as_of)
-        out = compare.mat_compare(
-            base, years or [year, year - 1], month, dims, intent.measure, last_month(months)
-        )
+    dims, years = free_dims(intent), compared_years(intent, as_of)
+    if years:
+        month = previous_month(as_of)[1]
+        out = compare.mat_compare(base, years, month, dims, intent.measure, last_month(months))
         return safe_numeric_fill(out)
     window = resolve_window(months, intent.mode, as_of, intent.start, intent.end)
     if intent.is_yoy:

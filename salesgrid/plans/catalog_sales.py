@@ -22,6 +22,23 @@ def window(spark, folder, mode, **kw):
     return win.resolve_window(calendar(spark, folder), mode, as_of=AS_OF, **kw)
 
 
+def year_on_year(spark, folder, dims, mode="MAT"):
+    """A window, and the lines of it and of the same months a year earlier."""
+    w = window(spark, folder, mode)
+    return w, sales_lines(spark, folder, dims, win.with_prev_year(w))
+
+
+MAT_YEARS = [1999, 2000, 2001, 2002]
+
+
+def mat_compared(spark, folder, dims, measure="value_sales"):
+    """The MAT periods of MAT_YEARS up to September; only their months are read."""
+    last = win.last_month(calendar(spark, folder))
+    span = win.hull(*[w for _, w in compare.mat_windows(MAT_YEARS, 9, last)])
+    lines = sales_lines(spark, folder, tuple(dims), span)
+    return compare.mat_compare(lines, MAT_YEARS, 9, dims, measure, last)
+
+
 def flagship(spark, folder):
     """Top five brands of a category by value over the moving annual total."""
     mat = window(spark, folder, "MAT")
@@ -437,9 +454,8 @@ TWO = """SELECT {dims}, CAST(sum(v) FILTER ({cur}) AS DOUBLE) AS c, CAST(sum(v)
     {total_sql('c')} AS curr, {total_sql('p')} AS prev FROM y GROUP BY 1""",
 )
 def c18(spark, folder):
-    mat = window(spark, folder, "MAT")
-    rows = compare.yoy(sales_lines(spark, folder, ("category", "brand")), ["category", "brand"],
-                       "value_sales", mat)
+    mat, lines = year_on_year(spark, folder, ("category", "brand"))
+    rows = compare.yoy(lines, ["category", "brand"], "value_sales", mat)
     out = agg.yoy_items(rows, ["category"])
     return out.withColumn("yoy_pct", F.round("yoy_pct", 6))
 
@@ -454,12 +470,7 @@ MATS = f"""p AS (SELECT y, 'MAT ' || y AS mat_label, least(make_date(y, 9, 1), l
     WHERE date BETWEEN e - INTERVAL 11 MONTH AND e GROUP BY 1""",
 )
 def c19(spark, folder):
-    last = win.last_month(calendar(spark, folder))
-    rows = compare.mat_compare(
-        sales_lines(spark, folder, ("brand",)), [1999, 2000, 2001, 2002], 9, ["brand"],
-        last_month=last,
-    )
-    return agg.mat_items(rows)
+    return agg.mat_items(mat_compared(spark, folder, ["brand"]))
 
 
 @query(
@@ -501,8 +512,8 @@ def c21(spark, folder):
     ORDER BY 2 DESC NULLS LAST, 1 LIMIT 1""",
 )
 def c22(spark, folder):
-    rows = compare.yoy(sales_lines(spark, folder, ("brand",)), ["brand"], "value_sales",
-                       window(spark, folder, "MAT"))
+    mat, lines = year_on_year(spark, folder, ("brand",))
+    rows = compare.yoy(lines, ["brand"], "value_sales", mat)
     out = agg.best_yoy(rows, "brand")
     return out.withColumn("yoy_pct", F.round("yoy_pct", 6))
 
@@ -583,8 +594,8 @@ YOY = "CASE WHEN p <> 0 THEN c / p - 1 END"
     FROM y""",
 )
 def d1(spark, folder):
-    out = compare.yoy(sales_lines(spark, folder, ("category", "brand")), ["category", "brand"],
-                      "value_sales", window(spark, folder, "MAT"))
+    mat, lines = year_on_year(spark, folder, ("category", "brand"))
+    out = compare.yoy(lines, ["category", "brand"], "value_sales", mat)
     return out.withColumn("value_yoy", F.round("value_yoy", 6))
 
 
@@ -595,8 +606,8 @@ def d1(spark, folder):
     coalesce(round({YOY}, 6), 0) AS value_yoy FROM y ORDER BY {YOY} DESC NULLS LAST, brand LIMIT 5""",
 )
 def d1b(spark, folder):
-    out = compare.yoy(sales_lines(spark, folder, ("brand",)), ["brand"], "value_sales",
-                      window(spark, folder, "YTD"), n=5)
+    ytd, lines = year_on_year(spark, folder, ("brand",), "YTD")
+    out = compare.yoy(lines, ["brand"], "value_sales", ytd, n=5)
     return compare.filled(out.withColumn("value_yoy", F.round("value_yoy", 6)))
 
 
@@ -607,7 +618,8 @@ def d1b(spark, folder):
     SELECT c AS unit_sales_curr, p AS unit_sales_prev, round({YOY}, 6) AS unit_yoy FROM y""",
 )
 def d2(spark, folder):
-    out = compare.yoy(sales_lines(spark, folder, ()), [], "unit_sales", window(spark, folder, "MAT"))
+    mat, lines = year_on_year(spark, folder, ())
+    out = compare.yoy(lines, [], "unit_sales", mat)
     return out.withColumn("unit_yoy", F.round("unit_yoy", 6))
 
 
@@ -660,11 +672,7 @@ def d5(spark, folder):
     WHERE date BETWEEN e - INTERVAL 11 MONTH AND e GROUP BY mat_label, e, category""",
 )
 def d6(spark, folder):
-    out = compare.mat_compare(
-        sales_lines(spark, folder, ("category",)), [1999, 2000, 2001, 2002], 9, ["category"],
-        last_month=win.last_month(calendar(spark, folder)),
-    )
-    return out.drop("pos")
+    return mat_compared(spark, folder, ["category"]).drop("pos")
 
 
 @query(
@@ -677,11 +685,7 @@ def d6(spark, folder):
     FROM s WINDOW w AS (ORDER BY x DESC, mat_label)""",
 )
 def d7(spark, folder):
-    periods = compare.mat_compare(
-        sales_lines(spark, folder, ()), [1999, 2000, 2001, 2002], 9, [], "unit_sales",
-        last_month=win.last_month(calendar(spark, folder)),
-    )
-    out = compare.mat_growth(periods, "unit_sales")
+    out = compare.mat_growth(mat_compared(spark, folder, [], "unit_sales"), "unit_sales")
     return out.withColumns({c: F.round(c, 6) for c in ("growth_vs_next", "cagr_2y")})
 
 
@@ -704,7 +708,8 @@ def _ranked_sql(cur, prev, labels, dates):
     ),
 )
 def d8(spark, folder):
-    lines = sales_lines(spark, folder, ("category", "brand"))
+    span = win.with_prev_year(win.MonthWindow.period(win.mat_period(2000, 9), True))
+    lines = sales_lines(spark, folder, ("category", "brand"), span)
     out = compare.mat_yoy(lines, "promo", 2000, 9)
     return out.withColumn("yoy_pct", F.round("yoy_pct", 6))
 
@@ -717,7 +722,8 @@ def d8(spark, folder):
     ),
 )
 def d9(spark, folder):
-    lines = sales_lines(spark, folder, ("category", "brand"))
+    span = win.with_prev_year(win.MonthWindow.period(win.ytd_period(2000, 6), True))
+    lines = sales_lines(spark, folder, ("category", "brand"), span)
     out = compare.ytd_yoy(lines, "promo", 2000, 6)
     return out.withColumn("yoy_pct", F.round("yoy_pct", 6))
 
@@ -768,8 +774,8 @@ def d11(spark, folder):
     FROM r WINDOW w AS (ORDER BY rank)""",
 )
 def d12(spark, folder):
-    rows = compare.yoy(sales_lines(spark, folder, ("brand",)), ["brand"], "value_sales",
-                       window(spark, folder, "MAT"))
+    mat, lines = year_on_year(spark, folder, ("brand",))
+    rows = compare.yoy(lines, ["brand"], "value_sales", mat)
     items = rows.select("brand", F.col("value_sales_curr").alias("curr"),
                         F.col("value_sales_prev").alias("prev"), F.col("value_yoy").alias("yoy_pct"))
     out = compare.yoy_facts(items)
@@ -952,8 +958,7 @@ def e11(spark, folder):
 
 
 def _halves(spark, folder):
-    mat = window(spark, folder, "MAT")
-    lines = sales_lines(spark, folder, ("category", "brand"))
+    mat, lines = year_on_year(spark, folder, ("category", "brand"))
     curr = agg.grouped_sum(win.in_window(lines, mat), ["category", "brand"], "value_sales")
     prev = win.in_window(lines, win.prev_year_window(mat))
     return curr, agg.grouped_sum(prev, ["category", "brand"], "value_sales")
@@ -984,8 +989,7 @@ def h1(spark, folder):
     CAST(sum(v) FILTER ({MAT_PREV}) AS DOUBLE) AS value_sales_prev FROM lines, b""",
 )
 def h2(spark, folder):
-    mat = window(spark, folder, "MAT")
-    lines = sales_lines(spark, folder, ())
+    mat, lines = year_on_year(spark, folder, ())
     return compare.two_windows(lines, [], "value_sales", mat, win.prev_year_window(mat), True)
 
 

@@ -11,7 +11,7 @@ from salesgrid.operators import windows as win
 from salesgrid.operators.spread import with_rank
 from salesgrid.plans import answer as ans
 from salesgrid.plans import payload as pay
-from salesgrid.plans.catalog_sales import MAT, MAT_PREV, TWO, YOY, YTD, V, window
+from salesgrid.plans.catalog_sales import MAT, MAT_PREV, TWO, YOY, YTD, V, window, year_on_year
 from salesgrid.plans.registry import AS_OF, BOUNDS, LINES, query, total_sql
 from salesgrid.plans.sql import run_sql
 from salesgrid.sources.fact import calendar, fact, read_table, sales_lines
@@ -273,8 +273,10 @@ def _step_sql(a: int, b: int) -> str:
     UNION ALL SELECT category, 4, 'Yearly rate over the two steps: ' || format('{{:.2f}}%', (sqrt(t[1].x / t[3].x) - 1) * 100) || '.' FROM g""",
 )
 def j7_mat(spark, folder):
-    lines = sales_lines(spark, folder, ("category",))
-    periods = compare.mat_compare(lines, [1999, 2000, 2001], 9, ["category"])
+    years = [1999, 2000, 2001]
+    span = win.hull(*[w for _, w in compare.mat_windows(years, 9)])
+    lines = sales_lines(spark, folder, ("category",), span)
+    periods = compare.mat_compare(lines, years, 9, ["category"])
     best = Window.partitionBy("category").orderBy(F.desc("value_sales"), "mat_label")
     periods = periods.withColumn("rank", F.row_number().over(best))
     return verbalise.say_mat(periods, ["category"], variant=0)
@@ -303,8 +305,8 @@ YOY_SAID = f"""y AS ({TWO.format(dims='category, brand', cur=MAT, prev=MAT_PREV)
       count(*) FILTER (g < 0) || ' decline.' END FROM a GROUP BY 1""",
 )
 def j7_yoy(spark, folder):
-    rows = compare.yoy(sales_lines(spark, folder, ("category", "brand")), ["category", "brand"],
-                       "value_sales", window(spark, folder, "MAT"))
+    mat, lines = year_on_year(spark, folder, ("category", "brand"))
+    rows = compare.yoy(lines, ["category", "brand"], "value_sales", mat)
     items = rows.select("category", "brand", F.col("value_sales_curr").alias("curr"),
                         F.col("value_sales_prev").alias("prev"), F.col("value_yoy").alias("yoy_pct"))
     ranked = with_rank(items, ["category"], "yoy_pct", tie=("brand",))
@@ -730,7 +732,9 @@ def q1(spark, folder):
 
 
 def _ask(spark, folder, intent, dims=("market", "channel", "category", "brand")):
-    return ans.answer(sales_lines(spark, folder, dims), intent, AS_OF, calendar(spark, folder))
+    months = calendar(spark, folder)
+    span = ans.months_read(intent, AS_OF, months)
+    return ans.answer(sales_lines(spark, folder, dims, span), intent, AS_OF, months)
 
 
 @query(

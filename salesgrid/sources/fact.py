@@ -39,13 +39,15 @@ def calendar(spark: SparkSession, folder: str) -> DataFrame:
 def sales_lines(
     spark: SparkSession, folder: str, dims=DIMS, window: MonthWindow | None = None
 ) -> DataFrame:
-    """One row per order line: month, the asked-for dimensions, exact value and units."""
+    """One row per order line: month, the asked-for dimensions, exact value and units.
+
+    With `window` only its months are read. A comparison of windows passes their `hull`.
+    """
     lines = read_table(spark, folder, "lineitem")
     if window is not None:
-        lines = lines.filter(
-            (F.col("l_shipdate") >= window.start.cast("timestamp_ntz"))
-            & (F.col("l_shipdate") < window.stop.cast("timestamp_ntz"))
-        )
+        kind = dict(lines.dtypes)["l_shipdate"]
+        start, stop = window.bounds(spark, kind)
+        lines = lines.filter((F.col("l_shipdate") >= start) & (F.col("l_shipdate") < stop))
     lines = lines.select(
         "l_orderkey",
         "l_partkey",

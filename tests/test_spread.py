@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+import pytest
 
-from salesgrid.operators.spread import exact_quantiles, with_rank, with_running
+from salesgrid.operators.spread import cut, exact_quantiles, with_rank, with_running
 from pyspark.sql import functions as F
 
 
@@ -49,3 +50,23 @@ def test_exact_quantiles(spark):
             assert np.isclose(r[name], np.quantile(values, p), rtol=1e-12), (r["k"], name)
     whole = exact_quantiles(df, [], "x", {"med": 0.5}).first()["med"]
     assert np.isclose(whole, np.median([v for *_, v in rows if v is not None]), rtol=1e-12)
+
+
+@pytest.mark.parametrize("value", ("exp(2 * randn(5))", "1.0D"))
+def test_ranges_are_even_for_skew_and_ties(spark, value):
+    df = spark.range(40_000).selectExpr("id", f"{value} AS x")
+    sizes = [r["count"] for r in cut(df, [], "x", tie=("id",), rows=2_000).groupBy("__r").count().collect()]
+    assert sum(sizes) == 40_000 and len(sizes) == 20 and max(sizes) <= 2 * 2_000
+
+
+@pytest.mark.parametrize("descending", (False, True))
+def test_cut_groups_are_ranked_as_whole_ones(spark, descending):
+    rows = sample()
+    df = spark.createDataFrame(rows, "id int, k string, x double")
+    got = with_running(df, ["k"], "x", {"n": F.lit(1)}, descending, ("id",), rows=100).collect()
+    want = {}
+    for key in {r[1] for r in rows}:
+        part = [r for r in rows if r[1] == key]
+        part.sort(key=lambda r: (r[2] is None, (-r[2] if descending else r[2]) if r[2] is not None else 0, r[0]))
+        want |= {r[0]: n for n, r in enumerate(part, start=1)}
+    assert {r["id"]: r["n"] for r in got} == want
