@@ -12,7 +12,7 @@ from salesgrid.operators.agg import grouped_sum
 from salesgrid.operators.spread import top_rows, with_running
 
 
-def _share(df: DataFrame, part_of: list[str], measure: str, total: str, name: str) -> DataFrame:
+def with_total(df: DataFrame, part_of: list[str], measure: str, total: str, name: str) -> DataFrame:
     """Add the group total and the percentage of it.
 
     The totals are aggregated (map side first) and joined back, so a group of any size
@@ -27,21 +27,21 @@ def _share(df: DataFrame, part_of: list[str], measure: str, total: str, name: st
 def market_share(df: DataFrame, measure: str = "value_sales") -> DataFrame:
     """Brand share within category and market, best first."""
     sums = grouped_sum(df, ["category", "market", "brand"], measure)
-    out = _share(sums, ["category", "market"], measure, "total_sales", "market_share_percent")
+    out = with_total(sums, ["category", "market"], measure, "total_sales", "market_share_percent")
     return out.orderBy("category", "market", F.desc("market_share_percent"), "brand")
 
 
 def category_share(monthly: DataFrame, measure: str = "value_sales") -> DataFrame:
     """Share of each cell in its month, market, channel and category."""
     keys = ["month", "market", "channel", "category"]
-    return _share(monthly, keys, measure, "cat_total_value", "share")
+    return with_total(monthly, keys, measure, "cat_total_value", "share")
 
 
 def pareto(df: DataFrame, by=("category", "market"), item="brand", measure="value_sales"):
     """Share and running share of the items, largest first, with the 80 % line."""
     by = list(by)
     sums = grouped_sum(df, [*by, item], measure)
-    out = _share(sums, by, measure, "cat_mkt_total", "share_pct")
+    out = with_total(sums, by, measure, "cat_mkt_total", "share_pct")
     exact = F.col(measure).cast("decimal(28,4)")
     run = with_running(out, by, measure, {"__run": exact}, descending=True, tie=(item,))
     cum = 100 * ratio(F.col("__run").cast("double"), F.col("cat_mkt_total"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from salesgrid.operators import agg
-from salesgrid.plans.registry import FACT, PARSED, RAW, query
+from salesgrid.plans.registry import FACT, LINES, PARSED, RAW, query
 from salesgrid.sources import fact as src
-from salesgrid.sources import ingest
+from salesgrid.sources import files, ingest
 
 
 def raw_sheet(spark, folder):
@@ -184,9 +184,9 @@ def a10(spark, folder):
     " year(date) AS year FROM fact",
 )
 def a11(spark, folder):
-    rows = src.fact(spark, folder)
-    rows.createOrReplaceTempView("fact")
-    return spark.table("fact").withColumn("year", F.year("date").cast("bigint"))
+    """The fact written, and read back through its view."""
+    src.save_fact(src.fact(spark, folder), files.scratch(spark, "fact"), "stored_fact")
+    return spark.table("stored_fact").withColumn("year", F.year("date").cast("bigint"))
 
 
 @query(
@@ -211,9 +211,29 @@ def a13(spark, folder):
 
 @query("A14_json_lines", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events")
 def a14(spark, folder):
-    """The JSON text of every event, read with the rule of the JSON-lines source."""
+    """Every event written as a JSON line and read back."""
     events = src.read_table(spark, folder, "events")
-    return events.select("event_id", F.from_json("props", "k bigint").getField("k").alias("k"))
+    path = files.scratch(spark, "events")
+    files.write_jsonl(
+        events.select("event_id", F.from_json("props", "k bigint").getField("k").alias("k")), path
+    )
+    return files.read_jsonl(spark, path, "event_id bigint, k bigint")
+
+
+@query(
+    "A15_csv",
+    f"""WITH {LINES} SELECT date, brand AS name, CAST(sum(v) AS DOUBLE) AS value_sales FROM lines
+    GROUP BY 1, 2""",
+)
+def a15(spark, folder):
+    """Monthly brand totals written as CSV and read back."""
+    lines = src.sales_lines(spark, folder, ("brand",))
+    path = files.scratch(spark, "totals")
+    files.write_csv(agg.grouped_sum(lines, ["date", "brand"], "value_sales"), path)
+    rows = src.load_fact(spark, path, {"name": "brand"}, "csv")
+    return rows.select(
+        F.col("date").cast("date").alias("date"), "name", F.col("value_sales").cast("double").alias("value_sales")
+    )
 
 
 @query(
@@ -267,27 +287,22 @@ def a19(spark, folder):
 @query(
     "A20_full_ingest",
     f"""WITH {PARSED}, cells AS (SELECT date, market, channel, category, brand,
-      CAST(sum(CAST(abs(value_sales) AS DECIMAL(28,4))) AS DOUBLE) AS value_sales,
-      CAST(sum(CAST(unit_sales AS DECIMAL(28,4))) AS DOUBLE) AS unit_sales
+      CAST(sum(CAST(abs(value_sales) AS DECIMAL(28,4))) AS DOUBLE) AS value_sales
       FROM ready WHERE date IS NOT NULL GROUP BY ALL),
     f AS (SELECT *, last_value(value_sales IGNORE NULLS) OVER (PARTITION BY market, channel,
       category, brand ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pad
-      FROM cells)
-    SELECT date, market, channel, category, brand, value_sales, unit_sales,
-      round(CASE WHEN lag(pad, 12) OVER s <> 0 THEN pad / lag(pad, 12) OVER s - 1 END, 6)
-      AS value_yoy FROM f
-    WINDOW s AS (PARTITION BY market, channel, category, brand ORDER BY date)""",
+      FROM cells),
+    g AS (SELECT date, market, channel, category, brand,
+      round(CASE WHEN lag(pad, 12) OVER s <> 0 THEN pad / lag(pad, 12) OVER s - 1 END, 6) AS value_yoy FROM f
+      WINDOW s AS (PARTITION BY market, channel, category, brand ORDER BY date))
+    SELECT date, market, channel, category, brand, abs(value_sales) AS value_sales, unit_sales, value_yoy
+    FROM ready LEFT JOIN g USING (date, market, channel, category, brand)""",
 )
 def a20(spark, folder):
-    rows = ingest.read_raw(raw_sheet(spark, folder))
-    good, _ = ingest.split_invalid_dates(rows)
-    cells = good.groupBy("date", *src.DIMS).agg(
-        F.sum(F.abs("value_sales").cast("decimal(28,4)")).cast("double").alias("value_sales"),
-        F.sum(F.col("unit_sales").cast("decimal(28,4)")).cast("double").alias("unit_sales"),
-        F.lit(None).cast("double").alias("share"),
-    )
-    out = ingest.derive_fields(cells)
+    """The sheet without its minus signs, ingested: the derived rows, and those without a date."""
+    sheet = raw_sheet(spark, folder).withColumn("Value", F.regexp_replace("Value", "-(?=[0-9])", ""))
+    good, rejected = ingest.ingest(sheet)
+    out = good.unionByName(rejected, allowMissingColumns=True)
     return out.select(
         "date", *src.DIMS, "value_sales", "unit_sales", F.round("value_yoy", 6).alias("value_yoy")
     )
-

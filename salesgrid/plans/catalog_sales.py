@@ -1006,6 +1006,43 @@ def h3(spark, folder):
     )
 
 
+@query(
+    "H4_totals_to_detail",
+    f"""WITH {LINES}, s AS (SELECT date, category, brand, {V} AS value_sales FROM lines GROUP BY 1, 2, 3),
+    t AS (SELECT date, category, {total_sql('value_sales')} AS category_total FROM s GROUP BY 1, 2)
+    SELECT date, category, brand, value_sales, category_total,
+    CASE WHEN category_total <> 0 THEN round(100 * (value_sales / category_total), 6) END AS share
+    FROM s JOIN t USING (date, category)""",
+)
+def h4(spark, folder):
+    lines = sales_lines(spark, folder, ("category", "brand"))
+    detail = agg.grouped_sum(lines, ["date", "category", "brand"], "value_sales")
+    out = rank.with_total(detail, ["date", "category"], "value_sales", "category_total", "share")
+    return out.withColumn("share", F.round("share", 6))
+
+
+H6_SPANS = (
+    ("MAT 2000", "1999-10-01", "2000-10-01"),
+    ("YTD 2000", "2000-01-01", "2000-10-01"),
+    ("MAT 1999", "1998-10-01", "1999-10-01"),
+)
+
+
+@query(
+    "H6_date_in_window",
+    f"""WITH {LINES}, w AS (SELECT * FROM (VALUES {', '.join(
+        f"('{n}', DATE '{a}', DATE '{b}')" for n, a, b in H6_SPANS)}) AS x(span, start, stop))
+    SELECT span, start, category, {V} AS value_sales FROM lines JOIN w ON date >= start AND date < stop
+    GROUP BY 1, 2, 3""",
+)
+def h6(spark, folder):
+    """Overlapping periods; a line counts in each that holds it."""
+    spans = [(name, win.MonthWindow.of(a, b)) for name, a, b in H6_SPANS]
+    lines = sales_lines(spark, folder, ("category",), win.hull(*[w for _, w in spans]))
+    out = compare.stack_windows(lines, ["category"], "value_sales", spans)
+    return out.select(F.col("mat_label").alias("span"), "start", "category", "value_sales")
+
+
 @query(
     "H7_union_all",
     f"""WITH {LINES} SELECT 'market' AS dim, market AS name, {V} AS value_sales FROM lines GROUP BY 2

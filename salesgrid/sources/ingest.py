@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from salesgrid.functions.dates import month_start, parse_mixed_date
-from salesgrid.functions.sums import growth, present
+from salesgrid.functions.sums import as_exact, growth, present, same_keys
 from salesgrid.operators.filters import trim_dims
 from salesgrid.sources.fact import DIMS, MEASURES, OPTIONAL_DIMS
 
@@ -119,6 +119,25 @@ def derive_fields(df: DataFrame) -> DataFrame:
     return out.drop("__pad")
 
 
+def derive_rows(df: DataFrame) -> DataFrame:
+    """`derive_fields` for rows that may share a month of their series.
+
+    Sums of the month are derived, and each row gets those of its month, so the rows of a
+    series meet only as monthly sums. Rows without a date are left out; nulls add nothing,
+    and a month of nulls alone is a gap.
+    """
+    keys = ["date", *DIMS]
+
+    def total(name: str):
+        return F.sum(as_exact(df, name) if name != "share" else F.col(name).cast("decimal(28,6)"))
+
+    months = df.groupBy(*keys).agg(
+        *[total(m).cast("double").alias(m) for m in ("value_sales", "share")]
+    )
+    grown = derive_fields(months).select(*keys, "value_yoy", "share_yoy")
+    return same_keys(df.filter(F.col("date").isNotNull()), grown, keys)
+
+
 def ingest_summary(raw: DataFrame) -> DataFrame:
     """Kept rows, first and last date, and rows without a date, in one pass."""
     return raw.agg(
@@ -152,7 +171,7 @@ def ingest(
     errors = [r["error"] for r in validate_basic(good).collect()]
     if errors:
         raise ValueError("; ".join(errors))
-    return derive_fields(good), rejected
+    return derive_rows(good), rejected
 
 
 def missing_percent(df: DataFrame) -> DataFrame:

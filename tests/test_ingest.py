@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from salesgrid.functions.dates import parse_mixed_date, parse_month
+from salesgrid.operators.windows import MonthWindow, in_window
 from salesgrid.sources import fact as src
 from salesgrid.sources import files, ingest
 
@@ -97,10 +98,23 @@ def test_files_round_trip(spark, tmp_path):
     assert src.load_fact(spark, str(tmp_path / "csv"), {"brand": "b"}, "csv").columns == ["a", "brand"]
 
 
-def test_saved_fact_is_pruned_by_year(spark, tmp_path):
+def test_saved_fact_is_pruned_by_window(spark, tmp_path):
     fact = src.fact(spark, "/root/testdata/sf0.001")
     stored = src.save_fact(fact, str(tmp_path / "fact"), "stored_fact")
-    assert stored.count() == fact.count()
-    plan = spark.sql("SELECT sum(value_sales) FROM stored_fact WHERE year = 2000")
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(year" in text
+    assert stored.dtypes == fact.dtypes and stored.count() == fact.count()
+    inside = in_window(spark.table("stored_fact"), MonthWindow.of("2000-01-01", "2000-04-01"))
+    text = inside._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in text
+    want = fact.where("date >= '2000-01-01' and date < '2000-04-01'")
+    assert inside.count() == want.count() > 0
+
+
+def test_rows_of_one_month_share_its_growth(spark):
+    rows = [(f"{y}-03-01", "m", "c", "k", "b", v, 1.0, None) for y, v in ((2023, 4.0), (2023, 6.0), (2024, 15.0), (2024, 5.0))]
+    rows += [(f"2023-{m:02d}-01", "m", "c", "k", "b", 1.0, 1.0, None) for m in range(4, 13)]
+    rows += [(f"2024-{m:02d}-01", "m", "c", "k", "b", 1.0, 1.0, None) for m in (1, 2)]
+    df = spark.createDataFrame(rows, "date string, market string, channel string, category string, brand string, value_sales double, unit_sales double, share double")
+    out = ingest.derive_rows(df.withColumn("date", F.col("date").cast("date")))
+    assert out.count() == len(rows)
+    got = [r["value_yoy"] for r in out.where("date = '2024-03-01'").collect()]
+    assert got == [1.0, 1.0]
