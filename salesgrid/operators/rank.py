@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from salesgrid.functions.dates import month_start
 from salesgrid.functions.sums import exact_sum, ratio, same_keys
 from salesgrid.operators.agg import grouped_sum
-from salesgrid.operators.spread import top_rows, with_running
+from salesgrid.operators.spread import exact_quantiles, top_rows, with_running
 
 
 def with_total(df: DataFrame, part_of: list[str], measure: str, total: str, name: str) -> DataFrame:
@@ -129,20 +129,18 @@ def iqr_outliers(
 ) -> DataFrame:
     """Rows outside the k x IQR bounds of their series, with the bounds.
 
-    A series has one row per month (and channel), so its quartiles are aggregated
-    exactly from distinct values and joined back.
+    The quartiles are exact for series of any length: they come from counts of distinct
+    values, so no series is gathered in one buffer.
     """
-    quartiles = F.percentile(col, F.array(F.lit(0.25), F.lit(0.75)))
-    bounds = (
-        df.groupBy(*by)
-        .agg(quartiles.alias("q"), F.count(col).alias("__n"))
-        .filter(F.col("__n") >= min_points)
-    )
-    iqr = F.col("q")[1] - F.col("q")[0]
-    bounds = bounds.select(
+    q = exact_quantiles(df, list(by), col, {"__q1": 0.25, "__q3": 0.75})
+    if min_points > 1:
+        size = df.groupBy(*by).agg(F.count(col).alias("__n")).filter(F.col("__n") >= min_points)
+        q = same_keys(q, size, by)
+    iqr = F.col("__q3") - F.col("__q1")
+    bounds = q.select(
         *by,
-        (F.col("q")[0] - k * iqr).alias("lower_bound"),
-        (F.col("q")[1] + k * iqr).alias("upper_bound"),
+        (F.col("__q1") - k * iqr).alias("lower_bound"),
+        (F.col("__q3") + k * iqr).alias("upper_bound"),
     )
     x = F.col(col)
     return same_keys(df, bounds, by).filter(
