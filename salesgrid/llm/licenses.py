@@ -76,14 +76,16 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates: di
                      F.size(F.array_distinct("terms")).alias("kinds"), F.explode(F.array_distinct("terms")).alias("term"))
     )
     # terms outside the templates have no frequency: they weigh as much as the rarest one
-    share = held.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count_distinct("row").alias("files"))
-    top = F.log(F.lit(1.0 + n))
-    idf = vocabulary.join(share, "term", "left").select(
-        "term", (F.log((1.0 + n) / (1.0 + F.coalesce("files", F.lit(0)))) + 1).alias("idf")
+    # the tables of template terms, some hundred rows however many files, are broadcast: no term is a shuffle key
+    share = held.join(F.broadcast(vocabulary), "term", "left_semi").groupBy("term").agg(F.count_distinct("row").alias("files"))
+    idf = settle(
+        vocabulary.join(share, "term", "left").select(
+            "term", (F.log((1.0 + n) / (1.0 + F.coalesce("files", F.lit(0)))) + 1).alias("idf")
+        )
     )
     model = words.join(idf, "term")
     model = model.withColumn("norm", F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(_by("license"))))
-    known = held.join(idf, "term")
+    known = held.join(F.broadcast(idf), "term")
     sizes = known.groupBy("row", "line").agg(
         F.sum(F.col("idf") * F.col("idf")).alias("known2"), F.count("*").alias("n_known"),
         F.max("kinds").alias("kinds"), F.max("words").alias("words"), F.max("of").alias("of"),
@@ -91,7 +93,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates: di
     # words of a line that no template knows count half, so that a notice in a long line still shows
     length = F.sqrt(F.col("known2") + (F.col("kinds") - F.col("n_known")) * 0.5)
     hits = (
-        known.join(model.select("license", "term", "norm"), "term").groupBy("row", "line", "license")
+        known.join(F.broadcast(model.select("license", "term", "norm")), "term").groupBy("row", "line", "license")
         .agg(F.sum(F.col("idf") * F.col("idf")).alias("dot"), F.max("norm").alias("norm"))
         .join(sizes, ["row", "line"])
         # a notice is often a part of the template, so the template's length counts as far as it is met
