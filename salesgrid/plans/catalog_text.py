@@ -640,10 +640,14 @@ def j18b(spark, folder):
 
 
 def _payloads(spark, folder):
-    return pay.build_payloads(
-        sales_lines(spark, folder, ("category", "brand")), [1999, 2000, 2001], 9,
-        window(spark, folder, "YTD"), last=win.last_month(calendar(spark, folder)),
+    years, last, ytd = [1999, 2000, 2001], win.last_month(calendar(spark, folder)), window(spark, folder, "YTD")
+    grown = (win.mat_period(2001, 9), win.ytd_period(2001, 9))
+    span = win.hull(
+        ytd, *[w for _, w in compare.mat_windows(years, 9, last)],
+        *[win.with_prev_year(win.MonthWindow.period(p, True)) for p in grown],
     )
+    lines = sales_lines(spark, folder, ("category", "brand"), span)
+    return pay.build_payloads(lines, years, 9, ytd, last=last)
 
 
 def _yoy_head(label: str, cur: str, prev: str) -> str:
