@@ -1,8 +1,9 @@
 """License scans: TF-IDF cosine of notices to templates, then inheritance along directories.
 
 Only DataFrame operations. A notice is a line that holds a trigger word, in any part of a text.
-Terms are the words of the templates; their document frequency is counted over all files. The
-sparse vectors of notices meet those of the templates in a join on the term. A file whose best
+Vectors hold term counts times idf, ln((1 + files) / (1 + files with the term)) + 1, over the whole
+texts of all files; words of no template weigh as if in no file. The sparse vectors of notices
+meet those of the templates in a join on the term. A file whose best
 notice reaches MATCH carries that license itself. A file named like LICENSE or COPYING, or one
 whose words are mostly those of a notice, speaks for its directory; a file without a license of
 its own takes the one of the nearest directory above it that has one.
@@ -10,6 +11,8 @@ its own takes the one of the nearest directory above it that has one.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,19 +23,31 @@ MOSTLY = 0.5  # share of a file's words in matched notices that makes it a licen
 TRIGGER = r"(?i)licen[sc]|copyright|spdx|redistribut|public domain|all rights reserved"
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)([._-][^/]*)?$"
 
-# fixed values: usual short notices and identifiers
+# fixed values: usual short notices and identifiers, each a vector of its own
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the License). SPDX-License-Identifier: Apache-2.0",
-    "MIT": "Released under the MIT License. SPDX-License-Identifier: MIT",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3. SPDX-License-Identifier: GPL-3.0",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2. SPDX-License-Identifier: GPL-2.0",
-    "LGPL-3.0": "Licensed under the GNU Lesser General Public License, version 3. SPDX-License-Identifier: LGPL-3.0",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted. BSD 3-Clause License",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. MPL-2.0",
-    "CC-BY-4.0": "This work is licensed under CC BY 4.0, Creative Commons Attribution 4.0 International License",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0, Creative Commons Attribution-NonCommercial 4.0 License",
-    "CC0-1.0": "Dedicated to the public domain under CC0 1.0 Universal",
-    "Proprietary": "Copyright. All rights reserved.",
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0"),
+    "MIT": ("Released under the MIT License", "Licensed under the MIT License", "SPDX-License-Identifier: MIT"),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3", "SPDX-License-Identifier: GPL-3.0"),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2", "SPDX-License-Identifier: GPL-2.0"),
+    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0"),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted",
+        "Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause",
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0",
+    ),
+    "CC-BY-4.0": (
+        "Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License",
+        "SPDX-License-Identifier: CC-BY-4.0",
+    ),
+    "CC-BY-NC-4.0": (
+        "Licensed under CC BY-NC 4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
+    ),
+    "CC0-1.0": ("Dedicated to the public domain under CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0"),
+    "Proprietary": ("All rights reserved", "Copyright. All rights reserved."),
 }
 
 
@@ -40,12 +55,16 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z]+[0-9]*|[0-9]+(?:\.[0-9]+)*)"), 1)
 
 
-def _templates(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    rows = spark.createDataFrame(sorted(templates.items()), "license string, body string")
-    return rows.select("license", F.explode(_terms(F.col("body"))).alias("term")).distinct()
+def _templates(spark: SparkSession, templates: dict[str, tuple[str, ...]]) -> DataFrame:
+    bodies = [(name, body) for name, many in sorted(templates.items()) for body in many]
+    rows = spark.createDataFrame([(k, *b) for k, b in enumerate(bodies)], "template int, license string, body string")
+    return (
+        rows.select("template", "license", F.explode(_terms(F.col("body"))).alias("term"))
+        .groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
+    )
 
 
-def scan(files: DataFrame, path: str = "path", text: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
+def scan(files: DataFrame, path: str = "path", text: str = "text", templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Per file: path, license, score, inherited_from and is_license_file.
 
     license is the file's own best match (score its cosine, ties to the first name), else the
@@ -60,7 +79,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates: di
             F.when(F.col(text).rlike(TRIGGER), F.col(text)).alias("text"),
         )
     )
-    words = _templates(spark, templates or TEMPLATES).withColumn("size", F.count("*").over(_by("license")))
+    words = _templates(spark, templates or TEMPLATES)
     vocabulary = words.select("term").distinct()
     n = max(1, rows.count())
     # a line counts once in a file, however often it is repeated
@@ -72,32 +91,34 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates: di
         .select("row", "of", "times", F.xxhash64("line").alias("line"), _terms(F.col("line")).alias("terms"))
     )
     held = settle(
-        lines.select("row", "of", "line", (F.size("terms") * F.col("times")).alias("words"),
-                     F.size(F.array_distinct("terms")).alias("kinds"), F.explode(F.array_distinct("terms")).alias("term"))
+        lines.select("row", "of", "line", (F.size("terms") * F.col("times")).alias("words"), F.explode("terms").alias("term"))
+        .groupBy("row", "of", "line", "words", "term").agg(F.count("*").alias("tf"))
+    )
+    # the tables of template terms, bounded by the templates however many files, are broadcast: no term is a shuffle key
+    share = (
+        files.select(F.explode(F.array_distinct(_terms(F.col(text)))).alias("term"))
+        .join(F.broadcast(vocabulary), "term", "left_semi").groupBy("term").agg(F.count("*").alias("files"))
     )
-    # terms outside the templates have no frequency: they weigh as much as the rarest one
-    # the tables of template terms, some hundred rows however many files, are broadcast: no term is a shuffle key
-    share = held.join(F.broadcast(vocabulary), "term", "left_semi").groupBy("term").agg(F.count_distinct("row").alias("files"))
     idf = settle(
         vocabulary.join(share, "term", "left").select(
             "term", (F.log((1.0 + n) / (1.0 + F.coalesce("files", F.lit(0)))) + 1).alias("idf")
         )
     )
-    model = words.join(idf, "term")
-    model = model.withColumn("norm", F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(_by("license"))))
-    known = held.join(F.broadcast(idf), "term")
-    sizes = known.groupBy("row", "line").agg(
-        F.sum(F.col("idf") * F.col("idf")).alias("known2"), F.count("*").alias("n_known"),
-        F.max("kinds").alias("kinds"), F.max("words").alias("words"), F.max("of").alias("of"),
+    model = words.join(idf, "term").withColumn("weight", F.col("tf") * F.col("idf"))
+    model = settle(model.withColumn("norm", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(_by("template")))))
+    # terms outside the templates weigh as much as one that no file holds
+    weighed = held.join(F.broadcast(idf), "term", "left").withColumn(
+        "weight", F.col("tf") * F.coalesce("idf", F.lit(math.log(1.0 + n) + 1))
+    )
+    sizes = weighed.groupBy("row", "line").agg(
+        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"), F.max("words").alias("words"), F.max("of").alias("of"),
     )
-    # words of a line that no template knows count half, so that a notice in a long line still shows
-    length = F.sqrt(F.col("known2") + (F.col("kinds") - F.col("n_known")) * 0.5)
+    known = model.select("template", "license", "term", "norm", F.col("weight").alias("theirs"))
     hits = (
-        known.join(F.broadcast(model.select("license", "term", "norm")), "term").groupBy("row", "line", "license")
-        .agg(F.sum(F.col("idf") * F.col("idf")).alias("dot"), F.max("norm").alias("norm"))
+        weighed.join(F.broadcast(known), "term").groupBy("row", "line", "template", "license")
+        .agg(F.sum(F.col("weight") * F.col("theirs")).alias("dot"), F.max("norm").alias("norm"))
         .join(sizes, ["row", "line"])
-        # a notice is often a part of the template, so the template's length counts as far as it is met
-        .withColumn("score", F.least(F.lit(1.0), F.col("dot") / (length * F.sqrt(F.col("norm") * F.sqrt("dot")))))
+        .withColumn("score", F.least(F.lit(1.0), F.col("dot") / (F.col("length") * F.col("norm"))))
     )
     best = hits.where(F.col("score") >= MATCH).groupBy("row", "line").agg(
         F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("b"), F.max("words").alias("words"), F.max("of").alias("of")

@@ -146,6 +146,16 @@ def test_licenses_are_inherited_from_the_nearest_directory(spark):
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def test_copyright_lines_and_prose_are_no_license(spark):
+    rows = [(f"p{i}/f.txt", t) for i, t in enumerate([
+        "Copyright (c) 2020 John Smith", "the copyright of this report is held by the authors",
+        "Copyright 2019 The Foo Authors", "She renewed her fishing licence before the summer began.",
+    ])] + [(f"q{i}/g.txt", f"the words of this text number {i} are by nobody") for i in range(400)]
+    rows += [(f"r{i}/h.txt", "All rights reserved.") for i in range(3)]
+    got = licenses.scan(spark.createDataFrame(rows, "path string, text string")).where("license is not null or is_license_file")
+    assert sorted((r["path"], r["license"]) for r in got.collect()) == [(f"r{i}/h.txt", "Proprietary") for i in range(3)]
+
+
 def test_mixing(spark, odd):
     con = check.connect(FOLDER)
     assert check.compare(mixing.mix_documents(documents(spark)), con, mixing.ORACLE)[0] is None
