@@ -156,6 +156,20 @@ def test_copyright_lines_and_prose_are_no_license(spark):
     assert sorted((r["path"], r["license"]) for r in got.collect()) == [(f"r{i}/h.txt", "Proprietary") for i in range(3)]
 
 
+def test_license_texts_and_wrapped_headers(spark):
+    texts = {k: v[0] for k, v in licenses.full_texts().items()}
+    named = "Copyright (c) 2020 Jane Roe and the Quux developers\nAll rights reserved."
+    rows = [(f"t{k}/LICENSE", re.sub(r"Copyright \(c\).*(\nAll rights reserved\.)?", named, v), k) for k, v in texts.items()]
+    for k in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "AGPL-3.0", "Apache-2.0"):
+        wrapped = re.findall(r".{1,60}(?:\s|$)", licenses.HEADERS[k][0])
+        rows.append((f"h{k}/a.py", "# quux.py\n# Copyright 2020 Jane Roe\n#\n" + "".join(f"# {x.strip()}\n" for x in wrapped) + "\nimport os\n" * 40, k))
+        rows.append((f"j{k}/a.c", "/*\n" + "".join(f"{x.strip()}\n" for x in wrapped) + "*/\nint main() { return 0; }\n" * 40, k))
+    rows.append(("r/README.md", "# Quux\n\nIt counts sheep at night.\n\n## License\n\n" + texts["MIT"] + "\n## Sheep\n\nThey are white.\n", "MIT"))
+    rows += [(f"q{i}/g.txt", f"the words of this text number {i} are by nobody", None) for i in range(300)]
+    got = licenses.scan(spark.createDataFrame(rows, "path string, text string, want string").drop("want"))
+    assert {r["path"]: r["license"] for r in got.collect()} == {p: want for p, _, want in rows}
+
+
 def test_mixing(spark, odd):
     con = check.connect(FOLDER)
     assert check.compare(mixing.mix_documents(documents(spark)), con, mixing.ORACLE)[0] is None
