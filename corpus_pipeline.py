@@ -32,10 +32,24 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, and one of repeated rows."""
-    groups = near_dedup.near_duplicates(docs)
-    kept = groups.where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """One row of each group of near duplicates and of repeated rows: the smallest doc_id, nulls last."""
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    # ids may repeat or be null: rows are told apart by a number that is settled before the stage
+    numbered = settle(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = near_dedup.near_duplicates(numbered, row, "text")
+    # rows without words are linked with nothing, only whole repeated rows are one
+    wordless = ~F.coalesce(F.col("text").rlike(mixing.WORD), F.lit(False))
+    whole = F.md5(F.to_json(F.struct(*[F.col(c) for c in docs.columns])).cast("binary"))
+    slim = numbered.select(row, "doc_id", F.when(wordless, whole).alias("_whole"))
+    first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row))
+    kept = (
+        groups.select(row, "n_shingles", "component_id").join(slim, row)
+        .groupBy(F.coalesce(F.when(F.col("n_shingles") == 0, F.col("_whole")), F.col("component_id").cast("string")).alias("_of"))
+        .agg(F.min(first)[row].alias(row))
+    )
+    return numbered.join(kept.select(row), row, "left_semi").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

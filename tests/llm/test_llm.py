@@ -289,6 +289,20 @@ def test_network_gradient():
         assert abs((up - down) / (2 * step) - g[name][at]) < 2e-2 * abs(g[name][at]) + 1e-4
 
 
+def test_near_dedup_stage_keeps_one_of_repeated_rows(spark):
+    import corpus_pipeline as cp
+
+    a, b = "one two three four five six seven", "red green blue white black brown grey"
+    c = "nine men went to mow the meadow"
+    rows = [(5, a), (5, a), (5, a), (2, a), (None, a), (None, a), (None, b), (None, b), (8, b), (None, c), (None, c),
+            (2, c), (11, "sun moon stars sky earth sea"), (11, "sun moon stars sky earth sea"), (3, ""), (3, ""), (4, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = cp.drop_near_duplicates(spark, docs, "").collect()
+    assert collections.Counter(tuple(r) for r in got) == collections.Counter(
+        [(2, a), (8, b), (2, c), (11, "sun moon stars sky earth sea"), (3, ""), (4, ""), (None, None)]
+    )
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
