@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from salesgrid.llm import (
-    language, licenses, mixing, near_dedup, packing, quality, sharding, topk, toxicity, vector_dedup,
+    fim, language, licenses, mixing, near_dedup, packing, pii, quality, sharding, topk, toxicity, trie, vector_dedup,
 )
 
 
@@ -56,12 +56,28 @@ def op10_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return vector_dedup.near_vectors(_table(spark, folder, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, folder, "conversations"))
+
+
+def op12_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.scan_documents(_table(spark, folder, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fim.transform_documents(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_sharding, op3_packing, op4_license_scans, op5_minhash_near_dedup, op6_exact_top_k,
         op7_quality_classifier, op8_mixing, op9_language_id, op10_embedding_near_dedup,
+        op11_prefix_trie, op12_pii, op13_fill_in_middle,
     )
 } | {"pipeline": corpus_pipeline.run}
 
-ORACLES: dict[str, str] = {"op6_exact_top_k": topk.ORACLE, "op8_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {
+    "op6_exact_top_k": topk.ORACLE, "op8_mixing": mixing.ORACLE, "op11_prefix_trie": trie.ORACLE,
+    "op13_fill_in_middle": fim.ORACLE,
+}
