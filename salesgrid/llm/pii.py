@@ -37,7 +37,7 @@ REACH, SUPPORT, DISCLOSURE = 5, 5, 0.98
 SHORTEST = 3  # letters and digits of a term
 FLUSH = 200_000  # counts that a task holds before it gives them back
 FILTER_BITS = 1 << 26  # at most; 8 MB
-PROBES = 4
+PROBES, ROOM = 7, 64  # of a term; bits for a term, while FILTER_BITS allow
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -224,15 +224,15 @@ def revealing(
 
 def _probes(term: str, bits: int) -> Iterator[int]:
     h = xxhash.xxh3_64_intdigest(term)
-    for _ in range(PROBES):
-        yield h % bits
-        h = (h * 0x9E3779B97F4A7C15 + 0x7F4A7C15) % (1 << 64)
+    step = h >> 32 | 1
+    for k in range(PROBES):
+        yield (h + k * step) % bits
 
 
 def bloom(table: DataFrame) -> bytes:
     """A Bloom filter of the terms, at most FILTER_BITS large, put together on the executors."""
     n = table.count()
-    bits = min(FILTER_BITS, max(1 << 10, 1 << math.ceil(math.log2(12 * n + 1))))
+    bits = min(FILTER_BITS, max(1 << 10, 1 << math.ceil(math.log2(ROOM * n + 1))))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(bits, dtype=bool)
