@@ -170,9 +170,10 @@ def _sound(nodes: DataFrame, turns: DataFrame, hashed: DataFrame) -> bool:
     """Whether each group's members refer to one turn, and rows of one reference hold the same role and text."""
     if nodes.where("first_ref <> last_ref").limit(1).count():
         return False
-    repeated = hashed.groupBy("turn_ref").agg(F.count("*").alias("n")).where("n > 1").select("turn_ref")
-    told = [x(c).alias(f"{x.__name__}_{c}") for c in ("role", "text") for x in (F.min, F.max)]
-    told = turns.join(repeated, "turn_ref", "left_semi").groupBy("turn_ref").agg(*told)
+    repeated = settle(hashed.groupBy("turn_ref").agg(F.count("*").alias("n")).where("n > 1").select("turn_ref"))
+    # both settled, so that a reference with most of the rows can be split in the join and is aggregated before it meets
+    again = settle(turns.join(repeated, "turn_ref", "left_semi").select("turn_ref", "role", "text"))
+    told = again.groupBy("turn_ref").agg(*[x(c).alias(f"{x.__name__}_{c}") for c in ("role", "text") for x in (F.min, F.max)])
     return not told.where("min_role <> max_role OR min_text <> max_text").limit(1).count()
 
 
