@@ -35,8 +35,11 @@ _LETTERS[65:91] = np.arange(97, 123)
 _LETTERS[128:] = np.arange(128, 256)
 
 
-def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and hash of all n-grams that hold no two blanks, repeats included."""
+def grams(data: np.ndarray, offsets: np.ndarray, below: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and hash of all n-grams that hold no two blanks, repeats included.
+
+    With `below`, only those that begin at a smaller byte.
+    """
     plain = _LETTERS[data]
     rolling = tb.Rolling(plain)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -45,8 +48,8 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     for n in SIZES:
         if len(plain) < n:
             continue
-        start = np.arange(len(plain) - n + 1)
-        start = start[(doc[: len(doc) - n + 1] == doc[n - 1 :]) & (blank[n:] - blank[:-n] < 2)]
+        start = np.arange(len(plain) - n + 1)[:below]
+        start = start[(doc[: len(doc) - n + 1] == doc[n - 1 :])[:below] & (blank[n:] - blank[:-n] < 2)[:below]]
         docs.append(doc[start])
         hashes.append(rolling.of(start, start + n))
     if not docs:
@@ -95,18 +98,25 @@ class Filters:
         return out
 
     def rates(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Texts x languages: corrected share of the n-grams that the language contains."""
-        count = len(offsets) - 1
-        doc, hashes = grams(data, offsets)
-        total = np.maximum(1, np.bincount(doc, minlength=count))
-        out = np.zeros((count, len(self.langs)))
-        for i in range(len(self.langs)):
-            if i % 64 == 0:
-                masks = self.masks(hashes, i // 64)
-            hit = doc[(masks >> np.uint64(i % 64) & np.uint64(1)).astype(bool)]
-            rate = np.bincount(hit, minlength=count) / total
-            out[:, i] = np.clip((rate - self.false[i]) / (1 - self.false[i]), 0, 1)
-        return out
+        """Texts x languages: corrected share of the n-grams that the language contains.
+
+        One long text is counted in pieces of tb.CHUNK_BYTES, which overlap by what an n-gram needs.
+        """
+        count, size = len(offsets) - 1, tb.CHUNK_BYTES
+        total, hits = np.zeros(count), np.zeros((count, len(self.langs)))
+        pieces = [(0, len(data), None)]
+        if count == 1:
+            pieces = [(at, at + size + max(SIZES) - 1, size) for at in range(0, len(data), size)]
+        for low, high, below in pieces:
+            part = data[low:high]
+            doc, hashes = grams(part, offsets if below is None else np.array([0, len(part)]), below)
+            total += np.bincount(doc, minlength=count)
+            for i in range(len(self.langs)):
+                if i % 64 == 0:
+                    masks = self.masks(hashes, i // 64)
+                hits[:, i] += np.bincount(doc[(masks >> np.uint64(i % 64) & np.uint64(1)).astype(bool)], minlength=count)
+        rate = hits / np.maximum(1, total)[:, None]
+        return np.clip((rate - self.false) / (1 - self.false), 0, 1)
 
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters:

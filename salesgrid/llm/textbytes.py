@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20  # texts worked on at once; one longer text is worked on alone
+CHUNK_BYTES = 1 << 18  # texts worked on at once; one longer text is worked on alone
 
 _RNG = np.random.default_rng(20_24)
 SPACE = np.zeros(256, dtype=bool)
@@ -22,6 +22,9 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
 VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 VALUE_LOWER = VALUE[LOWER]
+LOW = 12  # low bits of a place, whose powers are in a table
+LOW_POWER = np.cumprod(np.concatenate([[np.uint64(1)], np.full((1 << LOW) - 1, BASE)]), dtype=np.uint64)
+LOW_BACK = np.cumprod(np.concatenate([[np.uint64(1)], np.full((1 << LOW) - 1, BASE_BACK)]), dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,21 +70,26 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Rolling:
-    """Hashes of any byte ranges of one chunk, from prefix sums modulo 2**64."""
+    """Hashes of any byte ranges of one chunk, from prefix sums modulo 2**64.
+
+    Held are eight bytes for a byte of text; powers come from two tables, by the low and the high
+    bits of a place.
+    """
 
     def __init__(self, data: np.ndarray, lower: bool = True):
-        n = len(data)
-        up = np.full(n + 1, BASE, dtype=np.uint64)
-        up[0] = 1
-        self.back = np.full(n + 1, BASE_BACK, dtype=np.uint64)
-        self.back[0] = 1
-        np.cumprod(up, out=up)
-        np.cumprod(self.back, out=self.back)
+        n, table, step = len(data), VALUE_LOWER if lower else VALUE, 1 << LOW
+        steps = np.ones((2, (n >> LOW) + 1), dtype=np.uint64)
+        steps[0, 1:], steps[1, 1:] = LOW_POWER[-1:] * BASE, LOW_BACK[-1:] * BASE_BACK
+        high, self.high_back = np.cumprod(steps, axis=1, dtype=np.uint64)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((VALUE_LOWER if lower else VALUE)[data] * up[:n], out=self.sums[1:])
+        for k, at in enumerate(range(0, n, step)):
+            piece = table[data[at : at + step]]
+            sums = np.cumsum(piece * (LOW_POWER[: len(piece)] * high[k]), dtype=np.uint64)
+            self.sums[at + 1 : at + 1 + len(piece)] = sums + self.sums[at]
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
+        back = self.high_back[start >> LOW] * LOW_BACK[start & ((1 << LOW) - 1)]
+        return mix((self.sums[end] - self.sums[start]) * back + (end - start).astype(np.uint64))
 
 
 def word_grams(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
