@@ -46,9 +46,10 @@ class Lists:
         while True:
             depth = min(depth, n)
             ahead = np.where(down[:, None], n - 1 - np.arange(begin, depth), np.arange(begin, depth))
-            met = np.unique(self.rising[weights[:, None], ahead]) if len(weights) else np.arange(n)
-            met = met[~seen[met]]
-            seen[met] = True
+            here = np.zeros(n, dtype=bool)
+            here[self.rising[weights[:, None], ahead] if len(weights) else slice(None)] = True
+            met = np.flatnonzero(here & ~seen)
+            seen |= here
             fresh = met[self.ids[met] != own]
             rows = np.concatenate([rows, fresh])
             scores = np.concatenate([scores, self.vectors[fresh] @ query])
@@ -63,8 +64,13 @@ class Lists:
 
 
 def whole_numbers(vectors: np.ndarray) -> np.ndarray:
-    """SCALE * vectors, whole by `scaled`: 64-bit if sums of their products surely fit, else Python integers."""
+    """SCALE * vectors, whole by `scaled`, of a kind that holds sums of their products exactly.
+
+    Doubles as long as these stay below 2**53, then 64-bit integers, else Python integers.
+    """
     size = np.abs(vectors).max(initial=0.0) * SCALE
+    if size * size * max(1, vectors.shape[1]) < WHOLE:
+        return vectors * SCALE
     if size * size * max(1, vectors.shape[1]) < 2.0**62:
         return (vectors * SCALE).astype(np.int64)
     exact = [int(x) * SCALE if abs(x) > WHOLE else int(x * SCALE) for x in vectors.ravel().tolist()]
