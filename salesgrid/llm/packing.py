@@ -168,7 +168,8 @@ def pack(
     before = settle(by_task.select("length", "task", (F.sum("n").over(upto) - F.col("n")).alias("before"), "n"))
     counts = {r["length"]: r["n"] for r in before.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     kept = ["id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
-    ranked = pieces.join(before, ["length", "task"]).select(*kept, (F.col("rank") + F.col("before")).alias("_rank"))
+    # the table grows with the tasks, so it is never sent whole to all of them
+    ranked = pieces.join(before.hint("merge"), ["length", "task"]).select(*kept, (F.col("rank") + F.col("before")).alias("_rank"))
     schema = ", ".join(f"{c} {'array<int>' if c == 'ids' else 'long'}" for c in kept)
     placed = ranked.mapInArrow(_placed(plan(counts, window), window), f"{schema}, sequence_id long, offset long")
     order = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
