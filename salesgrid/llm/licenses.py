@@ -251,11 +251,15 @@ def _by(*columns: str):
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
-    """Every document as a file <source>/<id / 64>/<id>.txt, with its id."""
+    """Every document as a file <source>/<id / 64>/<id>.txt, with its id.
+
+    A null source is the folder `none`, a row without id the file <source>; an empty table gives no
+    rows. Only doc_id, source and text are read, so other columns may have any names.
+    """
     file = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 64).cast("string"),
                        F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     found = scan(docs.select(file.alias("path"), "text"))
     return found.select(
-        F.regexp_extract("path", r"(-?\d+)\.txt$", 1).cast("long").alias("doc_id"), "path", "license",
+        F.regexp_extract("path", r"(-?\d+)\.txt$", 1).try_cast("long").alias("doc_id"), "path", "license",
         F.round("score", 6).alias("score"), "inherited_from", "is_license_file",
     )
