@@ -118,8 +118,6 @@ def _cells(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = (rows, rows) if one else (rows[side[low:high] == 0], rows[side[low:high] == 1])
         if not len(a) or not len(b) or (one and len(a) < 2):
             continue
-        if width[low] != width[low:high].min() or width[low] != width[low:high].max():
-            continue  # vectors of different lengths in one bucket: only by a clash of codes
         va, vb = (np.stack([flat[starts[r] : starts[r + 1]] for r in x]) for x in (a, b))
         link = va @ vb.T >= COSINE
         if one:
@@ -180,7 +178,11 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     coded = settle(
         classes.select("rep", "v").mapInArrow(_codes(projections, tables), "rep long, unit array<double>, codes array<int>")
     )
-    entries = settle(coded.select("rep", F.posexplode("codes").alias("number", "code")))
+    # vectors of different lengths share no bucket, whatever their codes (of 31 bits)
+    entries = settle(
+        coded.select("rep", F.size("unit").cast("long").alias("width"), F.posexplode("codes").alias("number", "code"))
+        .select("rep", "number", (F.col("width") * F.lit(1 << 31) + F.col("code")).alias("code"))
+    )
     shared = entries.groupBy("number", "code").agg(F.count("*").alias("n")).where("n > 1")
     spots = entries.join(shared, ["number", "code"]).select(
         "number", "code", "rep", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
