@@ -145,8 +145,9 @@ def fit(
     n = marks.count()
     below = min(1 << BITS, int((1 << BITS) * SAMPLE / max(1, n)))
     # about SAMPLE ids are sent to the documents, not the documents to them
-    sample = docs.where(learn).join(F.broadcast(marks.where(F.col("h") <= below)), F.col(id_col) == F.col("mark_id")).select(
-        F.col("y").cast("double").alias("y"), F.col(text_col).alias("text"), F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold")
+    known = docs.where(learn).select(F.col(id_col).alias("mark_id"), F.col(text_col).alias("text"))
+    sample = known.join(F.broadcast(marks.where(F.col("h") <= below)), "mark_id").select(
+        F.col("y").cast("double").alias("y"), "text", F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold")
     )
     rows = settle(sample.mapInArrow(_statistics_of, "y double, fold int, x array<double>")).coalesce(PARTS)
     size = len(statistics(np.zeros(0, np.uint8), np.zeros(2, np.int64))[0])

@@ -21,7 +21,7 @@ from salesgrid.llm import textbytes as tb
 from salesgrid.llm.language import fold
 from salesgrid.llm.mixing import BITS, id_hash
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 POSITIVE, NEGATIVE = 700, 1500  # labelled rows of each kind to learn from, about, by id hash
 LONGEST = 200_000  # bytes of a text in the sample; scoring has no such limit
 HIDDEN, EMBED = 8, 4
@@ -346,8 +346,8 @@ def fit(
     # the sample has about POSITIVE + NEGATIVE ids, so it is sent to the documents, not they to it
     rows = (
         docs.where(learn & (F.octet_length(text_col) <= LONGEST))
-        .join(F.broadcast(sample), F.col(id_col) == F.col("mark_id"))
-        .select(F.col("h").alias("h"), F.col("y").cast("int").alias("y"), F.col(text_col).alias("text")).toPandas()
+        .select(F.col(id_col).alias("mark_id"), F.col(text_col).alias("text"))
+        .join(F.broadcast(sample), "mark_id").select("h", F.col("y").cast("int").alias("y"), "text").toPandas()
         .sort_values(["h", "text"])
     )
     return train(rows.text.tolist(), rows.y.tolist())
