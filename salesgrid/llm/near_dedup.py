@@ -4,9 +4,10 @@ A document is the set of its distinct runs of five words (lower-case A-Z, words
 space). One permutation fills `BANDS * ROWS` bins with the smallest hash of each; an empty bin
 borrows from a filled one found by its own probe sequence (optimal densification). `ROWS` bins
 make a band, equal bands share a bucket. In a bucket all members are paired with its smallest
-id only (a star); the links are confirmed on full sets. Documents of a bucket whose members are
-still in different components are then compared exactly, by prefix filtering: similar sets
-share one of their rarest quarter of shingles. So no component depends on the star, and what
+id only (a star); the links are confirmed on full sets. Buckets whose members are still in different
+components get HUBS more stars, around the member that shares the most buckets with others and
+around some chosen by hash. What is left apart is then compared exactly, by prefix filtering:
+similar sets share one of their rarest quarter of shingles. So no component depends on the star, and what
 many documents share, a passage or the body of a much copied text, pairs nobody.
 At a similarity of 0.75 a pair shares no bucket with probability (1 - 0.75**5)**40 = 2e-5.
 """
@@ -27,6 +28,7 @@ from salesgrid.llm.common import components, settle
 SHINGLE = 5
 BANDS, ROWS = 40, 5
 PERCENT = 75
+HUBS = 5  # further stars of a bucket
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray):
@@ -187,16 +189,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = settle(_linked(pairs, sets))
     roots = settle(components(links))
 
+    # a hub at the rim of its group leaves much apart that other hubs bring together
+    open_ = _open(members, roots)
+    if open_.head(1):
+        hubs = settle(_hubs(open_))
+        again = settle(
+            open_.join(hubs, "bucket").select("rep", "n_shingles", "root", F.explode("hubs").alias("hub"))
+            .where("root <> hub.root").where(_sizes_fit("n_shingles", "hub.n_shingles"))
+            .select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
+            .join(pairs, ["a", "b"], "left_anti")
+        )
+        links = settle(links.unionByName(_linked(again, sets)))
+        pairs = pairs.unionByName(again)
+        roots = settle(components(links))
+        open_ = _open(members, roots)
+
     # what the stars left apart: pairs of one bucket in different components
-    placed = settle(
-        members.join(roots, members.rep == roots.id, "left")
-        .select("bucket", "rep", "n_shingles", F.coalesce("root", "rep").alias("root"))
-    )
-    apart = (
-        placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        .where("low < high").select("bucket")
-    )
-    apart = placed.join(apart, "bucket").select("rep", "n_shingles", "root").distinct()
+    apart = open_.select("rep", "n_shingles", "root").distinct()
     rest = settle(apart.join(sets, apart.rep == sets.id).select("rep", "n_shingles", "root", F.explode("grams").alias("gram")))
     rare = rest.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     # a set's shingles from the rarest on, at most as many as a similar set may lack, and one
@@ -232,6 +241,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows (bucket, rep, n_shingles, root) of buckets whose members are in different components."""
+    placed = settle(
+        members.join(roots, members.rep == roots.id, "left")
+        .select("bucket", "rep", "n_shingles", F.coalesce("root", "rep").alias("root"))
+    )
+    apart = (
+        placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        .where("low < high").select("bucket")
+    )
+    return settle(placed.join(apart, "bucket"))
+
+
+def _hubs(open_: DataFrame) -> DataFrame:
+    """bucket and hubs: the member with the most fellows in all its buckets, and some by hash."""
+    size = open_.groupBy("bucket").agg(F.count("*").alias("n"))
+    fellows = open_.join(size, "bucket").groupBy("rep").agg(F.sum("n").alias("fellows"))
+    who = F.struct("rep", "n_shingles", "root")
+    chosen = [F.max(F.struct("fellows", -F.col("rep"), who.alias("who")))["who"]]
+    chosen += [F.min(F.struct(F.xxhash64("rep", F.lit(k)), who.alias("who")))["who"] for k in range(1, HUBS)]
+    return (
+        open_.join(settle(fellows), "rep").groupBy("bucket")
+        .agg(F.array_distinct(F.array(*chosen)).alias("hubs"))
+    )
+
+
 def _sizes_fit(a: str, b: str):
     """Sets so different in size cannot be similar enough."""
     return F.expr(f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})")
