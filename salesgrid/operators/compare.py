@@ -20,6 +20,7 @@ from salesgrid.operators.windows import (
     prev_year_window,
     ytd_period,
 )
+from salesgrid.sources.files import stored
 
 
 def _growth_name(measure: str, kind: str) -> str:
@@ -341,7 +342,8 @@ def yoy_facts(items: DataFrame, dim: str = "brand") -> DataFrame:
     Items hold `dim`, curr, prev and yoy_pct. Rank 1 is compared with rank 2, every
     other rank with the one above it.
     """
-    ranked = with_rank(items, [], "yoy_pct", tie=(dim,))
+    items = stored(items)  # one row per item, which ranks, neighbours and averages read
+    ranked = stored(with_rank(items, [], "yoy_pct", tie=(dim,)))
     whole = items.agg(
         F.struct(
             F.avg("yoy_pct").alias("mean"),

@@ -125,14 +125,14 @@ def top_share(df: DataFrame, dim: str, measure: str = "value_sales", n: int = 10
 
 
 def iqr_outliers(
-    df: DataFrame, by, col: str = "value_sales", k: float = 1.5, min_points: int = 1
+    df: DataFrame, by, col: str = "value_sales", k: float = 1.5, min_points: int = 1, monthly: bool = False
 ) -> DataFrame:
     """Rows outside the k x IQR bounds of their series, with the bounds.
 
-    The quartiles are exact for series of any length: they come from counts of distinct
-    values, so no series is gathered in one buffer.
+    The quartiles are exact for series of any length; series that are known to hold a row a
+    month (`monthly`) take one aggregate.
     """
-    q = exact_quantiles(df, list(by), col, {"__q1": 0.25, "__q3": 0.75})
+    q = exact_quantiles(df, list(by), col, {"__q1": 0.25, "__q3": 0.75}, monthly)
     if min_points > 1:
         size = df.groupBy(*by).agg(F.count(col).alias("__n")).filter(F.col("__n") >= min_points)
         q = same_keys(q, size, by)

@@ -19,6 +19,7 @@ from salesgrid.functions.sums import same_keys
 
 SAMPLE = 4096  # rows of a group that its bounds are taken from, at most
 RANGES = 256  # ranges of a group, at most
+SKETCH = 10_000  # accuracy of the sketch that brackets a quantile
 RANGE_ROWS = 20_000  # a group of no more rows stays whole
 
 
@@ -133,30 +134,56 @@ def value_counts(df: DataFrame, keys: list[str], col: str) -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], col: str, wanted: dict[str, float]
+    df: DataFrame, keys: list[str], col: str, wanted: dict[str, float], short: bool = False
 ) -> DataFrame:
-    """Linear-interpolated exact quantiles per group; one row per group with a value."""
+    """Linear-interpolated exact quantiles per group; one row per group with a value.
+
+    Groups known to be `short`, such as a row a month, are gathered by one aggregate. Otherwise a
+    mergeable sketch, whose ranks are off by one part in SKETCH at most, brackets each quantile.
+    A second pass counts the values below the bracket and orders only those inside it, counted by
+    value, so of a group a few parts in SKETCH meet, whatever its size (all of it up to SKETCH rows).
+    """
     keys = list(keys)
-    ranked = value_counts(df, keys, col)
+    x = F.col(col).cast("double")
+    seen = df.select(*keys, x.alias("__x")).filter(F.col("__x").isNotNull())
+    if short:
+        picked = [F.percentile("__x", p).alias(name) for name, p in wanted.items()]
+        out = seen.groupBy(*keys).agg(F.count("*").alias("__n"), *picked)
+        return out.filter(F.col("__n") > 0).drop("__n")
+    points = [min(1.0, max(0.0, p + side * 3 / SKETCH)) for p in wanted.values() for side in (-1, 1)]
+    sketch = seen.groupBy(*keys).agg(
+        F.count("*").alias("__n"), F.percentile_approx("__x", points, SKETCH).alias("__q")
+    )
     if keys:
-        size = df.filter(F.col(col).isNotNull()).groupBy(*keys).agg(F.count("*").alias("__n"))
-        ranked = same_keys(ranked, size, keys)
+        placed = same_keys(seen, sketch, keys)
     else:
-        n = df.agg(F.count(col).alias("n")).scalar()
-        ranked = ranked.withColumn("__n", n)
-    x = F.col(col).cast("double")
+        both = sketch.select(F.struct("__n", "__q")).scalar()
+        placed = seen.withColumns({"__n": both.getField("__n"), "__q": both.getField("__q")})
+    # each row with the quantiles that it counts for: with its value inside the bracket, without one below it
+    few = F.col("__n") <= SKETCH  # all of it is inside: three parts would be fewer rows than ranks needed
+    counted = F.array_compact(F.array(*[
+        F.when(few | (F.col("__x") <= F.col("__q")[2 * i + 1]),
+               F.struct(F.lit(i).alias("i"), F.when(few | (F.col("__x") >= F.col("__q")[2 * i]), F.col("__x")).alias("v")))
+        for i in range(len(wanted))
+    ]))
+    cells = (
+        placed.select(*keys, "__n", F.explode(counted).alias("__e")).select(*keys, "__n", "__e.i", "__e.v")
+        .groupBy(*keys, "i", "v").agg(F.count("*").alias("__c"), F.max("__n").alias("__n"))
+    )
+    upto = Window.partitionBy(*keys, "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    run = cells.withColumn("__upto", F.sum("__c").over(upto)).withColumn("__b", F.col("__upto") - F.col("__c"))
     aggs = []
-    for name, p in wanted.items():
+    for i, (name, p) in enumerate(wanted.items()):
         at = F.lit(p) * (F.col("__n") - 1)
         below, above = F.floor(at), F.ceil(at)
 
-        def pick(i: Column) -> Column:
-            return F.max(F.when((F.col("__b") <= i) & (i < F.col("__b") + F.col("__c")), x))
+        def pick(rank: Column) -> Column:
+            return F.max(F.when((F.col("i") == i) & (F.col("__b") <= rank) & (rank < F.col("__upto")), F.col("v")))
 
         lo, hi = pick(below), pick(above)
-        frac = F.max(at - below)
-        aggs.append((lo + (hi - lo) * frac).alias(name))
-    return ranked.groupBy(*keys).agg(*aggs)
+        aggs.append((lo + (hi - lo) * F.max(at - below)).alias(name))
+    out = run.groupBy(*keys).agg(F.count("*").alias("__rows"), *aggs)
+    return out.filter(F.col("__rows") > 0).drop("__rows")
 
 
 def top_rows(df: DataFrame, order: list[Column], n: int, name: str | None = None) -> DataFrame:

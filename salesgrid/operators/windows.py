@@ -1,14 +1,14 @@
 """Windows of whole months. Bounds are columns, so nothing runs until the query does.
 
-The data's own first and last month are read through a scalar subquery: one
-aggregate over the date column. `sales_lines` hands a window's bounds to the scan
-(`MonthWindow.bounds`).
+The data's own first and last month come from a table, through a scalar subquery, or from
+`Months`, which were read once and are literals from then on. `sales_lines` hands a window's bounds
+to the scan (`MonthWindow.bounds`).
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
-
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,15 +82,32 @@ def with_prev_year(window: MonthWindow) -> MonthWindow:
     return hull(window.shifted(-12), window)
 
 
-def first_month(df: DataFrame, col: str = "date") -> Column:
+@dataclass(frozen=True)
+class Months:
+    """The first and last month of some data, null if there are none."""
+
+    first: dt.date | None
+    last: dt.date | None
+
+    @classmethod
+    def read(cls, df: DataFrame, col: str = "date") -> "Months":
+        """Both bounds by one aggregate over the date column, run now."""
+        return cls(*df.agg(month_start(F.min(col)), month_start(F.max(col))).first())
+
+
+def first_month(df: DataFrame | Months, col: str = "date") -> Column:
+    if isinstance(df, Months):
+        return F.lit(df.first).cast("date")
     return df.agg(month_start(F.min(col)).alias("m")).scalar()
 
 
-def last_month(df: DataFrame, col: str = "date") -> Column:
+def last_month(df: DataFrame | Months, col: str = "date") -> Column:
+    if isinstance(df, Months):
+        return F.lit(df.last).cast("date")
     return df.agg(month_start(F.max(col)).alias("m")).scalar()
 
 
-def clamped_end(df: DataFrame, as_of: str, col: str = "date") -> Column:
+def clamped_end(df: DataFrame | Months, as_of: str, col: str = "date") -> Column:
     """The month before `as_of`'s month, or the data's last month if that is earlier."""
     before = F.add_months(F.trunc(F.lit(as_of).cast("date"), "MM"), -1)
     return F.least(before, last_month(df, col))
@@ -101,7 +118,7 @@ def _to_month(text: str) -> Column:
 
 
 def resolve_window(
-    df: DataFrame,
+    df: DataFrame | Months,
     mode: str | None = None,
     as_of: str | None = None,
     start: str | None = None,
@@ -112,21 +129,21 @@ def resolve_window(
 
     A full end date keeps its day; `YYYY-MM` means the whole month.
     """
-    mode = (mode or "").upper()
+    mode, known = (mode or "").upper(), isinstance(df, Months)
     if mode in ("MAT", "YTD"):
         if as_of is None:
             raise ValueError(f"{mode} needs as_of")
         last = clamped_end(df, as_of, col)
         first = F.add_months(last, -11) if mode == "MAT" else F.trunc(last, "YEAR")
-        return MonthWindow(first, F.add_months(last, 1))
+        return MonthWindow(first, F.add_months(last, 1), known)
     if start is not None and end is not None:
         stop = (
             F.add_months(_to_month(end), 1) if len(end) == 7 else F.date_add(_to_month(end), 1)
         )
-        return MonthWindow(_to_month(start), F.least(stop, F.add_months(last_month(df, col), 1)))
+        return MonthWindow(_to_month(start), F.least(stop, F.add_months(last_month(df, col), 1)), known)
     if mode not in ("", "ALL"):
         raise ValueError(f"unknown window mode {mode}")
-    return MonthWindow(first_month(df, col), F.add_months(last_month(df, col), 1))
+    return MonthWindow(first_month(df, col), F.add_months(last_month(df, col), 1), known)
 
 
 def prev_year_window(window: MonthWindow) -> MonthWindow:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from salesgrid.operators import agg, compare, filters, rank
 from salesgrid.operators import windows as win
 from salesgrid.plans.registry import AS_OF, BOUNDS, FACT, LINES, mean_sql, query, total_sql
-from salesgrid.sources.fact import DIMS, calendar, fact, sales_lines
+from salesgrid.sources.fact import DIMS, calendar, fact, months, sales_lines
 from salesgrid.sources.ingest import derive_fields
 
 V = "CAST(sum(v) AS DOUBLE)"
@@ -19,7 +19,7 @@ BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 
 
 def window(spark, folder, mode, **kw):
-    return win.resolve_window(calendar(spark, folder), mode, as_of=AS_OF, **kw)
+    return win.resolve_window(months(spark, folder), mode, as_of=AS_OF, **kw)
 
 
 def year_on_year(spark, folder, dims, mode="MAT"):
@@ -33,7 +33,7 @@ MAT_YEARS = [1999, 2000, 2001, 2002]
 
 def mat_compared(spark, folder, dims, measure="value_sales"):
     """The MAT periods of MAT_YEARS up to September; only their months are read."""
-    last = win.last_month(calendar(spark, folder))
+    last = win.last_month(months(spark, folder))
     span = win.hull(*[w for _, w in compare.mat_windows(MAT_YEARS, 9, last)])
     lines = sales_lines(spark, folder, tuple(dims), span)
     return compare.mat_compare(lines, MAT_YEARS, 9, dims, measure, last)
@@ -944,13 +944,13 @@ WHERE (value_sales < q1 - 1.5 * (q3 - q1) OR value_sales > q3 + 1.5 * (q3 - q1))
 
 @query("E10_iqr_outliers", f"WITH {LINES}, {SERIES}, {IQR}")
 def e10(spark, folder):
-    out = rank.iqr_outliers(_series(spark, folder), ["category", "market", "brand"])
+    out = rank.iqr_outliers(_series(spark, folder), ["category", "market", "brand"], monthly=True)
     return out.withColumns({c: F.round(c, 8) for c in ("lower_bound", "upper_bound")})
 
 
 @query("E11_iqr_outliers_min_points", f"WITH {LINES}, {SERIES}, {IQR} AND n >= 4")
 def e11(spark, folder):
-    out = rank.iqr_outliers(_series(spark, folder), ["category", "market", "brand"], min_points=4)
+    out = rank.iqr_outliers(_series(spark, folder), ["category", "market", "brand"], min_points=4, monthly=True)
     return out.withColumns({c: F.round(c, 8) for c in ("lower_bound", "upper_bound")})
 
 

@@ -14,7 +14,8 @@ from salesgrid.plans import payload as pay
 from salesgrid.plans.catalog_sales import MAT, MAT_PREV, TWO, YOY, YTD, V, window, year_on_year
 from salesgrid.plans.registry import AS_OF, BOUNDS, LINES, query, total_sql
 from salesgrid.plans.sql import run_sql
-from salesgrid.sources.fact import calendar, fact, read_table, sales_lines
+from salesgrid.sources.fact import calendar, fact, months, read_table, sales_lines
+from salesgrid.sources.files import stored
 
 # One question per order line, in eleven forms, from the line's own values. The same text
 # is SQL for both engines but for the month names.
@@ -309,7 +310,7 @@ def j7_yoy(spark, folder):
     rows = compare.yoy(lines, ["category", "brand"], "value_sales", mat)
     items = rows.select("category", "brand", F.col("value_sales_curr").alias("curr"),
                         F.col("value_sales_prev").alias("prev"), F.col("value_yoy").alias("yoy_pct"))
-    ranked = with_rank(items, ["category"], "yoy_pct", tie=("brand",))
+    ranked = stored(with_rank(stored(items), ["category"], "yoy_pct", tie=("brand",)))
     return verbalise.say_yoy(ranked, ["category"], variant=0)
 
 
@@ -639,15 +640,16 @@ def j18b(spark, folder):
     return dataset.split_sentences(turns, "text")
 
 
-def _payloads(spark, folder):
-    years, last, ytd = [1999, 2000, 2001], win.last_month(calendar(spark, folder)), window(spark, folder, "YTD")
+def _payloads(spark, folder, kinds=pay.KINDS):
+    years, known = [1999, 2000, 2001], months(spark, folder)
+    last, ytd = win.last_month(known), win.resolve_window(known, "YTD", as_of=AS_OF)
     grown = (win.mat_period(2001, 9), win.ytd_period(2001, 9))
     span = win.hull(
         ytd, *[w for _, w in compare.mat_windows(years, 9, last)],
         *[win.with_prev_year(win.MonthWindow.period(p, True)) for p in grown],
     )
     lines = sales_lines(spark, folder, ("category", "brand"), span)
-    return pay.build_payloads(lines, years, 9, ytd, last=last)
+    return pay.build_payloads(lines, years, 9, ytd, last=last, kinds=kinds)
 
 
 def _yoy_head(label: str, cur: str, prev: str) -> str:
@@ -686,7 +688,7 @@ def j19(spark, folder):
     f"WITH {LINES} SELECT DISTINCT category, 'mat_yoy' AS calculation_mode FROM lines",
 )
 def j20(spark, folder):
-    out = pay.payload_mode(_payloads(spark, folder), "mat_yoy")
+    out = pay.payload_mode(_payloads(spark, folder, ("mat_yoy",)), "mat_yoy")
     return out.select("category", "calculation_mode")
 
 
@@ -736,9 +738,8 @@ def q1(spark, folder):
 
 
 def _ask(spark, folder, intent, dims=("market", "channel", "category", "brand")):
-    months = calendar(spark, folder)
-    span = ans.months_read(intent, AS_OF, months)
-    return ans.answer(sales_lines(spark, folder, dims, span), intent, AS_OF, months)
+    known = months(spark, folder)
+    return ans.answer(sales_lines(spark, folder, dims, ans.months_read(intent, AS_OF, known)), intent, AS_OF, known)
 
 
 @query(

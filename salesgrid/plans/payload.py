@@ -12,13 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from salesgrid.functions.dates import month_iso
-from salesgrid.functions.sums import exact_sum, growth, same_keys
+from salesgrid.functions.dates import month_iso, month_start
+from salesgrid.functions.sums import as_exact, exact_sum, growth, same_keys
 from salesgrid.operators import compare
 from salesgrid.operators.agg import grouped_sum
 from salesgrid.operators.rank import extremes
 from salesgrid.operators.spread import with_rank
 from salesgrid.operators.windows import MonthWindow, mat_period, prev_year_window, ytd_period
+from salesgrid.sources.files import stored
+
+KINDS = ("mat_compare", "mat_yoy", "ytd_yoy", "total", "trend")
 
 
 def _list(*fields) -> Column:
@@ -66,7 +69,7 @@ def yoy_payload(df, window: MonthWindow, calc: str, measure="value_sales", key="
         key, "brand", curr.alias("curr"), prev.alias("prev"),
         F.coalesce(growth(curr, prev), F.lit(0.0)).alias("yoy_pct"),
     )
-    ranked = with_rank(items, [key], "yoy_pct", tie=("brand",))
+    ranked = with_rank(stored(items), [key], "yoy_pct", tie=("brand",))
     one = ranked.groupBy(key).agg(
         _list("rank", "brand", "curr", "prev", "yoy_pct").alias("i"),
     )
@@ -106,20 +109,24 @@ def trend_payload(df, window: MonthWindow, measure="value_sales", key="category"
 
 def build_payloads(
     df: DataFrame, years: list[int], anchor: int, window: MonthWindow, measure="value_sales",
-    key="category", last: Column | None = None,
+    key="category", last: Column | None = None, kinds=KINDS,
 ) -> DataFrame:
-    """Every slice of `key` in five forms: MAT comparison, MAT and YTD growth, total, trend."""
-    mat, ytd = mat_period(max(years), anchor), ytd_period(max(years), anchor)
-    return reduce(
-        DataFrame.unionByName,
-        [
-            mat_payload(df, years, anchor, measure, key, last),
-            yoy_payload(df, MonthWindow(mat["start"], mat["stop"]), "mat_yoy", measure, key),
-            yoy_payload(df, MonthWindow(ytd["start"], ytd["stop"]), "ytd_yoy", measure, key),
-            total_payload(df, window, measure, key),
-            trend_payload(df, window, measure, key),
-        ],
+    """Every slice of `key` in the forms of `kinds`: MAT comparison, MAT and YTD growth, total, trend.
+
+    The lines are summed to (month, slice, brand) and stored once; all forms read that table.
+    """
+    monthly = stored(
+        df.groupBy(month_start("date").alias("date"), key, "brand").agg(F.sum(as_exact(df, measure)).alias(measure))
     )
+    mat, ytd = mat_period(max(years), anchor), ytd_period(max(years), anchor)
+    forms = {
+        "mat_compare": lambda: mat_payload(monthly, years, anchor, measure, key, last),
+        "mat_yoy": lambda: yoy_payload(monthly, MonthWindow(mat["start"], mat["stop"]), "mat_yoy", measure, key),
+        "ytd_yoy": lambda: yoy_payload(monthly, MonthWindow(ytd["start"], ytd["stop"]), "ytd_yoy", measure, key),
+        "total": lambda: total_payload(monthly, window, measure, key),
+        "trend": lambda: trend_payload(monthly, window, measure, key),
+    }
+    return reduce(DataFrame.unionByName, [forms[k]() for k in KINDS if k in kinds])
 
 
 def payload_mode(df: DataFrame, mode: str | None = None, col: str = "payload") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from salesgrid.functions.dates import month_start
 from salesgrid.functions.sums import exact_sum
-from salesgrid.operators.windows import MonthWindow
+from salesgrid.operators.windows import MonthWindow, Months
 
 DIMS = ("market", "channel", "category", "brand")
 OPTIONAL_DIMS = ("segment", "manufacturer")
@@ -36,6 +36,11 @@ def calendar(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "lineitem").select(month_start("l_shipdate").alias("date"))
 
 
+def months(spark: SparkSession, folder: str) -> Months:
+    """The first and last month of the lines, read now."""
+    return Months.read(calendar(spark, folder))
+
+
 def sales_lines(
     spark: SparkSession, folder: str, dims=DIMS, window: MonthWindow | None = None
 ) -> DataFrame:

@@ -22,6 +22,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """The rows written to the shared folder and read back, for a small result that several blocks read.
+
+    What leads to it runs once; a lost executor costs only its own tasks.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Rows of a JSON-lines file; blank and broken lines are skipped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)

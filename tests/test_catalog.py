@@ -56,6 +56,11 @@ def test_compared_windows_bound_the_scan(spark, name):
     assert scans and all(re.search(bound, x) for x in scans)
 
 
+@pytest.mark.parametrize("name", ("C11_describe", "D12_yoy_facts", "E10_iqr_outliers", "J7d_say_yoy", "J19_build_payloads", "J20_payload_mode"))
+def test_shared_parts_are_planned_once(spark, name):
+    assert plan(entry.queries()[name](spark, FOLDER)).count("FileScan parquet") < 20
+
+
 @pytest.mark.parametrize("name", ("D1_yoy", "D6_mat_compare", "E3_pareto", "J4_match_brands", "S6_kruskal", "F5_forecast_seasonal_ar"))
 def test_no_cross_joins(spark, name):
     text = plan(entry.queries()[name](spark, FOLDER))

@@ -48,10 +48,26 @@ def test_exact_quantiles(spark):
         values = [v for _, k, v in rows if k == r["k"] and v is not None]
         for name, p in wanted.items():
             assert np.isclose(r[name], np.quantile(values, p), rtol=1e-12), (r["k"], name)
+    short = {r["k"]: r for r in exact_quantiles(df, ["k"], "x", wanted, short=True).collect()}
+    for r in exact_quantiles(df, ["k"], "x", wanted).collect():
+        assert all(np.isclose(r[n], short[r["k"]][n], rtol=1e-12) for n in wanted)
+    assert exact_quantiles(df.filter("x IS NULL"), ["k"], "x", wanted).collect() == []
+    assert exact_quantiles(df.filter("x IS NULL"), [], "x", wanted).collect() == []
     whole = exact_quantiles(df, [], "x", {"med": 0.5}).first()["med"]
     assert np.isclose(whole, np.median([v for *_, v in rows if v is not None]), rtol=1e-12)
 
 
+@pytest.mark.parametrize("value", ("exp(2 * randn(5))", "1.0D", "pmod(id * 7919, 1000003) / 8", "pmod(id, 7) * 1.0D"))
+def test_quantiles_of_many_rows_are_exact(spark, value):
+    """So many rows that the sketch rounds and only the bracket is ordered."""
+    df = spark.range(300_000).selectExpr("id", f"{value} AS x").cache()
+    x = np.array([r["x"] for r in df.select("x").collect()])
+    wanted = {"p0": 0.0, "p1": 0.01, "q1": 0.25, "med": 0.5, "p999": 0.999, "top": 1.0}
+    got = exact_quantiles(df, [], "x", wanted).first()
+    assert all(np.isclose(got[n], np.quantile(x, p), rtol=1e-12) for n, p in wanted.items())
+    df.unpersist()
+
+
 @pytest.mark.parametrize("value", ("exp(2 * randn(5))", "1.0D"))
 def test_ranges_are_even_for_skew_and_ties(spark, value):
     df = spark.range(40_000).selectExpr("id", f"{value} AS x")

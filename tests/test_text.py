@@ -87,8 +87,8 @@ def test_read_only_sql(spark):
     spark.range(10).createOrReplaceTempView("numbers")
     assert run_sql(spark, "select replace('a;b', ';', 'drop') as x, id from numbers;", 3).count() == 3
     for bad in ("drop table numbers", "with x as (select 1) insert into numbers select 1", "selectx", "select 1; delete from numbers"):
-        assert not safe_sql(bad)[0]
-    assert safe_sql("SELECT 'please delete' AS x")[0]
+        assert safe_sql(spark, bad)[0]
+    assert not safe_sql(spark, "SELECT 'please delete' AS x")[0]
     with pytest.raises(ValueError):
         run_sql(spark, "update numbers set id = 1")
 
@@ -109,10 +109,26 @@ def test_fallback_sentence(spark):
 def test_sql_reads_views_only_and_keeps_all_rows(spark):
     spark.range(20_000).createOrReplaceTempView("many")
     assert run_sql(spark, "select * from many").count() == 20_000
-    assert safe_sql("(select 1) union all select 2")[0]
-    for bad in ("select * from parquet.`/tmp/x`", "select reflect('java.lang.Math', 'abs', 1)",
-                "select `java_method`('a', 'b')", "select * from csv . `x`"):
-        assert not safe_sql(bad)[0]
+    for good in (
+        "(select 1) union all select 2", "select 1 as copy, id from many", "with a as (select id from many), b as (select * from a) select * from b",
+        "select id, row_number() over (partition by id % 3 order by id) r from many m where exists (select 1 from many n where n.id = m.id)"
+        " and id in (select id from many) group by id having count(*) > 0 order by 1 limit 3 offset 1",
+        "select (select max(id) from many) x, explode(array(1, 2)) from values (1), (2) as t(a)",
+        "select * from range(3)", "select a.id from many a left join many b using (id) lateral view explode(array(1)) z as y",
+        "select * from (select id % 2 k, id from many) pivot (sum(id) for k in (0, 1))", "select distinct id from many window w as (order by id)",
+    ):
+        assert safe_sql(spark, good)[0] is None, good
+        run_sql(spark, good, 1).collect()
+    for bad in (
+        "select * from parquet.`/tmp/x`", "select reflect('java.lang.Math', 'abs', 1)", "select `java_method`('a', 'b')",
+        "select * from csv . `x`", "select count(*) from `parquet`.`/path`", "select reflect/**/('java.lang.Math','abs',-1)",
+        "select * from parquet/**/.`/x`", "select * from `csv` . `x`", "select * from unknown", "select * from default.many",
+        "with a as (select * from json.`/x`) select 1", "select (select max(x) from text.`/x`)", "select 1 where 1 in (select a from orc.`/x`)",
+        "select exists (select 1 from avro.`/x`)", "set spark.x = 1", "explain select 1", "create view v as select 1", "cache table many",
+        "select transform(id) using 'cat' as (x) from many", "from many insert into numbers select *", "select input_file_name() from many",
+        "select * from many, lateral (select reflect('a', 'b'))", "add jar '/x'", "select * from many lateral view reflect('a', 'b') z as y", "select a.b.c(1)", "show tables", "",
+    ):
+        assert safe_sql(spark, bad)[0], bad
 
 
 def test_declines_are_supported_and_kept(spark):
