@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from salesgrid.functions.tails import (
     t_two_sided_p,
 )
 from salesgrid.operators.spread import exact_quantiles, value_counts
+from salesgrid.sources.files import stored
 
 ALPHA = 0.05
 
@@ -335,11 +337,27 @@ def shapiro(df: DataFrame, keys, y: str) -> DataFrame:
     return one.select(*keys, "n", "w", p.alias("p"))
 
 
-def compare_groups(df: DataFrame, keys, by: str, y: str) -> DataFrame:
-    """The fitting test for each of `keys`: ANOVA, Welch ANOVA or Kruskal-Wallis.
+WHOLE = "__whole"
+
+
+def _named_keys(df: DataFrame, keys) -> tuple[DataFrame, list[str]]:
+    """Keys to join by: a constant one where there is a single test over everything."""
+    return (df, list(keys)) if keys else (df.withColumn(WHOLE, F.lit(True)), [WHOLE])
+
 
-    Groups need two points. All groups normal and variances equal: ANOVA; normal but
-    unequal: Welch; else Kruskal-Wallis. `post_hoc` names the pairwise test to follow.
+def _of_keys(df: DataFrame, routes: DataFrame, keys, wanted: Column) -> DataFrame:
+    """The rows of the keys whose route is the wanted one (null keys are keys too)."""
+    chosen = routes.filter(wanted).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
+    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return df.join(chosen, on, "left_semi")
+
+
+def route_tests(df: DataFrame, keys, by: str, y: str) -> DataFrame:
+    """Which test each of `keys` needs: one row per key with two groups of two points or more.
+
+    Normality comes first. Only keys whose groups are all normal (Shapiro-Wilk above 5 %) are
+    tested for equal variances: equal gives `anova`, unequal `welch`; all others `kruskal`.
+    The keys with their normality are written once, as both the variance test and its routes read them.
     """
     keys = list(keys)
     normal = shapiro(df, [*keys, by], y).select(*keys, by, F.col("p").alias("__sp"))
@@ -349,46 +367,59 @@ def compare_groups(df: DataFrame, keys, by: str, y: str) -> DataFrame:
         F.min(F.coalesce(F.col("__sp") > ALPHA, F.lit(False))).alias("all_normal"),
         F.count("*").alias("groups"),
     )
-    normality = normality.filter(F.col("groups") >= 2)
-
-    def named(test: DataFrame, stat: str, tag: str) -> DataFrame:
-        return test.select(
-            *keys, F.col(stat).alias(f"__{tag}"), F.col("p").alias(f"__{tag}_p")
-        )
-
-    out = normality
-    for test, stat, tag in (
-        (levene(df, keys, by, y, 2), "w", "lev"),
-        (anova(df, keys, by, y, 2), "f", "anova"),
-        (welch_anova(df, keys, by, y, 2), "f", "welch"),
-        (kruskal(df, keys, by, y, 2), "h", "kruskal"),
-    ):
-        out = same_keys(out, named(test, stat, tag), keys, "left")
-    equal = F.coalesce(F.col("__lev_p") > ALPHA, F.lit(False))
-    name = (
-        F.when(F.col("all_normal") & equal, "anova")
-        .when(F.col("all_normal"), "welch")
-        .otherwise("kruskal")
-    )
-    out = out.withColumns({"equal_var": F.when(F.col("all_normal"), equal), "test": name})
+    normality = stored(normality.filter(F.col("groups") >= 2), "normality")
+    spread = levene(_of_keys(df, normality, keys, F.col("all_normal")), keys, by, y, 2)
+    out = same_keys(normality, spread.select(*keys, F.col("p").alias("__lp")), keys, "left")
+    equal = F.when(F.col("all_normal"), F.coalesce(F.col("__lp") > ALPHA, F.lit(False)))
+    test = F.when(equal, "anova").when(F.col("all_normal"), "welch").otherwise("kruskal")
+    return out.select(*keys, "groups", "all_normal", equal.alias("equal_var"), test.alias("test"))
+
 
-    def chosen(suffix: str) -> Column:
-        pick = F.lit(None).cast("double")
-        for t in ("anova", "welch", "kruskal"):
-            pick = F.when(F.col("test") == t, F.col(f"__{t}{suffix}")).otherwise(pick)
-        return pick
+ROUTED = {"anova": (anova, "f"), "welch": (welch_anova, "f"), "kruskal": (kruskal, "h")}
 
-    out = out.withColumns({"statistic": chosen(""), "p": chosen("_p")})
-    found = F.col("p") < ALPHA
+
+def compare_groups(df: DataFrame, keys, by: str, y: str) -> DataFrame:
+    """The fitting test for each of `keys`: ANOVA, Welch ANOVA or Kruskal-Wallis.
+
+    Groups need two points. `route_tests` picks the test; each test then reads only the rows of
+    its own keys. `post_hoc` names the pairwise test to follow (`post_hoc_pairs`).
+    """
+    rows, names = _named_keys(df, keys)
+    routes = stored(route_tests(rows, names, by, y), "routes")
+    tested = []
+    for test, (run, stat) in ROUTED.items():
+        own = _of_keys(rows, routes, names, F.col("test") == test)
+        tested.append(run(own, names, by, y, 2).select(*names, F.col(stat).alias("statistic"), "p"))
+    out = same_keys(routes, reduce(DataFrame.unionByName, tested), names, "left")
+    found = F.coalesce(F.col("p") < ALPHA, F.lit(False))
     post_hoc = F.when(found & (F.col("test") == "anova"), "tukey").when(
         found & (F.col("test") == "welch"), "games_howell"
     )
     return out.select(
         *keys, "groups", "all_normal", "equal_var", "test", "statistic", "p",
-        F.coalesce(found, F.lit(False)).alias("significant"), post_hoc.alias("post_hoc"),
+        found.alias("significant"), post_hoc.alias("post_hoc"),
     )
 
 
+def post_hoc_pairs(df: DataFrame, compared: DataFrame, keys, by: str, y: str) -> DataFrame:
+    """The pairwise test that `compared` (from `compare_groups`) names, run for the keys it names it for.
+
+    One row per pair of groups with two points or more: `post_hoc`, diff, q, df (as a double), p
+    and `differs` at 5 %. Keys without a finding, or compared by ranks, have no pairs.
+    """
+    rows, names = _named_keys(df, keys)
+    named = _named_keys(compared, keys)[0].select(*names, "post_hoc")
+    enough = moments(rows, names, by, y, 2).select(*names, by)
+    rows = same_keys(rows, enough, [*names, by])
+    pairs = []
+    for post_hoc, run in (("tukey", tukey_hsd), ("games_howell", games_howell)):
+        out = run(_of_keys(rows, named, names, F.col("post_hoc") == post_hoc), names, by, y)
+        pairs.append(out.withColumn("post_hoc", F.lit(post_hoc)).withColumn("df", F.col("df").cast("double")))
+    out = reduce(DataFrame.unionByName, pairs)
+    differs = F.coalesce(F.col("p") < ALPHA, F.lit(False))
+    return out.select(*keys, "post_hoc", "group_a", "group_b", "diff", "q", "df", "p", differs.alias("differs"))
+
+
 def seasonality_test(df: DataFrame, keys, y: str, date: str = "date") -> DataFrame:
     """Do sales differ between calendar months, by ANOVA or Kruskal-Wallis at 5 %?"""
     keys = list(keys)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from salesgrid.operators import agg, series, stats
 from salesgrid.operators.filters import tail_points
-from salesgrid.plans.registry import LINES, query
+from salesgrid.plans.registry import LINES, chi2_tail_sql, f_tail_sql, query
 from salesgrid.sources.fact import sales_lines
+from salesgrid.sources.files import stored
 
 V = "CAST(sum(v) AS DOUBLE)"
 BM = """m0 AS (SELECT brand, date AS month, CAST(sum(v) AS DOUBLE) AS x FROM lines GROUP BY 1, 2),
@@ -213,17 +214,17 @@ def monthly_rows(spark, folder):
     f"""WITH {LINES}, {CBM}, s AS (SELECT count(x) FILTER (category = 'PROMO') AS na,
       count(x) FILTER (category = 'SMALL') AS nb, avg(x) FILTER (category = 'PROMO') AS ma,
       avg(x) FILTER (category = 'SMALL') AS mb, var_samp(x) FILTER (category = 'PROMO') AS va,
-      var_samp(x) FILTER (category = 'SMALL') AS vb FROM d)
-    SELECT na AS n_a, nb AS n_b, round(ma, 3) AS mean_a, round(mb, 3) AS mean_b,
-    round((ma - mb) / sqrt(va / na + vb / nb), 6) AS t,
-    round(pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)), 4) AS df
-    FROM s""",
+      var_samp(x) FILTER (category = 'SMALL') AS vb FROM d),
+    u AS (SELECT *, (ma - mb) / sqrt(va / na + vb / nb) AS t,
+      pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)) AS df FROM s)
+    SELECT na AS n_a, nb AS n_b, round(ma, 3) AS mean_a, round(mb, 3) AS mean_b, round(t, 6) AS t, round(df, 4) AS df,
+    round({f_tail_sql('t * t', '1', 'df')}, 6) AS p FROM u""",
 )
 def s1(spark, folder):
     out = stats.welch_t(monthly_rows(spark, folder), "category", "PROMO", "SMALL", "value_sales")
-    return out.drop("p").withColumns(
+    return out.withColumns(
         {"mean_a": F.round("mean_a", 3), "mean_b": F.round("mean_b", 3), "t": F.round("t", 6),
-         "df": F.round("df", 4)}
+         "df": F.round("df", 4), "p": F.round("p", 6)}
     )
 
 
@@ -233,11 +234,13 @@ def s2(spark, folder):
     return out.withColumns({"w": F.round("w", 6), "p": F.round("p", 6)})
 
 
-ANOVA_SQL = """g AS (SELECT category, sum(n * m) / sum(n) AS g FROM gm GROUP BY 1),
-  a AS (SELECT category, count(*) AS k, sum(n) AS n, sum(n * (m - g) * (m - g)) AS ssb,
-    sum(CASE WHEN n > 1 THEN (n - 1) * v ELSE 0 END) AS ssw FROM gm JOIN g USING (category) GROUP BY 1)
-  SELECT category, CAST(k - 1 AS BIGINT) AS df1, CAST(n - k AS BIGINT) AS df2,
-  round((ssb / (k - 1)) / (ssw / (n - k)), 6) AS {name} FROM a"""
+ANOVA_SQL = f"""g AS (SELECT category, sum(n * m) / sum(n) AS g FROM gm GROUP BY 1),
+  sq AS (SELECT category, count(*) AS k, sum(n) AS n, sum(n * (m - g) * (m - g)) AS ssb,
+    sum(CASE WHEN n > 1 THEN (n - 1) * v ELSE 0 END) AS ssw FROM gm JOIN g USING (category) GROUP BY 1),
+  af AS (SELECT category, CAST(k - 1 AS BIGINT) AS df1, CAST(n - k AS BIGINT) AS df2,
+    (ssb / (k - 1)) / (ssw / (n - k)) AS f FROM sq),
+  ap AS (SELECT *, {f_tail_sql('f', 'df1', 'df2')} AS p FROM af)"""
+ANOVA_ROWS = "SELECT category, df1, df2, round(f, 6) AS {name}, round(p, 6) AS p FROM ap"
 
 
 @query(
@@ -245,29 +248,29 @@ ANOVA_SQL = """g AS (SELECT category, sum(n * m) / sum(n) AS g FROM gm GROUP BY
     f"""WITH {LINES}, {CBM}, md AS (SELECT category, brand, quantile_cont(x, 0.5) AS med FROM d GROUP BY 1, 2),
     z AS (SELECT category, brand, abs(x - med) AS z FROM d JOIN md USING (category, brand)),
     gm AS (SELECT category, brand, count(*) AS n, avg(z) AS m, var_samp(z) AS v FROM z GROUP BY 1, 2),
-    {ANOVA_SQL.format(name='w')}""",
+    {ANOVA_SQL} {ANOVA_ROWS.format(name='w')}""",
 )
 def s3(spark, folder):
     out = stats.levene(monthly_rows(spark, folder), ["category"], "brand", "value_sales")
-    return out.select("category", "df1", "df2", F.round("w", 6).alias("w"))
+    return out.select("category", "df1", "df2", F.round("w", 6).alias("w"), F.round("p", 6).alias("p"))
 
 
-@query("S4_anova", f"WITH {LINES}, {CBM}, {GM}, {ANOVA_SQL.format(name='f')}")
+@query("S4_anova", f"WITH {LINES}, {CBM}, {GM}, {ANOVA_SQL} {ANOVA_ROWS.format(name='f')}")
 def s4(spark, folder):
     out = stats.anova(monthly_rows(spark, folder), ["category"], "brand", "value_sales")
-    return out.select("category", "df1", "df2", F.round("f", 6).alias("f"))
+    return out.select("category", "df1", "df2", F.round("f", 6).alias("f"), F.round("p", 6).alias("p"))
 
 
 @query(
     "S4b_anova_calendar_months",
     f"""WITH {LINES}, {CBM}, gm AS (SELECT 'all' AS category, month(date) AS brand, count(*) AS n,
-      avg(x) AS m, var_samp(x) AS v FROM d GROUP BY 2), {ANOVA_SQL.format(name='f')}""",
+      avg(x) AS m, var_samp(x) AS v FROM d GROUP BY 2), {ANOVA_SQL} {ANOVA_ROWS.format(name='f')}""",
 )
 def s4b(spark, folder):
     rows = monthly_rows(spark, folder).withColumn("moy", F.month("date"))
     out = stats.anova(rows, [], "moy", "value_sales")
     return out.select(
-        F.lit("all").alias("category"), "df1", "df2", F.round("f", 6).alias("f")
+        F.lit("all").alias("category"), "df1", "df2", F.round("f", 6).alias("f"), F.round("p", 6).alias("p")
     )
 
 
@@ -276,13 +279,16 @@ def s4b(spark, folder):
     f"""WITH {LINES}, {CBM}, {GM}, w AS (SELECT *, n / v AS w FROM gm),
     t AS (SELECT category, sum(w) AS tw, sum(w * m) / sum(w) AS g FROM w GROUP BY 1),
     a AS (SELECT category, count(*) AS k, sum(w * (m - g) * (m - g)) AS b,
-      sum(pow(1 - w / tw, 2) / (n - 1)) AS l FROM w JOIN t USING (category) GROUP BY 1)
-    SELECT category, CAST(k - 1 AS BIGINT) AS df1, round((k * k - 1) / (3 * l), 4) AS df2,
-    round((b / (k - 1)) / (1 + 2.0 * (k - 2) / (k * k - 1) * l), 6) AS f FROM a""",
+      sum(pow(1 - w / tw, 2) / (n - 1)) AS l FROM w JOIN t USING (category) GROUP BY 1),
+    u AS (SELECT category, CAST(k - 1 AS BIGINT) AS df1, (k * k - 1) / (3 * l) AS df2,
+      (b / (k - 1)) / (1 + 2.0 * (k - 2) / (k * k - 1) * l) AS f FROM a)
+    SELECT category, df1, round(df2, 4) AS df2, round(f, 6) AS f, round({f_tail_sql('f', 'df1', 'df2')}, 6) AS p FROM u""",
 )
 def s5(spark, folder):
     out = stats.welch_anova(monthly_rows(spark, folder), ["category"], "brand", "value_sales")
-    return out.select("category", "df1", F.round("df2", 4).alias("df2"), F.round("f", 6).alias("f"))
+    return out.select(
+        "category", "df1", F.round("df2", 4).alias("df2"), F.round("f", 6).alias("f"), F.round("p", 6).alias("p")
+    )
 
 
 KRUSKAL = """r AS (SELECT {key} AS category, {by} AS brand, rank() OVER (PARTITION BY {key} ORDER BY x)
@@ -290,26 +296,30 @@ KRUSKAL = """r AS (SELECT {key} AS category, {by} AS brand, rank() OVER (PARTITI
   t AS (SELECT category, sum(c * c * c - c) AS t FROM (SELECT {key} AS category, x,
     CAST(count(*) AS DOUBLE) AS c FROM d GROUP BY 1, 2) GROUP BY 1),
   gs AS (SELECT category, brand, count(*) AS n, CAST(sum(r) AS DOUBLE) AS s FROM r GROUP BY 1, 2),
-  a AS (SELECT category, count(*) AS k, CAST(sum(n) AS DOUBLE) AS n, sum(s * s / n) AS q FROM gs GROUP BY 1)
-  SELECT category, CAST(n AS BIGINT) AS n, CAST(k - 1 AS BIGINT) AS df,
-  round((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n * n * n - n)), 4) AS h
-  FROM a JOIN t USING (category)"""
+  a AS (SELECT category, count(*) AS k, CAST(sum(n) AS DOUBLE) AS n, sum(s * s / n) AS q FROM gs GROUP BY 1),
+  kh AS (SELECT category, CAST(n AS BIGINT) AS n, CAST(k - 1 AS BIGINT) AS df,
+    (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n * n * n - n)) AS h FROM a JOIN t USING (category)),
+  kp AS (SELECT *, {tail} AS p FROM kh)"""
+H_TAIL = chi2_tail_sql("h", "df")
+KRUSKAL_ROWS = "SELECT category, n, df, round(h, 4) AS h, round(p, 6) AS p FROM kp"
 
 
-@query("S6_kruskal", f"WITH {LINES}, {CBM}, {KRUSKAL.format(key='category', by='brand')}")
+@query("S6_kruskal", f"WITH {LINES}, {CBM}, {KRUSKAL.format(key='category', by='brand', tail=H_TAIL)} {KRUSKAL_ROWS}")
 def s6(spark, folder):
     out = stats.kruskal(monthly_rows(spark, folder), ["category"], "brand", "value_sales")
-    return out.select("category", "n", "df", F.round("h", 4).alias("h"))
+    return out.select("category", "n", "df", F.round("h", 4).alias("h"), F.round("p", 6).alias("p"))
 
 
 @query(
     "S6b_kruskal_calendar_months",
-    f"""WITH {LINES}, {CBM}, {KRUSKAL.format(key="'all'", by='month(date)')}""",
+    f"""WITH {LINES}, {CBM}, {KRUSKAL.format(key="'all'", by='month(date)', tail=H_TAIL)} {KRUSKAL_ROWS}""",
 )
 def s6b(spark, folder):
     rows = monthly_rows(spark, folder).withColumn("moy", F.month("date"))
     out = stats.kruskal(rows, [], "moy", "value_sales")
-    return out.select(F.lit("all").alias("category"), "n", "df", F.round("h", 4).alias("h"))
+    return out.select(
+        F.lit("all").alias("category"), "n", "df", F.round("h", 4).alias("h"), F.round("p", 6).alias("p")
+    )
 
 
 @query(
@@ -342,11 +352,32 @@ def s8(spark, folder):
 
 @query("S9_compare_groups")
 def s9(spark, folder):
-    out = stats.compare_groups(monthly_rows(spark, folder), ["category"], "brand", "value_sales")
+    out = stats.compare_groups(stored(monthly_rows(spark, folder)), ["category"], "brand", "value_sales")
     return out.withColumns({"statistic": F.round("statistic", 4), "p": F.round("p", 6)})
 
 
-@query("S10_seasonality_test")
+@query("S9b_post_hoc_pairs")
+def s9b(spark, folder):
+    """The categories compared by their markets' yearly sums, and the pairs that the test asks for."""
+    lines = sales_lines(spark, folder, ("market", "category", "brand"))
+    yearly = lines.withColumn("year", F.trunc("date", "year"))
+    rows = stored(agg.grouped_sum(yearly, ["category", "market", "brand", "year"], "value_sales"))
+    compared = stored(stats.compare_groups(rows, ["market"], "category", "value_sales"))
+    out = stats.post_hoc_pairs(rows, compared, ["market"], "category", "value_sales")
+    return out.withColumns({c: F.round(c, 4) for c in ("diff", "q", "df", "p")})
+
+
+BY_MONTH = KRUSKAL.format(key="category", by="month(date)", tail=H_TAIL)
+
+
+@query(
+    "S10_seasonality_test",
+    f"""WITH {LINES}, {CBM}, gm AS (SELECT category, month(date) AS brand, count(*) AS n, avg(x) AS m,
+      var_samp(x) AS v FROM d GROUP BY 1, 2), {ANOVA_SQL},
+    {BY_MONTH}
+    SELECT category, round(f, 4) AS f, round(ap.p, 4) AS p_anova, round(h, 4) AS h, round(kp.p, 4) AS p_kruskal,
+    ap.p < 0.05 OR kp.p < 0.05 AS seasonal FROM ap JOIN kp USING (category)""",
+)
 def s10(spark, folder):
     rows = monthly_rows(spark, folder)
     out = stats.seasonality_test(rows, ["category"], "value_sales")

@@ -64,6 +64,27 @@ def mean_sql(column: str, scale: int = 4) -> str:
     return f"CAST(sum(CAST({column} AS DECIMAL(28,{scale}))) AS DOUBLE) / count({column})"
 
 
+def _beta_below(w: str, a: str, b: str) -> str:
+    """Regularised incomplete beta by Simpson's rule over s, where t = w * s * s; a is a half or more."""
+    return f"""(SELECT sum(CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+      * CASE WHEN i = 0 AND 2 * ({a}) > 1 THEN 0 ELSE exp(({a}) * ln({w}) + lgamma(({a}) + ({b})) - lgamma({a}) - lgamma({b})
+        + (({b}) - 1) * ln(1 - ({w}) * (i / 4000.0) * (i / 4000.0))) * 2 * pow(i / 4000.0, 2 * ({a}) - 1) END) / 12000.0
+      FROM range(4001) s(i))"""
+
+
+def f_tail_sql(f: str, d1: str, d2: str) -> str:
+    """Upper tail of the F distribution, integrated in SQL."""
+    return f"(1 - {_beta_below(f'(({d1}) * ({f}) / (({d1}) * ({f}) + ({d2})))', f'(({d1}) / 2.0)', f'(({d2}) / 2.0)')})"
+
+
+def chi2_tail_sql(h: str, df: str) -> str:
+    """Upper tail of the chi-squared distribution by Simpson's rule over s, where t = h * s * s."""
+    return f"""(1 - (SELECT sum(CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+      * CASE WHEN i = 0 AND ({df}) > 1 THEN 0 ELSE exp(({df}) / 2.0 * ln(({h}) / 2) - lgamma(({df}) / 2.0)
+        - ({h}) / 2 * (i / 4000.0) * (i / 4000.0)) * 2 * pow(i / 4000.0, ({df}) - 1) END) / 12000.0
+      FROM range(4001) s(i)))"""
+
+
 RAW = """raw AS (
   SELECT
     CASE l_orderkey % 11

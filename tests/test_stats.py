@@ -62,6 +62,51 @@ def test_choice_of_test(spark):
     assert row["test"] == "kruskal" and row["post_hoc"] is None and row["equal_var"] is None
 
 
+def routed(spark):
+    """Three tests at once: equal variances, unequal ones, and skewed values; the last key is null."""
+    equal, wide = groups(spark, seed=5, shift=2.0)[0], groups(spark, seed=5, shift=2.0, scale=6.0)[0]
+    rows = [("equal", *r) for r in equal] + [("wide", *r) for r in wide]
+    rows += [(None, g, float(2**i + j)) for j, g in enumerate("ab") for i in range(20)] + [("one", "a", 1.0)]
+    return spark.createDataFrame(rows, "cat string, g string, y double")
+
+
+def test_each_test_reads_only_its_keys(spark, monkeypatch):
+    seen = {}
+
+    def spy(name, run):
+        def counted(df, keys, *rest):
+            seen[name] = {r[0] for r in df.select(keys[0]).distinct().collect()}
+            return run(df, keys, *rest)
+
+        return counted
+
+    monkeypatch.setattr(stats, "ROUTED", {k: (spy(k, run), stat) for k, (run, stat) in stats.ROUTED.items()})
+    monkeypatch.setattr(stats, "levene", spy("levene", stats.levene))
+    df = routed(spark)
+    out = {r["cat"]: r for r in stats.compare_groups(df, ["cat"], "g", "y").collect()}
+    assert {k: r["test"] for k, r in out.items()} == {"equal": "anova", "wide": "welch", None: "kruskal"}
+    assert seen == {"levene": {"equal", "wide"}, "anova": {"equal"}, "welch": {"wide"}, "kruskal": {None}}
+    for key, run, stat in (("equal", stats.anova, "f"), ("wide", stats.welch_anova, "f"), (None, stats.kruskal, "h")):
+        own = run(df.where(df.cat.eqNullSafe(key)), ["cat"], "g", "y", 2).first()
+        assert out[key]["statistic"] == pytest.approx(own[stat]) and out[key]["p"] == pytest.approx(own["p"])
+
+
+def test_post_hoc_pairs_run_for_the_named_test_only(spark):
+    df = routed(spark)
+    compared = stats.compare_groups(df, ["cat"], "g", "y")
+    pairs = stats.post_hoc_pairs(df, compared, ["cat"], "g", "y").collect()
+    assert {(r["cat"], r["post_hoc"]) for r in pairs} == {("equal", "tukey"), ("wide", "games_howell")} and len(pairs) == 6
+    for key, run in (("equal", stats.tukey_hsd), ("wide", stats.games_howell)):
+        want = {(r["group_a"], r["group_b"]): r["p"] for r in run(df.where(df.cat == key), [], "g", "y").collect()}
+        got = {(r["group_a"], r["group_b"]): r["p"] for r in pairs if r["cat"] == key}
+        assert got == pytest.approx(want)
+    same = df.where("cat = 'equal'")
+    whole = stats.post_hoc_pairs(same, stats.compare_groups(same, [], "g", "y"), [], "g", "y")
+    assert whole.count() == 3 and "cat" not in whole.columns
+    none = stats.compare_groups(df.limit(0), ["cat"], "g", "y")
+    assert none.count() == 0 and stats.post_hoc_pairs(df.limit(0), none, ["cat"], "g", "y").count() == 0
+
+
 def test_density_and_histogram_sum_to_one(spark):
     _, df = groups(spark)
     kde = stats.kde(df, ["g"], "y").toPandas()
