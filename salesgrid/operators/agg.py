@@ -328,10 +328,12 @@ def series_points(df: DataFrame, category: str | None, y: str) -> DataFrame:
     return out if category else out.select(F.lit("Overall").alias("name"), "points")
 
 
-def entities(df: DataFrame) -> DataFrame:
-    """Categories with their sorted distinct brands (deduplicated before collecting)."""
+def entities(df: DataFrame, page_size: int = 1000) -> DataFrame:
+    """Categories with their sorted distinct brands, in pages (from 1) of at most `page_size` brands."""
     pairs = df.select("category", "brand").filter(F.col("brand").isNotNull()).distinct()
-    return pairs.groupBy("category").agg(F.array_sort(F.collect_list("brand")).alias("brands"))
+    numbered = with_rank(pairs, ["category"], "brand", descending=False)
+    page = (F.floor((F.col("rank") - 1) / page_size) + 1).alias("page")
+    return numbered.groupBy("category", page).agg(F.array_sort(F.collect_list("brand")).alias("brands"))
 
 
 def share_of_total(df: DataFrame, dims, measure: str = "value_sales") -> DataFrame:

@@ -186,11 +186,12 @@ def explicit_brands(c) -> Column:
     return F.filter(items, lambda s: squash(s) != "")
 
 
-def match_brands(
-    questions: DataFrame, brands: DataFrame, key: str = "question_id", text_col: str = "text"
-) -> DataFrame:
+def match_brands(questions: DataFrame, brands: DataFrame, text_col: str = "text") -> DataFrame:
     """Add `brands`: the known brands that each question names, sorted.
 
+    Each distinct text is looked up once and its brands are joined back to every row, so rows that
+    repeat keep their place.
+
     A written list ("brands: Alpha, Beta sales") is looked up item by item, by the words that an
     item begins with. Without one, every
     brand counts that is written in the text as whole words, however they are joined: the
@@ -202,27 +203,27 @@ def match_brands(
     named = brands.select("brand", squash("brand").alias("__name"), F.size(words).alias("__n"))
     named = named.filter("__name <> ''").distinct()
     longest = named.agg(F.max("__n").alias("n")).scalar()
-    base = questions.select(
-        key, explicit_brands(text_col).alias("__items"),
+    base = questions.select(text_col).distinct().select(
+        text_col, explicit_brands(text_col).alias("__items"),
         F.regexp_extract_all(F.lower(text_col), F.lit("[a-z0-9]+"), 0).alias("__words"),
     )
     widths = F.sequence(F.lit(1), F.coalesce(longest, F.lit(1)))
-    items = base.filter(F.size("__items") > 0).select(key, F.explode("__items").alias("__item"))
+    items = base.filter(F.size("__items") > 0).select(text_col, F.explode("__items").alias("__item"))
     begun = items.select(
-        key, F.regexp_extract_all("__item", F.lit("[a-z0-9]+"), 0).alias("__words"), F.explode(widths).alias("__len")
+        text_col, F.regexp_extract_all("__item", F.lit("[a-z0-9]+"), 0).alias("__words"), F.explode(widths).alias("__len")
     )
-    listed = begun.select(key, F.array_join(F.slice("__words", F.lit(1), F.col("__len")), "").alias("__name"))
+    listed = begun.select(text_col, F.array_join(F.slice("__words", F.lit(1), F.col("__len")), "").alias("__name"))
     scanned = base.filter(F.size("__items") == 0).select(
-        key, "__words", F.explode(widths).alias("__len")
+        text_col, "__words", F.explode(widths).alias("__len")
     )
     runs = F.transform(
         F.sequence(F.lit(1), F.size("__words") - F.col("__len") + 1),
         lambda at: F.array_join(F.slice("__words", at, F.col("__len")), ""),
     )
     scanned = scanned.filter(F.size("__words") >= F.col("__len")).select(
-        key, F.explode(F.array_distinct(runs)).alias("__name")
+        text_col, F.explode(F.array_distinct(runs)).alias("__name")
     )
     hits = listed.unionByName(scanned).join(named.select("__name", "brand"), "__name")
-    found = hits.groupBy(key).agg(F.array_sort(F.collect_set("brand")).alias("brands"))
-    out = same_keys(questions, found, [key], "left")
+    found = hits.groupBy(text_col).agg(F.array_sort(F.collect_set("brand")).alias("brands"))
+    out = same_keys(questions, found, [text_col], "left")
     return out.withColumn("brands", F.coalesce("brands", F.array().cast("array<string>")))

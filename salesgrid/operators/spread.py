@@ -59,7 +59,12 @@ def cut(
     bounds = F.when(F.col("__k") > 1, at).otherwise(F.slice("__s", 1, 0))
     few = few.select(*keys, bounds.alias("__bounds"))
     df = same_keys(df, few, keys) if keys else df.withColumn("__bounds", few.scalar())
-    passed = F.size(F.filter("__bounds", lambda b: b <= F.col("__at")))
+    # Binary search: how many of the sorted bounds are at or before the row, one step per power of two.
+    steps = [2**i for i in reversed(range((RANGES - 1).bit_length()))]
+    passed = F.aggregate(
+        F.array(*[F.lit(s) for s in steps]), F.lit(0),
+        lambda n, s: F.when(F.get("__bounds", n + s - 1) <= F.col("__at"), n + s).otherwise(n),
+    )
     return df.withColumn("__r", F.coalesce(passed, F.lit(0))).drop("__bounds")
 
 

@@ -220,6 +220,30 @@ def a14(spark, folder):
     return files.read_jsonl(spark, path, "event_id bigint, k bigint")
 
 
+@query(
+    "A14b_broken_json_lines",
+    """SELECT CASE WHEN event_id % 7 IN (0, 3) THEN 'broken' ELSE 'read' END AS kind, event_id % 7 AS form,
+      count(*) AS n, CAST(sum(CASE WHEN event_id % 7 NOT IN (0, 3) THEN CAST(props->>'$.k' AS BIGINT) END) AS BIGINT) AS k
+    FROM events GROUP BY 1, 2""",
+)
+def a14b(spark, folder):
+    """Events as JSON lines, some cut off and some with a text for a number: rows and broken lines, counted."""
+    events = src.read_table(spark, folder, "events")
+    k = F.from_json("props", "k bigint").getField("k")
+    line = F.to_json(F.struct("event_id", k.alias("k")), {"ignoreNullFields": "false"})
+    form = F.col("event_id") % 7
+    line = F.when(form == 0, F.regexp_replace(line, "[}]$", "")).when(
+        form == 3, F.to_json(F.struct("event_id", F.lit("none").alias("k")))
+    ).otherwise(line)
+    path = files.scratch(spark, "lines")
+    events.select(line.alias("value")).write.text(path)
+    rows, broken = files.read_jsonl_checked(spark, path, "event_id bigint, k bigint")
+    number = F.regexp_extract("line", '"event_id":([0-9]+)', 1).cast("bigint")
+    broken = broken.select(F.lit("broken").alias("kind"), number.alias("event_id"), F.lit(None).cast("bigint").alias("k"))
+    both = rows.select(F.lit("read").alias("kind"), "event_id", "k").unionByName(broken)
+    return both.groupBy("kind", (F.col("event_id") % 7).alias("form")).agg(F.count("*").alias("n"), F.sum("k").alias("k"))
+
+
 @query(
     "A15_csv",
     f"""WITH {LINES} SELECT date, brand AS name, CAST(sum(v) AS DOUBLE) AS value_sales FROM lines
@@ -276,12 +300,13 @@ def a18(spark, folder):
 
 @query(
     "A19_entities",
-    """SELECT p_type AS category, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS brands
-    FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1""",
+    """WITH d AS (SELECT DISTINCT p_type AS category, p_brand AS brand FROM lineitem JOIN part ON p_partkey = l_partkey),
+    r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY brand) AS r FROM d)
+    SELECT category, (r - 1) // 10 + 1 AS page, string_agg(brand, ',' ORDER BY r) AS brands FROM r GROUP BY 1, 2""",
 )
 def a19(spark, folder):
-    out = agg.entities(src.sales_lines(spark, folder, ("category", "brand")))
-    return out.select("category", F.array_join("brands", ",").alias("brands"))
+    out = agg.entities(src.sales_lines(spark, folder, ("category", "brand")), page_size=10)
+    return out.select("category", "page", F.array_join("brands", ",").alias("brands"))
 
 
 @query(

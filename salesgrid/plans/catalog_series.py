@@ -358,12 +358,11 @@ def s9(spark, folder):
 
 @query("S9b_post_hoc_pairs")
 def s9b(spark, folder):
-    """The categories compared by their markets' yearly sums, and the pairs that the test asks for."""
-    lines = sales_lines(spark, folder, ("market", "category", "brand"))
-    yearly = lines.withColumn("year", F.trunc("date", "year"))
-    rows = stored(agg.grouped_sum(yearly, ["category", "market", "brand", "year"], "value_sales"))
-    compared = stored(stats.compare_groups(rows, ["market"], "category", "value_sales"))
-    out = stats.post_hoc_pairs(rows, compared, ["market"], "category", "value_sales")
+    """The brands of each market compared by their yearly sums, and the pairs that the test asks for."""
+    yearly = sales_lines(spark, folder, ("market", "brand")).withColumn("year", F.trunc("date", "year"))
+    rows = stored(agg.grouped_sum(yearly, ["market", "brand", "year"], "value_sales"))
+    compared = stored(stats.compare_groups(rows, ["market"], "brand", "value_sales"))
+    out = stats.post_hoc_pairs(rows, compared, ["market"], "brand", "value_sales")
     return out.withColumns({c: F.round(c, 4) for c in ("diff", "q", "df", "p")})
 
 

@@ -47,11 +47,6 @@ def asked(spark, folder):
     return rows.select(key.alias("question_id"), F.expr(ASK_SPARK).alias("text"))
 
 
-def one_each(df):
-    """Lines may repeat their key; a question is kept once."""
-    return df.dropDuplicates(["question_id", "text"])
-
-
 MONTH_NUMBERS = "['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec']"
 MONTH_RE = (
     r"\b(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?"
@@ -59,6 +54,26 @@ MONTH_RE = (
 )
 
 
+# What the SQL of the questions looks for, written out so that the operator is not its own check.
+SQL_CHART = r"\b(trends?|over time|time ?series|line charts?|charts?)\b"
+SQL_TABLE = r"\b(top|bottom|tables?|rank(s|ed|ing)?)\b"
+SQL_TEXT = r"\b(explain(s|ed)?|insights?|summary)\b"
+SQL_MOM = r"\b(mom|m/m|month over month|monthly change)\b"
+SQL_MAT = r"\b(mat(\s?-?(20)?\d{2})?|moving annual total|last 12|last twelve)\b"
+SQL_YTD = r"\b(ytd|year to date|year-to-date)\b"
+SQL_VALUE_END = (
+    r"^(category|market|channel|brand)$|\s+\b(category|market|channel|brand)\b.*$"
+    r"|(^|\s+)\b(from|between|in|for|by|over|last|ytd|mat|top|yoy|mom"
+    r"|(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\W*\d{4})\b.*$"
+)
+SQL_BRAND_LIST = r"\bbrands?(?:\s*[:\-]\s*|\s+)([a-z0-9 #_/,&+\-]+)"
+SQL_LIST_SPLIT = r"\s*(?:,|&|\+|\band\b|\bvs\b|\bversus\b)\s*"
+SQL_MAT_YEAR = r"\bmat[\s\-]?((?:20)?\d{2})\b"
+SQL_COMPARE = r"\b(compare|vs|versus|comparison)\b"
+SQL_TOTAL = r"(?i)\b(total|overall|aggregate|grand\s*total|sum|cumulative|combined|net\s+sales)\b"
+SQL_TREND = r"(?i)\b(trend|over\s+time|month[-\s]*wise|monthly|line\s*chart|last\s+\d+\s+months)\b"
+
+
 def _month_sql(i: int) -> str:
     hit = f"regexp_extract_all(t, '{MONTH_RE}')[{i}]"
     return (
@@ -68,22 +83,21 @@ def _month_sql(i: int) -> str:
 
 
 def _filter_sql(dim: str) -> str:
-    cut = questions.VALUE_END.replace("'", "''")
     return f"""coalesce(
       nullif(trim(regexp_extract(t, '{dim}\\s*[:=]\\s*"([^"]+)"', 1)), ''),
       nullif(trim(regexp_extract(t, '{dim}\\s*[:=]\\s*''([^'']+)''', 1)), ''),
-      nullif(trim(regexp_replace(regexp_extract(t, '{dim}\\s*[:=]\\s*([a-z0-9#][a-z0-9#\\s\\-&]*)', 1), '{cut}', '')), ''))"""
+      nullif(trim(regexp_replace(regexp_extract(t, '{dim}\\s*[:=]\\s*([a-z0-9#][a-z0-9#\\s\\-&]*)', 1), '{SQL_VALUE_END}', '')), ''))"""
 
 
 INTENT = f"""i AS (SELECT question_id, t,
-  CASE WHEN regexp_matches(t, '{questions.CHART_WORDS}') THEN 'chart'
-       WHEN regexp_matches(t, '{questions.TABLE_WORDS}') THEN 'topn'
-       WHEN regexp_matches(t, '{questions.TEXT_WORDS}') THEN 'text' ELSE 'topn' END AS task,
+  CASE WHEN regexp_matches(t, '{SQL_CHART}') THEN 'chart'
+       WHEN regexp_matches(t, '{SQL_TABLE}') THEN 'topn'
+       WHEN regexp_matches(t, '{SQL_TEXT}') THEN 'text' ELSE 'topn' END AS task,
   regexp_matches(t, '\\bunits?\\b') AS unit, regexp_matches(t, '\\byoy\\b') AS is_yoy,
-  regexp_matches(t, '{questions.MOM_WORDS}') AS mom,
+  regexp_matches(t, '{SQL_MOM}') AS mom,
   TRY_CAST(nullif(regexp_extract(t, 'top\\s+(\\d+)', 1), '') AS BIGINT) AS n,
-  CASE WHEN regexp_matches(t, '{questions.YTD_WORDS}') THEN 'YTD'
-       WHEN regexp_matches(t, '{questions.MAT_WORDS}') THEN 'MAT' END AS mode,
+  CASE WHEN regexp_matches(t, '{SQL_YTD}') THEN 'YTD'
+       WHEN regexp_matches(t, '{SQL_MAT}') THEN 'MAT' END AS mode,
   {_month_sql(1)} AS m1, {_month_sql(2)} AS m2,
   regexp_matches(t, '\\bby\\s+brands?\\b') AS by_brand,
   {_filter_sql('category')} AS filter_category, {_filter_sql('market')} AS filter_market,
@@ -131,14 +145,11 @@ def j3(spark, folder):
     return out.select("question_id", *[f"filter_{d}" for d in questions.FILTER_DIMS])
 
 
-LIST_RE = questions.BRAND_LIST.replace("'", "''")
-
-
 @query(
     "J4_match_brands",
-    f"""WITH {Q}, k AS (SELECT DISTINCT question_id, text, t FROM q),
-    e AS (SELECT *, list_filter(list_transform(flatten(list_transform(regexp_extract_all(t, '{LIST_RE}', 1),
-      lambda s: regexp_split_to_array(s, '{questions.LIST_SPLIT}'))),
+    f"""WITH {Q}, k AS (SELECT question_id, text, t FROM q),
+    e AS (SELECT *, list_filter(list_transform(flatten(list_transform(regexp_extract_all(t, '{SQL_BRAND_LIST}', 1),
+      lambda s: regexp_split_to_array(s, '{SQL_LIST_SPLIT}'))),
       lambda s: regexp_extract_all(s, '[a-z0-9]+')), lambda s: len(s) > 0) AS items,
       regexp_extract_all(t, '[a-z0-9]+') AS w FROM k),
     b AS (SELECT DISTINCT p_brand AS brand, regexp_replace(lower(p_brand), '[^a-z0-9]+', '', 'g') AS name FROM part),
@@ -151,18 +162,17 @@ LIST_RE = questions.BRAND_LIST.replace("'", "''")
 )
 def j4(spark, folder):
     brands = read_table(spark, folder, "part").select(F.col("p_brand").alias("brand")).distinct()
-    ask = one_each(asked(spark, folder)).withColumn("id", F.struct("question_id", "text"))
-    out = questions.match_brands(ask, brands, key="id")
+    out = questions.match_brands(asked(spark, folder), brands)
     return out.select("question_id", "text", F.array_join("brands", ",").alias("brands"))
 
 
 @query(
     "J5_mat_years",
-    f"""WITH {Q}, y AS (SELECT question_id, t, list_transform(regexp_extract_all(t, '{questions.MAT_YEAR}', 1),
+    f"""WITH {Q}, y AS (SELECT question_id, t, list_transform(regexp_extract_all(t, '{SQL_MAT_YEAR}', 1),
       lambda s: CASE WHEN s::INT < 100 THEN s::INT + 2000 ELSE s::INT END) AS y FROM q)
     SELECT question_id, array_to_string(list_transform(list_filter(y, lambda x, i:
       list_position(y, x) = i), lambda x: x::VARCHAR), ',') AS mat_years,
-    regexp_matches(t, '{questions.MAT_WORDS}') AND (regexp_matches(t, '{questions.COMPARE_WORDS}')
+    regexp_matches(t, '{SQL_MAT}') AND (regexp_matches(t, '{SQL_COMPARE}')
       OR len(list_distinct(y)) >= 2) AS is_mat_compare FROM y""",
 )
 def j5(spark, folder):
@@ -173,9 +183,9 @@ def j5(spark, folder):
 
 @query(
     "J6_calc_mode",
-    f"""WITH {Q} SELECT question_id, CASE WHEN regexp_matches(text, '{questions.TOTAL_WORDS}') AND NOT
-    regexp_matches(text, '{questions.TREND_WORDS}') THEN 'total' WHEN
-    regexp_matches(text, '{questions.TREND_WORDS}') THEN 'trend' ELSE 'other' END AS calc_mode FROM q""",
+    f"""WITH {Q} SELECT question_id, CASE WHEN regexp_matches(text, '{SQL_TOTAL}') AND NOT
+    regexp_matches(text, '{SQL_TREND}') THEN 'total' WHEN
+    regexp_matches(text, '{SQL_TREND}') THEN 'trend' ELSE 'other' END AS calc_mode FROM q""",
 )
 def j6(spark, folder):
     return questions.calc_mode(asked(spark, folder)).select("question_id", "calc_mode")
@@ -296,7 +306,7 @@ YOY_SAID = f"""y AS ({TWO.format(dims='category, brand', cur=MAT, prev=MAT_PREV)
     SELECT category, 0 AS pos, 'YoY ranking of the top 10: ' || string_agg(rank || '. ' || brand || ' (' ||
       {signed_sql('g')} || ')', '; ' ORDER BY rank) || '.' AS sentence FROM a WHERE rank <= 10 GROUP BY 1
     UNION ALL SELECT category, rank::INT, '#' || rank || ' ' || brand || ': ' || {signed_sql('g')} || ', ' ||
-      CASE WHEN rank = 1 THEN {signed_sql('(g - dn)')} || ' over the next brand'
+      CASE WHEN rank = 1 THEN {signed_sql('(g - dn)')} || ' against #2'
         ELSE {signed_sql('(g - up)')} || ' against #' || (rank - 1) END || ', a change of ' ||
       {rupees_sql('(c - p)')} || ', ' || CASE WHEN g >= m THEN 'above' ELSE 'below' END || ' the average (' ||
       format('{{:.2f}}%', m * 100) || ').' FROM a WHERE rank <= 4
@@ -332,10 +342,10 @@ TREND = """m AS (SELECT category, brand, date, CAST(sum(v) AS DOUBLE) AS x FROM
     f"""WITH {LINES}, {TREND}
     SELECT category, 0 AS pos, 'The peak is ' || strftime(hid, '%b %Y') || ' at ' || {rupees_sql('hi')} ||
       '; the low is ' || strftime(lod, '%b %Y') || '.' AS sentence FROM od
-    UNION ALL SELECT category, 1, 'Peak-to-trough drops: ' || string_agg(brand || ' ~' ||
-      format('{{:.0f}}', d * 100) || '%', ', ' ORDER BY r) || '.' FROM dr WHERE r <= 10 GROUP BY 1
-    UNION ALL SELECT category, 2, 'Several items are lowest in ' || l || ', which suggests seasonality.'
-      FROM tr WHERE n >= 2""",
+    UNION ALL SELECT category, CAST(1 + (r - 1) // 10 AS INTEGER), 'Drops from high to low, places ' || min(r) || ' to ' || max(r) || ': ' ||
+      string_agg(brand || ' ~' || format('{{:.0f}}', d * 100) || '%', ', ' ORDER BY r) || '.' FROM dr GROUP BY 1, 2
+    UNION ALL SELECT category, CAST(1 + coalesce((SELECT max((r - 1) // 10) + 1 FROM dr WHERE dr.category = tr.category), 0) AS INTEGER),
+      'Low month of several items: ' || l || '.' FROM tr WHERE n >= 2""",
 )
 def j7_trend(spark, folder):
     lines = sales_lines(spark, folder, ("category", "brand"))
@@ -369,12 +379,12 @@ def j7_latest(spark, folder):
     r AS (SELECT *, row_number() OVER (ORDER BY x DESC, category) AS r, {total_sql('x')} OVER () AS t FROM s),
     f AS (SELECT max(category) FILTER (r = 1) AS l, max(x) FILTER (r = 1) AS v, max(category) FILTER (r = 2) AS l2,
       max(x) FILTER (r = 2) AS v2, any_value(t) AS t, sum((x / t) * (x / t)) AS h FROM r)
-    SELECT 0 AS pos, 'Category ' || l || ' leads on value sales with ' || format('{{:,.0f}}', v) || '.' AS sentence FROM f
-    UNION ALL SELECT 1, 'The lead over ' || l2 || ' is ' || format('{{:,.0f}}', v - v2) || ' (' ||
-      format('{{:+.0f}}%', (v - v2) / v2 * 100) || ').' FROM f
-    UNION ALL SELECT 2, 'The leader holds ' || format('{{:.0f}}%', v / t * 100) || ' of the total.' FROM f
-    UNION ALL SELECT 3, CASE WHEN h >= 0.2 THEN 'Sales are concentrated in a few items.' ELSE
-      'Sales are spread over many items.' END FROM f WHERE h >= 0.2 OR h <= 0.1""".replace(
+    SELECT 0 AS pos, format('{{:.0f}}%', v / t * 100) || ' of value sales come from one category: ' || l || ', ' ||
+      format('{{:,.0f}}', v) || '.' AS sentence FROM f
+    UNION ALL SELECT 1, CASE WHEN h >= 0.2 THEN 'Few items make most of the sum.' ELSE
+      'No item makes much of the sum.' END FROM f WHERE h >= 0.2 OR h <= 0.1
+    UNION ALL SELECT CASE WHEN h >= 0.2 OR h <= 0.1 THEN 2 ELSE 1 END, l2 || ' comes next; ' || l || ' sells ' ||
+      format('{{:,.0f}}', v - v2) || ' more (' || format('{{:+.0f}}%', (v - v2) / v2 * 100) || ').' FROM f""".replace(
         f"{total_sql('x')} OVER ()", "CAST(sum(CAST(x AS DECIMAL(28,4))) OVER () AS DOUBLE)"
     ),
 )
@@ -640,7 +650,7 @@ def j18b(spark, folder):
     return dataset.split_sentences(turns, "text")
 
 
-def _payloads(spark, folder, kinds=pay.KINDS):
+def _payloads(spark, folder, kinds=pay.KINDS, page_size=pay.PAGE):
     years, known = [1999, 2000, 2001], months(spark, folder)
     last, ytd = win.last_month(known), win.resolve_window(known, "YTD", as_of=AS_OF)
     grown = (win.mat_period(2001, 9), win.ytd_period(2001, 9))
@@ -649,38 +659,42 @@ def _payloads(spark, folder, kinds=pay.KINDS):
         *[win.with_prev_year(win.MonthWindow.period(p, True)) for p in grown],
     )
     lines = sales_lines(spark, folder, ("category", "brand"), span)
-    return pay.build_payloads(lines, years, 9, ytd, last=last, kinds=kinds)
+    return pay.build_payloads(lines, years, 9, ytd, last=last, kinds=kinds, page_size=page_size)
 
 
-def _yoy_head(label: str, cur: str, prev: str) -> str:
-    return f"""SELECT '{label}' AS kind, category, count(*) AS n, arg_max(brand, (g, -rn)) AS head FROM
-      (SELECT *, CASE WHEN p <> 0 THEN c / p - 1 ELSE 0 END AS g, row_number() OVER (ORDER BY brand) AS rn FROM
+def _yoy_items(label: str, cur: str, prev: str) -> str:
+    return f"""SELECT '{label}' AS kind, category, row_number() OVER (PARTITION BY category ORDER BY g DESC, brand) AS place,
+      brand AS label, c AS value FROM (SELECT *, CASE WHEN p <> 0 THEN c / p - 1 ELSE 0 END AS g FROM
         (SELECT category, brand, CAST(sum(v) FILTER (date BETWEEN {cur}) AS DOUBLE) AS c,
          CAST(sum(v) FILTER (date BETWEEN {prev}) AS DOUBLE) AS p FROM lines GROUP BY 1, 2
-         HAVING count(*) FILTER (date BETWEEN {cur}) > 0)) GROUP BY 2"""
+         HAVING count(*) FILTER (date BETWEEN {cur}) > 0))"""
 
 
 @query(
     "J19_build_payloads",
-    f"""WITH {LINES}, {BOUNDS}, {MAT3}
-    SELECT 'mat_compare' AS kind, category, CAST(3 AS BIGINT) AS n, t[1].l AS head FROM g
-    UNION ALL {_yoy_head('mat_yoy', "DATE '2000-10-01' AND DATE '2001-09-30'", "DATE '1999-10-01' AND DATE '2000-09-30'")}
-    UNION ALL {_yoy_head('ytd_yoy', "DATE '2001-01-01' AND DATE '2001-09-30'", "DATE '2000-01-01' AND DATE '2000-09-30'")}
-    UNION ALL SELECT DISTINCT 'total', category, CAST(1 AS BIGINT), category FROM lines
-    UNION ALL SELECT 'trend', category, count(DISTINCT brand), min(brand) FROM lines, b WHERE {YTD} GROUP BY 2""",
+    f"""WITH {LINES}, {BOUNDS}, {MAT3}, i AS (
+    SELECT 'mat_compare' AS kind, category, r AS place, l AS label, x AS value FROM x
+    UNION ALL {_yoy_items('mat_yoy', "DATE '2000-10-01' AND DATE '2001-09-30'", "DATE '1999-10-01' AND DATE '2000-09-30'")}
+    UNION ALL {_yoy_items('ytd_yoy', "DATE '2001-01-01' AND DATE '2001-09-30'", "DATE '2000-01-01' AND DATE '2000-09-30'")}
+    UNION ALL SELECT 'total', category, 1, category, CAST(sum(v) AS DOUBLE) FROM lines, b WHERE {YTD} GROUP BY 2
+    UNION ALL SELECT 'trend', category, row_number() OVER (PARTITION BY category ORDER BY brand), brand, min(x) FROM
+      (SELECT category, brand, date, CAST(sum(v) AS DOUBLE) AS x FROM lines, b WHERE {YTD} GROUP BY 1, 2, 3) GROUP BY 2, 4)
+    SELECT kind, category, CAST((place - 1) // 10 + 1 AS INTEGER) AS page, place, label, round(value, 2) AS value FROM i""",
 )
 def j19(spark, folder):
-    at = {
-        "mat_compare": ("$.mat_compare.periods", "mat_label"), "mat_yoy": ("$.yoy.items", "brand"),
-        "ytd_yoy": ("$.yoy.items", "brand"), "total": ("$.bar.items", "label"),
-        "trend": ("$.trend.by_brand", "brand"),
-    }
-    n, head = F.lit(None).cast("bigint"), F.lit(None).cast("string")
-    for kind, (path, name) in at.items():
-        items = F.get_json_object("payload", path)
-        n = F.when(F.col("kind") == kind, F.json_array_length(items).cast("bigint")).otherwise(n)
-        head = F.when(F.col("kind") == kind, F.get_json_object(items, f"$[0].{name}")).otherwise(head)
-    return _payloads(spark, folder).select("kind", "category", n.alias("n"), head.alias("head"))
+    """Every item of every payload, read back from the JSON of pages of ten."""
+    at = {"mat_compare": "$.mat_compare.periods", "total": "$.bar.items", "trend": "$.trend.by_brand"}
+    items = F.get_json_object("payload", "$.yoy.items")
+    for kind, path in at.items():
+        items = F.when(F.col("kind") == kind, F.get_json_object("payload", path)).otherwise(items)
+    form = """array<struct<rank: bigint, mat_label: string, label: string, brand: string,
+      value: double, curr: double, min: struct<value: double>>>"""
+    rows = _payloads(spark, folder, page_size=10).select("kind", "category", "page", F.explode(F.from_json(items, form)).alias("i"))
+    return rows.select(
+        "kind", "category", "page", F.col("i.rank").alias("place"),
+        F.coalesce("i.mat_label", "i.label", "i.brand").alias("label"),
+        F.round(F.coalesce("i.value", "i.curr", "i.min.value"), 2).alias("value"),
+    )
 
 
 @query(

@@ -1,7 +1,7 @@
 """Result payloads per category, computed from the data and written as JSON at the end.
 
-A payload lists the brands of its slice, so a row is as long as that dimension, whatever
-the number of sales rows: these are aggregated before anything is listed.
+A payload lists the brands of its slice in pages (`page`, from 1) of at most PAGE ranked items, each a
+row of its own: a slice of any number of brands makes more rows, not longer ones.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from salesgrid.operators.spread import with_rank
 from salesgrid.operators.windows import MonthWindow, mat_period, prev_year_window, ytd_period
 from salesgrid.sources.files import stored
 
+PAGE = 1000  # items of a payload row, at most
 KINDS = ("mat_compare", "mat_yoy", "ytd_yoy", "total", "trend")
 
 
@@ -29,6 +30,12 @@ def _list(*fields) -> Column:
     return F.array_sort(F.collect_list(F.struct(*fields)))
 
 
+def _paged(ranked: DataFrame, key: str, page_size: int, *fields) -> DataFrame:
+    """One row per page of ranked items, as the ordered list `i` (each item begins with its `rank`)."""
+    page = (F.floor((F.col("rank") - 1) / page_size) + 1).cast("int").alias("page")
+    return ranked.groupBy(key, page).agg(_list("rank", *fields).alias("i"))
+
+
 def _payload(df, key, kind, mode, measure, calc, start, end, **blocks) -> DataFrame:
     body = F.struct(
         F.lit(mode).alias("mode"),
@@ -38,8 +45,9 @@ def _payload(df, key, kind, mode, measure, calc, start, end, **blocks) -> DataFr
         F.lit(calc).alias("calculation_mode"),
         *[c.alias(n) for n, c in blocks.items()],
     )
+    page = F.col("page") if "page" in df.columns else F.lit(1)
     return df.select(
-        F.lit(kind).alias("kind"), key, F.to_json(body).alias("payload")
+        F.lit(kind).alias("kind"), key, page.cast("int").alias("page"), F.to_json(body).alias("payload")
     )
 
 
@@ -61,7 +69,9 @@ def mat_payload(df, years, anchor, measure="value_sales", key="category", last=N
                     F.col("e"), mat_compare=info)
 
 
-def yoy_payload(df, window: MonthWindow, calc: str, measure="value_sales", key="category") -> DataFrame:
+def yoy_payload(
+    df, window: MonthWindow, calc: str, measure="value_sales", key="category", page_size: int = PAGE
+) -> DataFrame:
     kind = "unit" if measure.startswith("unit") else "value"
     both = compare.two_windows(df, [key, "brand"], measure, window, prev_year_window(window))
     curr, prev = F.col(f"{measure}_curr"), F.col(f"{measure}_prev")
@@ -70,9 +80,7 @@ def yoy_payload(df, window: MonthWindow, calc: str, measure="value_sales", key="
         F.coalesce(growth(curr, prev), F.lit(0.0)).alias("yoy_pct"),
     )
     ranked = with_rank(stored(items), [key], "yoy_pct", tie=("brand",))
-    one = ranked.groupBy(key).agg(
-        _list("rank", "brand", "curr", "prev", "yoy_pct").alias("i"),
-    )
+    one = _paged(ranked, key, page_size, "brand", "curr", "prev", "yoy_pct")
     block = F.struct(F.lit(kind).alias("measure_type"), F.col("i").alias("items"))
     return _payload(one, key, calc, "BAR", f"{kind}_yoy", calc, window.start, window.end, yoy=block)
 
@@ -85,7 +93,9 @@ def total_payload(df, window: MonthWindow, measure="value_sales", key="category"
                     window.end, bar=bar)
 
 
-def trend_payload(df, window: MonthWindow, measure="value_sales", key="category") -> DataFrame:
+def trend_payload(
+    df, window: MonthWindow, measure="value_sales", key="category", page_size: int = PAGE
+) -> DataFrame:
     inside = df.filter(window.has("date"))
     points = inside.groupBy(key, "brand", "date").agg(exact_sum(inside, measure).alias(measure))
 
@@ -96,12 +106,11 @@ def trend_payload(df, window: MonthWindow, measure="value_sales", key="category"
             F.col(f"{side}_label").alias("label"),
         ).alias(side)
 
-    brands = extremes(points, [key, "brand"], measure).groupBy(key).agg(
-        _list("brand", end("min"), end("max")).alias("b")
-    )
+    each = with_rank(stored(extremes(points, [key, "brand"], measure)), [key], "brand", descending=False)
+    brands = _paged(each, key, page_size, "brand", end("min"), end("max"))
     overall = extremes(points, [key], measure).select(key, F.struct(end("min"), end("max")).alias("o"))
     block = F.struct(
-        F.lit(measure).alias("measure"), F.col("b").alias("by_brand"), F.col("o").alias("overall")
+        F.lit(measure).alias("measure"), F.col("i").alias("by_brand"), F.col("o").alias("overall")
     )
     return _payload(same_keys(brands, overall, [key]), key, "trend", "LINE", measure, "trend",
                     window.start, window.end, trend=block)
@@ -109,7 +118,7 @@ def trend_payload(df, window: MonthWindow, measure="value_sales", key="category"
 
 def build_payloads(
     df: DataFrame, years: list[int], anchor: int, window: MonthWindow, measure="value_sales",
-    key="category", last: Column | None = None, kinds=KINDS,
+    key="category", last: Column | None = None, kinds=KINDS, page_size: int = PAGE,
 ) -> DataFrame:
     """Every slice of `key` in the forms of `kinds`: MAT comparison, MAT and YTD growth, total, trend.
 
@@ -121,10 +130,10 @@ def build_payloads(
     mat, ytd = mat_period(max(years), anchor), ytd_period(max(years), anchor)
     forms = {
         "mat_compare": lambda: mat_payload(monthly, years, anchor, measure, key, last),
-        "mat_yoy": lambda: yoy_payload(monthly, MonthWindow(mat["start"], mat["stop"]), "mat_yoy", measure, key),
-        "ytd_yoy": lambda: yoy_payload(monthly, MonthWindow(ytd["start"], ytd["stop"]), "ytd_yoy", measure, key),
+        "mat_yoy": lambda: yoy_payload(monthly, MonthWindow(mat["start"], mat["stop"]), "mat_yoy", measure, key, page_size),
+        "ytd_yoy": lambda: yoy_payload(monthly, MonthWindow(ytd["start"], ytd["stop"]), "ytd_yoy", measure, key, page_size),
         "total": lambda: total_payload(monthly, window, measure, key),
-        "trend": lambda: trend_payload(monthly, window, measure, key),
+        "trend": lambda: trend_payload(monthly, window, measure, key, page_size),
     }
     return reduce(DataFrame.unionByName, [forms[k]() for k in KINDS if k in kinds])
 

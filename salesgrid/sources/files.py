@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -37,6 +38,23 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def read_jsonl_checked(spark: SparkSession, path: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
+    """Rows of a JSON-lines file, and its broken lines as they are written (column `line`).
+
+    A line is broken if it is no JSON object, is cut off, or holds a value that its column cannot take;
+    then none of its values count. Blank lines are neither. An empty file gives two empty results.
+    """
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    broken = "__broken"
+    full = T.StructType([*fields.fields, T.StructField(broken, T.StringType())])
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    how = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": broken}
+    read = lines.select("value", F.from_json("value", full, how).alias("__row"))
+    bad = F.col("__row").isNull() | F.col("__row")[broken].isNotNull()
+    rows = read.filter(~bad).select(*[F.col("__row")[f.name].alias(f.name) for f in fields.fields])
+    return rows, read.filter(bad).select(F.col("value").alias("line"))
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 

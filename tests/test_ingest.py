@@ -98,6 +98,18 @@ def test_files_round_trip(spark, tmp_path):
     assert src.load_fact(spark, str(tmp_path / "csv"), {"brand": "b"}, "csv").columns == ["a", "brand"]
 
 
+def test_broken_json_lines_are_kept(spark, tmp_path):
+    bad = ["{broken", '{"a": 2, "b": "y"', '{"a": "no", "b": "z"}', "[]", "7"]
+    good = ['{"a": 1, "b": "x"}', '{"a": 3}', '{"b": null, "c": 5}']
+    (tmp_path / "a.json").write_text("\n".join([good[0], "", *bad, "   ", *good[1:]]) + "\n")
+    rows, broken = files.read_jsonl_checked(spark, str(tmp_path), "a int, b string")
+    assert {tuple(r) for r in rows.collect()} == {(1, "x"), (3, None), (None, None)}
+    assert sorted(r["line"] for r in broken.collect()) == sorted(bad) and broken.count() == len(bad)
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "a.json").write_text("")
+    assert [x.count() for x in files.read_jsonl_checked(spark, str(tmp_path / "none"), "a int")] == [0, 0]
+
+
 def test_saved_fact_is_pruned_by_window(spark, tmp_path):
     fact = src.fact(spark, "/root/testdata/sf0.001")
     stored = src.save_fact(fact, str(tmp_path / "fact"), "stored_fact")

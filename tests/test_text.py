@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from salesgrid.functions import dates
 from salesgrid.functions import formats as fmt
-from salesgrid.operators import dataset, questions, verbalise
+from salesgrid.operators import agg, dataset, questions, verbalise
 from salesgrid.plans import answer as ans
 from salesgrid.plans.sql import run_sql, safe_sql
 
@@ -163,6 +163,32 @@ def test_brands_are_found_as_whole_words_and_restrict_the_answer(spark):
     assert said("total sales ytd brand: Brand#1") == {"brand#1": 3.0}  # labelled as the question's filter is read
 
 
+def test_repeated_questions_keep_their_rows(spark):
+    brands = spark.createDataFrame([("Alpha",)], "brand string")
+    asked = spark.createDataFrame([(1, "alpha"), (1, "alpha"), (None, "alpha"), (2, None), (2, None)], "question_id int, text string")
+    got = sorted((str(r["question_id"]), r["brands"]) for r in questions.match_brands(asked, brands).collect())
+    assert got == [("1", ["Alpha"]), ("1", ["Alpha"]), ("2", []), ("2", []), ("None", ["Alpha"])]
+
+
+def test_trend_names_every_drop_in_sentences_of_ten(spark):
+    rows = [(f"b{i:02d}", m, 100.0 - (i + 1 if m == "2024-02-01" else 0)) for i in range(23) for m in ("2024-01-01", "2024-02-01")]
+    points = spark.createDataFrame(rows, "brand string, date string, value_sales double").withColumn("date", F.to_date("date"))
+    for keys in ([], ["k"]):
+        said = [r["sentence"] for r in verbalise.say_trend(points.withColumn("k", F.lit("x")), keys, variant=0).orderBy("pos").collect()]
+        assert len(said) == 5 and said[1].startswith("Drops from high to low, places 1 to 10: b22 ~23%") and said[3].endswith("b00 ~1%.")
+        assert sum(s.count("~") for s in said) == 23 and said[4] == "Low month of several items: Feb 2024."
+    none = verbalise.say_trend(points.limit(0).withColumn("k", F.lit("x")), ["k"], variant=0)
+    assert none.count() == 0
+
+
+def test_lists_come_in_pages(spark):
+    pairs = [("a", f"b{i:03d}") for i in range(25)] * 2 + [("c", "x"), ("c", None), (None, "y")]
+    df = spark.createDataFrame(pairs, "category string, brand string")
+    got = {(r["category"], r["page"]): r["brands"] for r in agg.entities(df, 10).collect()}
+    assert {k: len(v) for k, v in got.items()} == {("a", 1): 10, ("a", 2): 10, ("a", 3): 5, ("c", 1): 1, (None, 1): 1}
+    assert got["a", 3] == [f"b{i:03d}" for i in range(20, 25)]
+
+
 def test_bare_filters_hold_digits_and_signs(spark):
     rows = [("brand: Brand#7 mat",), ("category: 7up from jan 2024",), ("market: north jan 2024 to mar 2024",), ("category: brand: x",)]
     got = questions.extract_intents(spark.createDataFrame(rows, "text string")).select(*[f"filter_{d}" for d in ("brand", "category", "market")])
