@@ -174,23 +174,35 @@ def levene(df: DataFrame, keys, by: str, y: str, min_points: int = 1) -> DataFra
     return out.withColumnRenamed("f", "w").drop("ss_between", "ss_within")
 
 
+PAIR_BLOCKS = 8
+
+
 def _pairs(groups: DataFrame, keys, by: str) -> DataFrame:
     """Every two groups of a test, once each.
 
     These tests answer for each pair of groups, so their result is the pairs: what is
-    joined are the group summaries of one test, never its rows.
+    joined are the group summaries of one test, never its rows. Groups are dealt into blocks by
+    hash, and the sides meet on (keys, block of one, block of the other): an equi-join with or
+    without keys, which spreads one test of many groups over all pairs of blocks.
     """
     side = ["n", "m", "v"]
-    a = groups.select(*keys, F.col(by).alias("group_a"), *[F.col(c).alias(f"{c}_a") for c in side])
+    block = F.pmod(F.xxhash64(by), F.lit(PAIR_BLOCKS)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(PAIR_BLOCKS - 1)))
+    a = groups.select(
+        *keys, F.col(by).alias("group_a"), *[F.col(c).alias(f"{c}_a") for c in side],
+        block.alias("__block_a"), every.alias("__block_b"),
+    )
     b = groups.select(
         *[F.col(k).alias(f"__{k}") for k in keys],
         F.col(by).alias("group_b"),
         *[F.col(c).alias(f"{c}_b") for c in side],
+        block.alias("__own"), every.alias("__other"),
     )
-    on = F.col("group_a") < F.col("group_b")
+    on = (F.col("__block_a") == F.col("__other")) & (F.col("__block_b") == F.col("__own"))
+    on = on & (F.col("group_a") < F.col("group_b"))
     for k in keys:
         on = on & a[k].eqNullSafe(b[f"__{k}"])
-    return a.join(b, on).drop(*[f"__{k}" for k in keys])
+    return a.join(b, on).drop(*[f"__{k}" for k in keys], "__block_a", "__block_b", "__own", "__other")
 
 
 def tukey_hsd(df: DataFrame, keys, by: str, y: str) -> DataFrame:
@@ -452,27 +464,60 @@ def normal_curve(df: DataFrame, by, y: str, points: int = 200) -> DataFrame:
     return rows.withColumn("density", F.exp(-z * z / 2) / (F.col("sigma") * math.sqrt(2 * math.pi)))
 
 
+KDE_TERMS, KDE_CELLS = 12, 4
+
+
+def _hermite(terms: int) -> list[list[float]]:
+    """Coefficients of the probabilists' Hermite polynomials of degree 0 to terms - 1."""
+    rows = [[1.0], [0.0, 1.0]]
+    for n in range(1, terms - 1):
+        up = [0.0, *rows[n]]
+        for m, c in enumerate(rows[n - 1]):
+            up[m] -= n * c
+        rows.append(up)
+    return rows[:terms]
+
+
 def kde(df: DataFrame, by, y: str, points: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density per group on an even grid, Scott bandwidth.
 
-    Equal values are counted once. Each value adds to its grid points inside its task
-    and the sums are combined map side, so only groups x grid points are shuffled.
+    Values are binned into cells of a quarter bandwidth, and each cell keeps the first twelve
+    moments about its centre. The kernel's Hermite series gives a cell's part at a grid point from
+    these moments, with a relative error below 1e-14, so the work is one pass over the rows plus
+    cells times grid points, and only cells and grid points are shuffled. Groups of fewer than two
+    values or of equal values have no density and no rows; null and non-finite values take no part.
     """
     by = list(by)
-    values = df.filter(F.col(y).isNotNull()).groupBy(*by, y).agg(F.count("*").alias("__c"))
-    one = df.filter(F.col(y).isNotNull()).groupBy(*by).agg(
-        F.count("*").alias("n"), F.stddev_samp(y).alias("__s"),
-        F.min(y).alias("__lo"), F.max(y).alias("__hi"),
+    x = F.col(y).cast("double")
+    seen = df.select(*by, x.alias("__y")).filter(F.abs("__y") < float("inf"))
+    one = seen.groupBy(*by).agg(
+        F.count("*").alias("n"), F.stddev_samp("__y").alias("__s"),
+        F.min("__y").alias("__lo"), F.max("__y").alias("__hi"),
     ).filter(F.col("__s") > 0)
     h = F.col("__s") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     one = one.withColumn("h", h)
+    at = (F.col("__y") - F.col("__lo")) / F.col("h")
+    rows = same_keys(seen, one, by).withColumns({"__at": at, "__cell": F.floor(at * KDE_CELLS)})
+    rows = rows.withColumn("__u", F.col("__at") - (F.col("__cell") + 0.5) / KDE_CELLS)
+    power, moments_of = F.lit(1.0), []
+    for i in range(KDE_TERMS):
+        moments_of.append(F.sum(power).alias(f"__m{i}"))
+        power = power * F.col("__u")
+    cells = rows.groupBy(*by, "n", "h", "__lo", "__hi", "__cell").agg(*moments_of)
+    series = _hermite(KDE_TERMS)
+    parts = [
+        sum(
+            (F.col(f"__m{i}") * (series[i][m] / math.factorial(i)) for i in range(m, KDE_TERMS, 2)), F.lit(0.0)
+        ).alias(f"__p{m}")
+        for m in range(KDE_TERMS)
+    ]
     lo, hi = F.col("__lo") - cut * F.col("h"), F.col("__hi") + cut * F.col("h")
-    rows = same_keys(values, one, by).select(
-        *by, F.col(y).alias("__y"), "__c", "n", "h", F.inline(_grid(lo, hi, points))
-    )
-    z = (F.col("x") - F.col("__y")) / F.col("h")
-    sums = rows.groupBy(*by, "i", "x", "n", "h").agg(
-        F.sum(F.col("__c") * F.exp(-z * z / 2)).alias("__d")
-    )
+    centre = F.col("__lo") + (F.col("__cell") + 0.5) / KDE_CELLS * F.col("h")
+    grid = cells.select(*by, "n", "h", centre.alias("__centre"), *parts, F.inline(_grid(lo, hi, points)))
+    grid = grid.withColumn("__z", (F.col("x") - F.col("__centre")) / F.col("h"))
+    z, curve = F.col("__z"), F.lit(0.0)
+    for m in reversed(range(KDE_TERMS)):
+        curve = curve * z + F.col(f"__p{m}")
+    sums = grid.groupBy(*by, "i", "x", "n", "h").agg(F.sum(curve * F.exp(-z * z / 2)).alias("__d"))
     density = F.col("__d") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))
     return sums.select(*by, "i", "x", density.alias("density"))

@@ -6,7 +6,15 @@ from pyspark.sql import functions as F
 
 from salesgrid.operators import agg, series, stats
 from salesgrid.operators.filters import tail_points
-from salesgrid.plans.registry import LINES, chi2_tail_sql, f_tail_sql, query
+from salesgrid.plans.registry import (
+    LINES,
+    RANGE_TAIL,
+    chi2_tail_sql,
+    f_tail_sql,
+    norm_quantile_sql,
+    norm_tail_sql,
+    query,
+)
 from salesgrid.sources.fact import sales_lines
 from salesgrid.sources.files import stored
 
@@ -228,7 +236,35 @@ def s1(spark, folder):
     )
 
 
-@query("S2_shapiro")
+# Royston's polynomials for the outer weights and for mean and spread of the transform.
+SHAPIRO = f"""o AS (SELECT category, brand, x, count(*) OVER (PARTITION BY category, brand) AS n,
+    row_number() OVER (PARTITION BY category, brand ORDER BY x) AS i FROM d),
+  om AS (SELECT *, {norm_quantile_sql('(i - 0.375) / (n + 0.25)')} AS m FROM o WHERE n >= 3),
+  sh AS (SELECT category, brand, n, sum(m * m) AS mm, sum(m * x) AS mx, max(m) AS m1,
+    max(m) FILTER (i = n - 1) AS m2, max(x) - min(x) AS r1,
+    max(x) FILTER (i = n - 1) - max(x) FILTER (i = 2) AS r2, var_pop(x) * n AS ss, 1 / sqrt(n) AS u
+    FROM om GROUP BY 1, 2, 3),
+  sa AS (SELECT *, CASE WHEN n = 3 THEN sqrt(0.5) ELSE m1 / sqrt(mm) + 0.221157 * u - 0.147981 * u ** 2
+      - 2.071190 * u ** 3 + 4.434685 * u ** 4 - 2.706056 * u ** 5 END AS a1,
+    m2 / sqrt(mm) + 0.042981 * u - 0.293762 * u ** 2 - 1.752461 * u ** 3 + 5.682633 * u ** 4
+      - 3.582633 * u ** 5 AS a2 FROM sh),
+  sl AS (SELECT *, a1 * r1 + CASE WHEN n = 3 THEN 0
+      WHEN n <= 5 THEN (mx - m1 * r1) * sqrt((1 - 2 * a1 * a1) / (mm - 2 * m1 * m1))
+      ELSE a2 * r2 + (mx - m1 * r1 - m2 * r2)
+        * sqrt((1 - 2 * a1 * a1 - 2 * a2 * a2) / (mm - 2 * m1 * m1 - 2 * m2 * m2)) END AS line FROM sa),
+  sw AS (SELECT category, brand, n, CASE WHEN ss > 0 THEN least(line * line / ss, 1.0) END AS w, ln(n) AS l FROM sl),
+  sz AS (SELECT *, CASE WHEN n <= 11 THEN (-ln(0.459 * n - 2.273 - ln(1 - w)) - (0.5440 - 0.39978 * n
+      + 0.025054 * n * n - 0.0006714 * n * n * n)) / exp(1.3822 - 0.77857 * n + 0.062767 * n * n - 0.0020322 * n * n * n)
+    ELSE (ln(1 - w) - (-1.5861 - 0.31082 * l - 0.083751 * l * l + 0.0038915 * l * l * l))
+      / exp(-0.4803 - 0.082676 * l + 0.0030302 * l * l) END AS z FROM sw)"""
+
+
+@query(
+    "S2_shapiro",
+    f"""WITH {LINES}, {CBM}, {SHAPIRO}
+    SELECT category, brand, n, round(w, 6) AS w, round(CASE WHEN n = 3
+      THEN greatest(6 / pi() * (asin(sqrt(w)) - asin(sqrt(0.75))), 0) ELSE {norm_tail_sql('z')} END, 6) AS p FROM sz""",
+)
 def s2(spark, folder):
     out = stats.shapiro(monthly_rows(spark, folder), ["category", "brand"], "value_sales")
     return out.withColumns({"w": F.round("w", 6), "p": F.round("p", 6)})
@@ -243,13 +279,13 @@ ANOVA_SQL = f"""g AS (SELECT category, sum(n * m) / sum(n) AS g FROM gm GROUP BY
 ANOVA_ROWS = "SELECT category, df1, df2, round(f, 6) AS {name}, round(p, 6) AS p FROM ap"
 
 
-@query(
-    "S3_levene",
-    f"""WITH {LINES}, {CBM}, md AS (SELECT category, brand, quantile_cont(x, 0.5) AS med FROM d GROUP BY 1, 2),
-    z AS (SELECT category, brand, abs(x - med) AS z FROM d JOIN md USING (category, brand)),
-    gm AS (SELECT category, brand, count(*) AS n, avg(z) AS m, var_samp(z) AS v FROM z GROUP BY 1, 2),
-    {ANOVA_SQL} {ANOVA_ROWS.format(name='w')}""",
-)
+LEVENE_SQL = f"""md AS (SELECT category, brand, quantile_cont(x, 0.5) AS med FROM d GROUP BY 1, 2),
+  z AS (SELECT category, brand, abs(x - med) AS z FROM d JOIN md USING (category, brand)),
+  gm AS (SELECT category, brand, count(*) AS n, avg(z) AS m, var_samp(z) AS v FROM z GROUP BY 1, 2),
+  {ANOVA_SQL}"""
+
+
+@query("S3_levene", f"WITH {LINES}, {CBM}, {LEVENE_SQL} {ANOVA_ROWS.format(name='w')}")
 def s3(spark, folder):
     out = stats.levene(monthly_rows(spark, folder), ["category"], "brand", "value_sales")
     return out.select("category", "df1", "df2", F.round("w", 6).alias("w"), F.round("p", 6).alias("p"))
@@ -274,15 +310,19 @@ def s4b(spark, folder):
     )
 
 
+WELCH_SQL = f"""w AS (SELECT *, n / v AS w FROM gm),
+  t AS (SELECT category, sum(w) AS tw, sum(w * m) / sum(w) AS g FROM w GROUP BY 1),
+  a AS (SELECT category, count(*) AS k, sum(w * (m - g) * (m - g)) AS b,
+    sum(pow(1 - w / tw, 2) / (n - 1)) AS l FROM w JOIN t USING (category) GROUP BY 1),
+  u AS (SELECT category, CAST(k - 1 AS BIGINT) AS df1, (k * k - 1) / (3 * l) AS df2,
+    (b / (k - 1)) / (1 + 2.0 * (k - 2) / (k * k - 1) * l) AS f FROM a),
+  wp AS (SELECT *, {f_tail_sql('f', 'df1', 'df2')} AS p FROM u)"""
+
+
 @query(
     "S5_welch_anova",
-    f"""WITH {LINES}, {CBM}, {GM}, w AS (SELECT *, n / v AS w FROM gm),
-    t AS (SELECT category, sum(w) AS tw, sum(w * m) / sum(w) AS g FROM w GROUP BY 1),
-    a AS (SELECT category, count(*) AS k, sum(w * (m - g) * (m - g)) AS b,
-      sum(pow(1 - w / tw, 2) / (n - 1)) AS l FROM w JOIN t USING (category) GROUP BY 1),
-    u AS (SELECT category, CAST(k - 1 AS BIGINT) AS df1, (k * k - 1) / (3 * l) AS df2,
-      (b / (k - 1)) / (1 + 2.0 * (k - 2) / (k * k - 1) * l) AS f FROM a)
-    SELECT category, df1, round(df2, 4) AS df2, round(f, 6) AS f, round({f_tail_sql('f', 'df1', 'df2')}, 6) AS p FROM u""",
+    f"""WITH {LINES}, {CBM}, {GM}, {WELCH_SQL}
+    SELECT category, df1, round(df2, 4) AS df2, round(f, 6) AS f, round(p, 6) AS p FROM wp""",
 )
 def s5(spark, folder):
     out = stats.welch_anova(monthly_rows(spark, folder), ["category"], "brand", "value_sales")
@@ -325,38 +365,85 @@ def s6b(spark, folder):
 @query(
     "S7_tukey_hsd",
     f"""WITH {LINES}, {CBM}, {GM}, p AS (SELECT category, sum((n - 1) * v) / (sum(n) - count(*)) AS ms,
-      CAST(sum(n) - count(*) AS BIGINT) AS df FROM gm GROUP BY 1)
-    SELECT a.category, a.brand AS group_a, b.brand AS group_b, round(b.m - a.m, 3) AS diff,
-    round(abs(b.m - a.m) / sqrt(ms / 2 * (1.0 / a.n + 1.0 / b.n)), 6) AS q, df
-    FROM gm a JOIN gm b ON a.category = b.category AND a.brand < b.brand JOIN p ON p.category = a.category""",
+      CAST(sum(n) - count(*) AS BIGINT) AS df, count(*) AS k FROM gm GROUP BY 1),
+    tq AS (SELECT a.category, a.brand AS group_a, b.brand AS group_b, b.m - a.m AS diff,
+      abs(b.m - a.m) / sqrt(ms / 2 * (1.0 / a.n + 1.0 / b.n)) AS q, df, CAST(df AS DOUBLE) AS v, k
+      FROM gm a JOIN gm b ON a.category = b.category AND a.brand < b.brand JOIN p ON p.category = a.category),
+    {RANGE_TAIL}
+    SELECT category, group_a, group_b, round(diff, 3) AS diff, round(q, 6) AS q, df, round(p, 4) AS p FROM rp""",
 )
 def s7(spark, folder):
     out = stats.tukey_hsd(monthly_rows(spark, folder), ["category"], "brand", "value_sales")
-    return out.drop("p").withColumns({"diff": F.round("diff", 3), "q": F.round("q", 6)})
+    return out.withColumns({"diff": F.round("diff", 3), "q": F.round("q", 6), "p": F.round("p", 4)})
 
 
 @query(
     "S8_games_howell",
-    f"""WITH {LINES}, {CBM}, {GM}
-    SELECT a.category, a.brand AS group_a, b.brand AS group_b, round(b.m - a.m, 3) AS diff,
-    round(abs(b.m - a.m) / sqrt((a.v / a.n + b.v / b.n) / 2), 6) AS q,
-    round(pow(a.v / a.n + b.v / b.n, 2) / (pow(a.v / a.n, 2) / (a.n - 1) + pow(b.v / b.n, 2) / (b.n - 1)), 4) AS df
-    FROM gm a JOIN gm b ON a.category = b.category AND a.brand < b.brand""",
+    f"""WITH {LINES}, {CBM}, {GM}, p AS (SELECT category, count(*) AS k FROM gm WHERE n >= 2 GROUP BY 1),
+    tq AS (SELECT a.category, a.brand AS group_a, b.brand AS group_b, b.m - a.m AS diff,
+      abs(b.m - a.m) / sqrt((a.v / a.n + b.v / b.n) / 2) AS q,
+      pow(a.v / a.n + b.v / b.n, 2) / (pow(a.v / a.n, 2) / (a.n - 1) + pow(b.v / b.n, 2) / (b.n - 1)) AS v, k
+      FROM gm a JOIN gm b ON a.category = b.category AND a.brand < b.brand AND a.n >= 2 AND b.n >= 2
+      JOIN p ON p.category = a.category),
+    {RANGE_TAIL}
+    SELECT category, group_a, group_b, round(diff, 3) AS diff, round(q, 6) AS q, round(v, 4) AS df, round(p, 4) AS p FROM rp""",
 )
 def s8(spark, folder):
     out = stats.games_howell(monthly_rows(spark, folder), ["category"], "brand", "value_sales")
-    return out.drop("p").withColumns(
-        {"diff": F.round("diff", 3), "q": F.round("q", 6), "df": F.round("df", 4)}
+    return out.withColumns(
+        {"diff": F.round("diff", 3), "q": F.round("q", 6), "df": F.round("df", 4), "p": F.round("p", 4)}
     )
 
 
-@query("S9_compare_groups")
+# All three tests of every key of `d` and the choice among them; groups need two points, keys two groups.
+COMPARED = f"""{SHAPIRO},
+  sp AS (SELECT category, brand, CASE WHEN n = 3
+    THEN greatest(6 / pi() * (asin(sqrt(w)) - asin(sqrt(0.75))), 0) ELSE {norm_tail_sql('z')} END AS p FROM sz),
+  two AS (SELECT category, brand FROM d GROUP BY 1, 2 HAVING count(x) >= 2),
+  d2 AS (SELECT d.* FROM d JOIN two USING (category, brand) WHERE x IS NOT NULL),
+  nm AS (SELECT two.category, count(*) AS groups, bool_and(coalesce(p > 0.05, false)) AS all_normal
+    FROM two LEFT JOIN sp USING (category, brand) GROUP BY 1 HAVING count(*) >= 2),
+  lv AS (WITH d AS (SELECT * FROM d2), {LEVENE_SQL} SELECT category, p FROM ap),
+  an AS (WITH d AS (SELECT * FROM d2), {GM}, {ANOVA_SQL} SELECT category, f, p FROM ap),
+  we AS (WITH d AS (SELECT * FROM d2), {GM}, {WELCH_SQL} SELECT category, f, p FROM wp),
+  kr AS (WITH d AS (SELECT * FROM d2), {KRUSKAL.format(key='category', by='brand', tail=H_TAIL)} SELECT category, h, p FROM kp),
+  ro AS (SELECT nm.*, CASE WHEN all_normal THEN coalesce(lv.p > 0.05, false) END AS equal_var
+    FROM nm LEFT JOIN lv USING (category)),
+  rc AS (SELECT *, CASE WHEN equal_var THEN 'anova' WHEN all_normal THEN 'welch' ELSE 'kruskal' END AS test FROM ro),
+  re AS (SELECT rc.*, CASE test WHEN 'anova' THEN an.f WHEN 'welch' THEN we.f ELSE kr.h END AS statistic,
+    CASE test WHEN 'anova' THEN an.p WHEN 'welch' THEN we.p ELSE kr.p END AS p FROM rc
+    LEFT JOIN an USING (category) LEFT JOIN we USING (category) LEFT JOIN kr USING (category)),
+  cg AS (SELECT *, coalesce(p < 0.05, false) AS significant, CASE WHEN p < 0.05 AND test = 'anova' THEN 'tukey'
+    WHEN p < 0.05 AND test = 'welch' THEN 'games_howell' END AS post_hoc FROM re)"""
+
+
+@query(
+    "S9_compare_groups",
+    f"""WITH {LINES}, {CBM}, {COMPARED} SELECT category, groups, all_normal, equal_var, test,
+    round(statistic, 4) AS statistic, round(p, 6) AS p, significant, post_hoc FROM cg""",
+)
 def s9(spark, folder):
     out = stats.compare_groups(stored(monthly_rows(spark, folder)), ["category"], "brand", "value_sales")
     return out.withColumns({"statistic": F.round("statistic", 4), "p": F.round("p", 6)})
 
 
-@query("S9b_post_hoc_pairs")
+@query(
+    "S9b_post_hoc_pairs",
+    f"""WITH {LINES}, d AS (SELECT market AS category, brand, date_trunc('year', date) AS year,
+      CAST(sum(v) AS DOUBLE) AS x FROM lines GROUP BY 1, 2, 3), {COMPARED},
+    g2 AS (SELECT category, brand, count(*) AS n, avg(x) AS m, var_samp(x) AS v FROM d2 GROUP BY 1, 2),
+    po AS (SELECT category, sum((n - 1) * v) / (sum(n) - count(*)) AS ms, sum(n) - count(*) AS df, count(*) AS k
+      FROM g2 GROUP BY 1),
+    tq AS (SELECT a.category, post_hoc, a.brand AS group_a, b.brand AS group_b, b.m - a.m AS diff, k,
+      abs(b.m - a.m) / sqrt((CASE post_hoc WHEN 'tukey' THEN ms / a.n + ms / b.n ELSE a.v / a.n + b.v / b.n END) / 2) AS q,
+      CASE post_hoc WHEN 'tukey' THEN CAST(df AS DOUBLE) ELSE pow(a.v / a.n + b.v / b.n, 2)
+        / (pow(a.v / a.n, 2) / (a.n - 1) + pow(b.v / b.n, 2) / (b.n - 1)) END AS v
+      FROM g2 a JOIN g2 b ON a.category = b.category AND a.brand < b.brand
+      JOIN po ON po.category = a.category JOIN cg ON cg.category = a.category AND post_hoc IS NOT NULL),
+    {RANGE_TAIL}
+    SELECT category AS market, post_hoc, group_a, group_b, round(diff, 4) AS diff, round(q, 4) AS q,
+    round(v, 4) AS df, round(p, 4) AS p, coalesce(p < 0.05, false) AS differs FROM rp""",
+)
 def s9b(spark, folder):
     """The brands of each market compared by their yearly sums, and the pairs that the test asks for."""
     yearly = sales_lines(spark, folder, ("market", "brand")).withColumn("year", F.trunc("date", "year"))

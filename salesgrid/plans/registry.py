@@ -85,6 +85,57 @@ def chi2_tail_sql(h: str, df: str) -> str:
       FROM range(4001) s(i)))"""
 
 
+def norm_tail_sql(z: str) -> str:
+    """Upper tail of the standard normal distribution."""
+    return f"(CASE WHEN ({z}) >= 0 THEN {chi2_tail_sql(f'({z}) * ({z})', '1')} / 2 ELSE 1 - {chi2_tail_sql(f'({z}) * ({z})', '1')} / 2 END)"
+
+
+def _poly_sql(coefficients: str, x: str) -> str:
+    """Horner's scheme over the written coefficients, highest power first."""
+    first, *rest = coefficients.split()
+    out = f"CAST({first} AS DOUBLE)"
+    for c in rest:
+        out = f"({out} * ({x}) + ({c}))"
+    return out
+
+
+def norm_quantile_sql(p: str) -> str:
+    """Inverse of the standard normal distribution function, by Acklam's rational approximation."""
+    # Acklam's coefficients.
+    a = "-3.969683028665376e01 2.209460984245205e02 -2.759285104469687e02 1.383577518672690e02 -3.066479806614716e01 2.506628277459239e00"
+    b = "-5.447609879822406e01 1.615858368580409e02 -1.556989798598866e02 6.680131188771972e01 -1.328068155288572e01 1.0"
+    c = "-7.784894002430293e-03 -3.223964580411365e-01 -2.400758277161838e00 -2.549732539343734e00 4.374664141464968e00 2.938163982698783e00"
+    d = "7.784695709041462e-03 3.224671290700398e-01 2.445134137142996e00 3.754408661907416e00 1.0"
+    q, q2 = f"(({p}) - 0.5)", f"(({p}) - 0.5) * (({p}) - 0.5)"
+    r = f"sqrt(-2 * ln(least(({p}), 1 - ({p}))))"
+    return f"""(CASE WHEN least(({p}), 1 - ({p})) >= 0.02425 THEN {q} * {_poly_sql(a, q2)} / {_poly_sql(b, q2)}
+      ELSE (CASE WHEN ({p}) < 0.5 THEN 1 ELSE -1 END) * {_poly_sql(c, r)} / {_poly_sql(d, r)} END)"""
+
+
+# Tail of the studentised range for the rows of `tq` (k, q, v): Phi from its power series at steps of 0.01,
+# the range of k normals by the trapezoid rule over the least of them, cubic between steps, and the
+# trapezoid rule over the logarithm of the scale estimate.
+RANGE_TAIL = """px AS (SELECT CAST(i AS BIGINT) AS i, i / 100.0 AS x FROM range(1, 801) r(i)),
+  pu AS (SELECT i, 0.5 + sum(exp(-x * x / 2 - ln(2 * pi()) / 2 + (2 * n + 1) * ln(x) + n * ln(2.0)
+    + lgamma(n + 1) - lgamma(2 * n + 2))) AS f FROM px, range(150) r(n) GROUP BY 1),
+  phi AS (SELECT i, f FROM pu UNION ALL SELECT -i, 1 - f FROM pu UNION ALL SELECT 0, 0.5
+    UNION ALL SELECT i, 1.0 FROM range(801, 2601) r(i)),
+  ks AS (SELECT DISTINCT CAST(k AS DOUBLE) AS k FROM tq),
+  gap AS (SELECT j, lo.i / 100.0 AS z, (lo.i + j) / 100.0 AS e, hi.f - lo.f AS g FROM range(1801) r(j)
+    JOIN phi lo ON lo.i BETWEEN -800 AND 800 AND lo.i % 10 = 0 JOIN phi hi ON hi.i = lo.i + j),
+  rt AS (SELECT k, j, sum(0.1 * k * exp(-z * z / 2) / sqrt(2 * pi()) * pow(g, k - 1)) AS c,
+    sum(0.1 * k * (k - 1) * exp(-(z * z + e * e) / 2) / (2 * pi()) * pow(g, k - 2)) * 0.01 AS d
+    FROM gap, ks GROUP BY 1, 2),
+  rn AS (SELECT *, lead(c, 1, c) OVER w AS c1, lead(d, 1, 0) OVER w AS d1 FROM rt WINDOW w AS (PARTITION BY k ORDER BY j)),
+  tn AS (SELECT *, row_number() OVER () AS row, 12 / sqrt(2 * v) AS top, 24 / sqrt(2 * v) + 30 / v AS wide FROM tq),
+  ts AS (SELECT row, k, v, q, top - wide * i / 400.0 AS y FROM tn, range(401) r(i)),
+  tw AS (SELECT row, k, exp(v * y - v * (exp(2 * y) - 1) / 2) AS mass, least(q * exp(y) * 100, 1800) AS w FROM ts),
+  tu AS (SELECT row, k, mass, CAST(floor(w) AS BIGINT) AS j, w - floor(w) AS u FROM tw),
+  tp AS (SELECT row, sum(mass * ((1 + 2 * u) * (1 - u) * (1 - u) * c + u * (1 - u) * (1 - u) * d
+    + (3 - 2 * u) * u * u * c1 - (1 - u) * u * u * d1)) / sum(mass) AS below
+    FROM tu JOIN rn ON rn.k = tu.k AND rn.j = tu.j GROUP BY 1),
+  rp AS (SELECT tn.*, greatest(0, least(1, 1 - below)) AS p FROM tn LEFT JOIN tp USING (row))"""
+
 RAW = """raw AS (
   SELECT
     CASE l_orderkey % 11

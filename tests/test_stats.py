@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -107,6 +108,53 @@ def test_post_hoc_pairs_run_for_the_named_test_only(spark):
     assert none.count() == 0 and stats.post_hoc_pairs(df.limit(0), none, ["cat"], "g", "y").count() == 0
 
 
+def test_studentized_range_by_table_and_brute_force():
+    # upper 5 % points of the studentised range for (k, df), from tables of three and of two decimals
+    q, k, df = [3.877, 4.232, 3.151, 2.772], [3, 5, 2, 2], [10, 20, 10, 1e9]
+    assert tails.studentized_range_upper(q, k, df) == pytest.approx([0.05] * 4, abs=1e-4)
+    assert tails.studentized_range_upper([5.01], [20], [1e9])[0] == pytest.approx(0.05, abs=7e-4)
+    z, s = np.linspace(-8, 8, 801), np.linspace(1e-6, 4, 1601)
+    for qi, ki, v in ((0.3, 2, 4.0), (2.5, 7, 9.5), (6.0, 40, 31.2)):
+        pdf = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+        inside = [ki * np.trapezoid(pdf * (tails.norm_cdf(z + qi * si) - tails.norm_cdf(z)) ** (ki - 1), z) for si in s]
+        mass = s ** (v - 1) * np.exp(-v * s * s / 2)
+        want = 1 - np.trapezoid(mass * inside, s) / np.trapezoid(mass, s)
+        assert tails.studentized_range_upper([qi], [ki], [v])[0] == pytest.approx(want, abs=1e-7)
+    odd = tails.studentized_range_upper([math.nan, 1.0, 1.0, math.inf], [3, 1, 3, 3], [5, 5, 0, 5])
+    assert np.isnan(odd).all() and len(tails.studentized_range_upper([], [], [])) == 0
+
+
+def test_pairs_meet_by_equal_keys_without_a_nested_loop(spark):
+    df = spark.range(60).selectExpr("id % 20 AS g", "cast(id * id % 7 AS double) AS y")
+    for run in (stats.tukey_hsd, stats.games_howell):
+        out = run(df, [], "g", "y")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        seen = [(r["group_a"], r["group_b"]) for r in out.collect()]
+        assert sorted(seen) == [(a, b) for a in range(20) for b in range(a + 1, 20)]
+
+
+def test_kde_by_brute_force(spark):
+    rng = random.Random(11)
+    sets = {
+        "heavy": [math.exp(rng.gauss(0, 2)) for _ in range(400)],
+        "ties": [1.0] * 50 + [2.0] * 7 + [-3.0],
+        "two": [0.0, 1.0],
+        None: [1e6 + rng.random() for _ in range(30)],
+    }
+    rows = [(g, v) for g, vs in sets.items() for v in vs]
+    rows += [("heavy", None), ("heavy", math.nan), ("ties", math.inf), ("same", 5.0), ("same", 5.0), ("one", 1.0)]
+    out = stats.kde(spark.createDataFrame(rows, "g string, y double"), ["g"], "y", 50).collect()
+    assert len(out) == 50 * len(sets) and {r["g"] for r in out} == set(sets)
+    for g, values in sets.items():
+        y = np.array(values)
+        h = y.std(ddof=1) * len(y) ** -0.2
+        x = np.linspace(y.min() - 3 * h, y.max() + 3 * h, 50)
+        want = np.exp(-(((x[:, None] - y) / h) ** 2) / 2).sum(axis=1) / (len(y) * h * math.sqrt(2 * math.pi))
+        got = [r["density"] for r in sorted((r for r in out if r["g"] == g), key=lambda r: r["i"])]
+        assert got == pytest.approx(want, rel=1e-7, abs=1e-9 * want.max())
+
+
 def test_density_and_histogram_sum_to_one(spark):
     _, df = groups(spark)
     kde = stats.kde(df, ["g"], "y").toPandas()
