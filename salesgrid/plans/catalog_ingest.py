@@ -198,6 +198,26 @@ def a12(spark, folder):
     return ingest.ingest_summary(ingest.read_raw(raw_sheet(spark, folder)))
 
 
+@query(
+    "A12b_rejection_causes",
+    f"""WITH {PARSED}, numbers AS (SELECT vt, TRY_CAST(vt AS DOUBLE) AS v, "Units" AS ut,
+      TRY_CAST("Units" AS DOUBLE) AS u, trim("%Share") AS st, TRY_CAST("%Share" AS DOUBLE) AS s FROM texts),
+    dates AS (SELECT t, l_day FROM (SELECT t, CASE WHEN regexp_full_match(t, '[0-9.]+') THEN 1
+      WHEN try_strptime(t, ['%Y-%m-%d %H:%M:%S', '%Y-%m-%d', '%d-%m-%Y %H:%M:%S', '%d/%m/%Y', '%d %b %Y', '%m/%d/%Y'])
+      IS NOT NULL THEN 1 END AS l_day FROM texts))
+    SELECT 'date missing' AS cause, count(*) AS rows, CAST(NULL AS VARCHAR) AS example FROM dates WHERE coalesce(t, '') = ''
+    UNION ALL SELECT 'date unreadable', count(*), min(t) FROM dates WHERE t <> '' AND l_day IS NULL
+    UNION ALL SELECT 'value_sales not a number', count(*), min(vt) FROM numbers WHERE vt <> '' AND v IS NULL
+    UNION ALL SELECT 'value_sales negative', count(*), min(vt) FROM numbers WHERE v < 0
+    UNION ALL SELECT 'unit_sales not a number', count(*), min(ut) FROM numbers WHERE ut <> '' AND u IS NULL
+    UNION ALL SELECT 'unit_sales negative', count(*), min(ut) FROM numbers WHERE u < 0
+    UNION ALL SELECT 'share not a number', count(*), min(st) FROM numbers WHERE st <> '' AND s IS NULL
+    UNION ALL SELECT 'share negative', count(*), min(st) FROM numbers WHERE s < 0""",
+)
+def a12b(spark, folder):
+    return ingest.rejection_causes(raw_sheet(spark, folder))
+
+
 @query(
     "A13_clean_dims",
     f"""WITH {RAW} SELECT trim("Country") AS market, "Channel" AS channel, count(*) AS n

@@ -148,6 +148,40 @@ def ingest_summary(raw: DataFrame) -> DataFrame:
     )
 
 
+def rejection_causes(df: DataFrame, mapper: dict[str, str] | None = None) -> DataFrame:
+    """What is wrong with a raw table, one row per cause: `cause`, `rows`, `example`, in one pass.
+
+    Dates are missing (null or blank) or unreadable; measures are not a number or negative. A
+    required column that is absent counts all rows. Causes that do not occur are listed with 0 rows.
+    The example is the least text, trimmed; an empty table gives 0 everywhere and no examples.
+    """
+    mapper = autodetect_mapper(df.columns) if mapper is None else mapper
+    named = df.withColumnsRenamed({src: name for name, src in mapper.items()})
+    seen = present(named, ("date", *MEASURES))
+    as_text = {f"__text_{c}": F.trim(F.col(c).cast("string")) for c in seen}
+    rows = coerce_numeric(named.withColumns(as_text))
+    rows = parse_dates(rows) if "date" in seen else rows
+    causes = [(f"{c} column missing", F.lit(True), F.lit(None).cast("string")) for c in REQUIRED if c not in named.columns]
+    for c in seen:
+        text, value = F.col(f"__text_{c}"), F.col(c)
+        blank = F.coalesce(text == "", F.lit(True))
+        if c == "date":
+            causes.append(("date missing", blank, F.lit(None).cast("string")))
+            causes.append(("date unreadable", ~blank & value.isNull(), text))
+        else:
+            causes.append((f"{c} not a number", ~blank & value.isNull(), text))
+            causes.append((f"{c} negative", value < 0, text))
+    one = rows.agg(
+        *[F.count(F.when(wrong, 1)).alias(f"__n{i}") for i, (_, wrong, _) in enumerate(causes)],
+        *[F.min(F.when(wrong, text)).alias(f"__e{i}") for i, (_, wrong, text) in enumerate(causes)],
+    )
+    listed = [
+        F.struct(F.lit(cause).alias("cause"), F.col(f"__n{i}").alias("rows"), F.col(f"__e{i}").alias("example"))
+        for i, (cause, _, _) in enumerate(causes)
+    ]
+    return one.select(F.inline(F.array(*listed)))
+
+
 def clean_dims(df: DataFrame) -> DataFrame:
     return trim_dims(df, DIMS + OPTIONAL_DIMS)
 

@@ -130,3 +130,19 @@ def test_rows_of_one_month_share_its_growth(spark):
     assert out.count() == len(rows)
     got = [r["value_yoy"] for r in out.where("date = '2024-03-01'").collect()]
     assert got == [1.0, 1.0]
+
+
+def test_rejections_are_counted_by_cause(spark):
+    rows = [
+        ("2024-01-01", "1.5", "2"), (" ", "n/a", "-1"), (None, "", None), ("someday", "-2", "x"), ("31-02-2020", " -3 ", "1e2"),
+    ]
+    raw = spark.createDataFrame(rows, "Month string, Value string, Units string")
+    got = {r["cause"]: (r["rows"], r["example"]) for r in ingest.rejection_causes(raw).collect()}
+    assert got == {
+        "date missing": (2, None), "date unreadable": (2, "31-02-2020"),
+        "value_sales not a number": (1, "n/a"), "value_sales negative": (2, "-2"),
+        "unit_sales not a number": (1, "x"), "unit_sales negative": (1, "-1"),
+        **{f"{c} column missing": (5, None) for c in ("market", "channel", "category", "brand", "share")},
+    }
+    typed = spark.sql("SELECT date'2024-01-01' AS date, CAST(-1 AS DOUBLE) AS value, 'x' AS other").limit(0)
+    assert {r["rows"] for r in ingest.rejection_causes(typed).collect()} == {0}

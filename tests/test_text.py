@@ -83,6 +83,13 @@ def test_oversample_and_sentences(spark):
     assert {r["paraphrase"] for r in variants if r["variant"] == 0} == {"A leads with 5. up YoY"} and len(variants) > 1
 
 
+def test_rewordings_keep_the_numbers(spark, monkeypatch):
+    monkeypatch.setattr(dataset, "SYNONYMS", (("up", ("up", "up 7", "higher by")), ("-3", ("-3", "3"))))
+    said = spark.createDataFrame([("A is up 5.2% from -3",), (None,)], "s string")
+    out = dataset.paraphrase(said, "s", "s", 30).collect()
+    assert {r["paraphrase"] for r in out if r["s"]} == {"A is up 5.2% from -3", "A is higher by 5.2% from -3"}
+
+
 def test_read_only_sql(spark):
     spark.range(10).createOrReplaceTempView("numbers")
     assert run_sql(spark, "select replace('a;b', ';', 'drop') as x, id from numbers;", 3).count() == 3
