@@ -483,8 +483,8 @@ def kde(df: DataFrame, by, y: str, points: int = 200, cut: float = 3.0) -> DataF
 
     Values are binned into cells of a quarter bandwidth, and each cell keeps the first twelve
     moments about its centre. The kernel's Hermite series gives a cell's part at a grid point from
-    these moments, with a relative error below 1e-14, so the work is one pass over the rows plus
-    cells times grid points, and only cells and grid points are shuffled. Groups of fewer than two
+    these moments, with an error below 1e-14 of the kernel's height, so the work is one pass over the
+    rows plus cells times grid points, and only cells and grid points are shuffled. Groups of fewer than two
     values or of equal values have no density and no rows; null and non-finite values take no part.
     """
     by = list(by)
