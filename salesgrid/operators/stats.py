@@ -206,9 +206,12 @@ def _pairs(groups: DataFrame, keys, by: str) -> DataFrame:
 
 
 def tukey_hsd(df: DataFrame, keys, by: str, y: str) -> DataFrame:
-    """Pairwise differences against the studentised range, common variance."""
+    """Pairwise differences against the studentised range, common variance.
+
+    The group summaries are written once, as both sides of the pairs and the pooled variance read them.
+    """
     keys = list(keys)
-    groups = moments(df, keys, by, y)
+    groups = stored(moments(df, keys, by, y), "groups")
     within = F.sum(F.when(F.col("n") > 1, (F.col("n") - 1) * F.col("v")).otherwise(0.0))
     dof = F.sum("n") - F.count("*")
     pooled = _per(
