@@ -18,13 +18,14 @@ def raw_sheet(spark, folder):
     customer = src.read_table(spark, folder, "customer")
     nation = src.read_table(spark, folder, "nation")
     region = src.read_table(spark, folder, "region")
-    full = (
-        lines.join(part, F.col("p_partkey") == F.col("l_partkey"))
-        .join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
-        .join(customer, F.col("c_custkey") == F.col("o_custkey"))
+    bought = (
+        orders.join(customer, F.col("c_custkey") == F.col("o_custkey"))
         .join(nation, F.col("n_nationkey") == F.col("c_nationkey"))
         .join(region, F.col("r_regionkey") == F.col("n_regionkey"))
     )
+    full = lines.join(bought, F.col("o_orderkey") == F.col("l_orderkey")).join(
+        part, F.col("p_partkey") == F.col("l_partkey")
+    )
     kind = F.col("l_orderkey") % 11
     ship = F.col("l_shipdate")
     serial = F.datediff(ship, F.lit("1899-12-30")).cast("string")

@@ -13,6 +13,7 @@ from salesgrid.functions.dates import month_start, parse_mixed_date
 from salesgrid.functions.sums import as_exact, growth, present, same_keys
 from salesgrid.operators.filters import trim_dims
 from salesgrid.sources.fact import DIMS, MEASURES, OPTIONAL_DIMS
+from salesgrid.sources.files import stored
 
 REQUIRED = ("date", *DIMS, *MEASURES)
 
@@ -193,15 +194,26 @@ def read_raw(df: DataFrame, mapper: dict[str, str] | None = None) -> DataFrame:
     return clean_dims(coerce_numeric(to_month(parse_dates(df))))
 
 
+def _stored_rows(rows: DataFrame) -> DataFrame:
+    """The rows written once, under plain names so that any headers do; untyped columns hold only nulls."""
+    plain = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
+    untyped = [c for c, kind in plain.dtypes if kind == "void"]
+    back = stored(plain.drop(*untyped), "rows")
+    return back.select(*[F.lit(None).alias(c) if c in untyped else c for c in plain.columns]).toDF(*rows.columns)
+
+
 def ingest(
     df: DataFrame, mapper: dict[str, str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Raw rows to (derived fact, rows without a readable date); raises on a failed check."""
+    """Raw rows to (derived fact, rows without a readable date); raises on a failed check.
+
+    The read rows are written once: checks, monthly sums and both results read them, and no cell is parsed again.
+    """
     rows = read_raw(df, mapper)
     missing = validate_schema(rows)
     if missing:
         raise ValueError("; ".join(missing))
-    good, rejected = split_invalid_dates(rows)
+    good, rejected = split_invalid_dates(_stored_rows(rows))
     errors = [r["error"] for r in validate_basic(good).collect()]
     if errors:
         raise ValueError("; ".join(errors))

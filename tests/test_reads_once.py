@@ -63,11 +63,30 @@ def test_lines_meet_orders_with_their_buyers(spark, star):
     assert seen == sorted([("north", "s1", "b1", 10.0)] * 2 + eight)
 
 
+def test_raw_sheet_meets_orders_with_their_buyers(spark, star):
+    sheet = raw_sheet(spark, star)
+    assert leaves(sheet) == list(LEAVES)
+    assert sheet.count() == 10
+
+
 def test_pairwise_tests_read_their_rows_once(spark):
     data = [("k", "a", 1.0), ("k", "a", 3.0), ("k", "b", 2.0), ("k", "b", 6.0), ("k", None, 4.0), (None, "a", 1.0)]
     df = rows(spark, data, "c string, g string, y double")
-    for run in (stats.tukey_hsd,):
+    for run in (stats.tukey_hsd, stats.games_howell):
         out = run(df, ["c"], "g", "y")
         assert "LogicalRDD" not in plan(out)
         (r,) = out.collect()
         assert (r["c"], r["group_a"], r["group_b"], r["diff"]) == ("k", "a", "b", 2.0)
+
+
+def test_ingest_parses_its_cells_once(spark):
+    data = [("2024-01-05", "5", "x"), ("Jan 2024", "7", None), ("n/a", "1", "y")]
+    df = rows(spark, data, "`Month ` string, Value string, `x y,(z)` string")
+    names = {"Country": "m", "Channel": "c", "Category": "k", "Brand": "b", "Units": "1", "%Share": "50"}
+    df = df.withColumns({n: F.lit(v) for n, v in names.items()}).withColumn("nothing", F.lit(None))
+    good, rejected = ingest.ingest(df)
+    for part in (good, rejected):
+        assert "LogicalRDD" not in plan(part) and "RLIKE" not in plan(part)
+    got = sorted((r["value_sales"], r["x y,(z)"] or "", r["nothing"]) for r in good.collect())
+    assert got == [(5.0, "x", None), (7.0, "", None)]
+    assert [(r["value_sales"], r["x y,(z)"]) for r in rejected.collect()] == [(1.0, "y")]
