@@ -130,9 +130,19 @@ def iqr_outliers(
     """Rows outside the k x IQR bounds of their series, with the bounds.
 
     The quartiles are exact for series of any length; series that are known to hold a row a
-    month (`monthly`) take one aggregate.
+    month (`monthly`) take one window, so the rows are read and shuffled once.
     """
-    q = exact_quantiles(df, list(by), col, {"__q1": 0.25, "__q3": 0.75}, monthly)
+    x = F.col(col)
+    if monthly:
+        whole = Window.partitionBy(*by)
+        q1, q3 = [F.percentile(x.cast("double"), p).over(whole) for p in (0.25, 0.75)]
+        rows = df.withColumns({"__q1": q1, "__q3": q3, "__n": F.count(x).over(whole)})
+        rows = rows.filter(F.col("__n") >= min_points)
+        iqr = F.col("__q3") - F.col("__q1")
+        lower, upper = F.col("__q1") - k * iqr, F.col("__q3") + k * iqr
+        rows = rows.withColumns({"lower_bound": lower, "upper_bound": upper}).drop("__q1", "__q3", "__n")
+        return rows.filter((x < F.col("lower_bound")) | (x > F.col("upper_bound")))
+    q = exact_quantiles(df, list(by), col, {"__q1": 0.25, "__q3": 0.75})
     if min_points > 1:
         size = df.groupBy(*by).agg(F.count(col).alias("__n")).filter(F.col("__n") >= min_points)
         q = same_keys(q, size, by)
@@ -142,7 +152,6 @@ def iqr_outliers(
         (F.col("__q1") - k * iqr).alias("lower_bound"),
         (F.col("__q3") + k * iqr).alias("upper_bound"),
     )
-    x = F.col(col)
     return same_keys(df, bounds, by).filter(
         (x < F.col("lower_bound")) | (x > F.col("upper_bound"))
     )

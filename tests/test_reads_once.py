@@ -79,6 +79,19 @@ def test_pairwise_tests_read_their_rows_once(spark):
         assert (r["c"], r["group_a"], r["group_b"], r["diff"]) == ("k", "a", "b", 2.0)
 
 
+def test_monthly_outliers_read_their_rows_once(spark):
+    values = [10.0, 11.0, 12.0, 13.0, 90.0]
+    data = [(None, day(2020, i + 1), v) for i, v in enumerate(values)]
+    data += [("few", day(2020, i + 1), v) for i, v in enumerate((1.0, 1.0, 9.0))] + [("none", day(2020, 1), None)]
+    df = rows(spark, data, "brand string, date date, value_sales double")
+    out = rank.iqr_outliers(df, ["brand"], min_points=4, monthly=True)
+    assert plan(out).count("LogicalRDD") == 1
+    assert out.columns == ["brand", "date", "value_sales", "lower_bound", "upper_bound"]
+    assert [tuple(r) for r in out.collect()] == [(None, day(2020, 5), 90.0, 8.0, 16.0)]
+    general = rank.iqr_outliers(df, ["brand"], min_points=4)
+    assert [tuple(r) for r in general.collect()] == [tuple(r) for r in out.collect()]
+
+
 def test_ingest_parses_its_cells_once(spark):
     data = [("2024-01-05", "5", "x"), ("Jan 2024", "7", None), ("n/a", "1", "y")]
     df = rows(spark, data, "`Month ` string, Value string, `x y,(z)` string")
