@@ -230,9 +230,9 @@ def tukey_hsd(df: DataFrame, keys, by: str, y: str) -> DataFrame:
 
 
 def games_howell(df: DataFrame, keys, by: str, y: str) -> DataFrame:
-    """Pairwise differences against the studentised range, own variances."""
+    """Pairwise differences against the studentised range, own variances (summaries written once, as above)."""
     keys = list(keys)
-    groups = moments(df, keys, by, y, 2)
+    groups = stored(moments(df, keys, by, y, 2), "groups")
     size = _per(groups, keys, F.count("*").alias("__k"))
     out = _with(_pairs(groups, keys, by), size, keys, ["__k"])
     diff = F.col("m_b") - F.col("m_a")
