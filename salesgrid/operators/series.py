@@ -26,18 +26,23 @@ def _horizon(h: int) -> int:
 def complete_months(df: DataFrame, keys, value: str, date: str = "date") -> DataFrame:
     """One row per month from a series' first to its last month.
 
-    Rows of a month are summed (null if all are null); missing months get null.
+    Rows of a month are summed (null if all are null); missing months get null. Each month brings the
+    missing ones up to the next month of its series, so the monthly sums are read once.
     """
     keys = list(keys)
     seen = df.filter(F.col(date).isNotNull())
     by_month = seen.groupBy(*keys, month_start(date).alias("month")).agg(
         F.sum(as_exact(df, value)).cast("double").alias(value)
     )
-    ends = [F.min("month").alias("__lo"), F.max("month").alias("__hi")]
-    span = by_month.groupBy(*keys).agg(*ends) if keys else by_month.agg(*ends)
+    following = F.lead("month").over(Window.partitionBy(*keys).orderBy("month"))
+    last = F.coalesce(F.add_months(following, -1), F.col("month"))
     step = F.expr("interval 1 month")
-    frame = span.select(*keys, F.explode(F.sequence("__lo", "__hi", step)).alias("month"))
-    return same_keys(frame, by_month, [*keys, "month"], "left")
+    frame = by_month.withColumn("__last", last).select(
+        *keys, F.col("month").alias("__own"), value,
+        F.explode(F.sequence("month", "__last", step)).alias("month"),
+    )
+    seen_value = F.when(F.col("month") == F.col("__own"), F.col(value))
+    return frame.select(*keys, "month", seen_value.alias(value))
 
 
 def monthly_total(df: DataFrame, value: str = "value_sales", date: str = "date") -> DataFrame:

@@ -92,6 +92,19 @@ def test_monthly_outliers_read_their_rows_once(spark):
     assert [tuple(r) for r in general.collect()] == [tuple(r) for r in out.collect()]
 
 
+@pytest.mark.parametrize("keys", [["brand"], []])
+def test_complete_months_reads_its_rows_once(spark, keys):
+    data = [(None, day(2019, 11), 1.0), (None, day(2020, 2), 2.0), (None, day(2020, 2), 3.0), (None, None, 9.0)]
+    data += [("b", day(2020, 1), None)] if keys else []
+    df = rows(spark, data, "brand string, date date, value double")
+    out = series.complete_months(df, keys, "value")
+    assert plan(out).count("LogicalRDD") == 1
+    assert out.columns == [*keys, "month", "value"]
+    seen = sorted(((r["month"], r["value"]) for r in out.filter(F.col("brand").isNull() if keys else F.lit(True)).collect()))
+    assert seen == [(day(2019, 11), 1.0), (day(2019, 12), None), (day(2020, 1), None), (day(2020, 2), 5.0)]
+    assert series.complete_months(df.limit(0), keys, "value").collect() == []
+
+
 def test_ingest_parses_its_cells_once(spark):
     data = [("2024-01-05", "5", "x"), ("Jan 2024", "7", None), ("n/a", "1", "y")]
     df = rows(spark, data, "`Month ` string, Value string, `x y,(z)` string")
